@@ -1,4 +1,4 @@
-"""Per-group means, variances and covariances in one distributed aggregate."""
+"""Per-group means, variances and covariances of column pairs."""
 
 from __future__ import annotations
 
@@ -9,17 +9,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def group_moments(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """One row per group: n, mean_i and cov_i_j (population) for i <= j.
+def pair_moments(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """One row per group and column pair i <= j, over rows where both are present.
 
-    Rows should be complete. Spark merges partial means and co-moments, so
-    nothing but one row per task and group is shuffled.
+    Columns: key, i, j, n, mean_i, mean_j, var_i, var_j, cov (population).
+    Pairs are rows rather than columns of one aggregate: the plan does not grow
+    with the number of pairs and stays inside generated code. Each task reduces
+    its rows to one per group and pair before the shuffle, however large or
+    uneven the groups are, and Spark merges centred moments, not raw sums.
     """
     x = [F.col(c).cast("double") for c in columns]
-    aggs = [F.count(F.lit(1)).alias("n")]
-    aggs += [F.avg(c).alias(f"mean_{i}") for i, c in enumerate(x)]
-    aggs += [
-        F.covar_pop(x[i], x[j]).alias(f"cov_{i}_{j}")
-        for i, j in combinations_with_replacement(range(len(x)), 2)
-    ]
-    return df.groupBy(key).agg(*aggs)
+    pairs = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("i"),
+                F.lit(j).alias("j"),
+                F.when(x[j].isNotNull(), x[i]).alias("a"),
+                F.when(x[i].isNotNull(), x[j]).alias("b"),
+            )
+            for i, j in combinations_with_replacement(range(len(x)), 2)
+        ]
+    )
+    return (
+        df.select(key, F.inline(pairs))
+        .groupBy(key, "i", "j")
+        .agg(
+            F.count("a").alias("n"),
+            F.avg("a").alias("mean_i"),
+            F.avg("b").alias("mean_j"),
+            F.var_pop("a").alias("var_i"),
+            F.var_pop("b").alias("var_j"),
+            F.covar_pop("a", "b").alias("cov"),
+        )
+    )
+
+
+def group_moments(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """One row per group: n and its pairs (i, j, mean_i, mean_j, cov) as an array.
+
+    Rows must be complete, so that n is the same for every pair. The array has
+    k * (k + 1) / 2 entries for k columns, whatever the size of the group.
+    """
+    entry = F.struct("i", "j", "mean_i", "mean_j", "cov")
+    return (
+        pair_moments(df, key, columns)
+        .groupBy(key)
+        .agg(F.max("n").alias("n"), F.sort_array(F.collect_list(entry)).alias("pairs"))
+    )

@@ -9,8 +9,9 @@ hold a wanted rank are sorted.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RANGES = 64
@@ -39,8 +40,8 @@ def exact_quantiles(
     # Cut points need not be exact: they only decide where a value is counted.
     steps = [i / ranges for i in range(1, ranges)]
     cuts = counts.groupBy(*ids).agg(F.percentile_approx("v", steps, 1000).alias("cuts"))
-    placed = counts.join(cuts, _null_safe(counts, cuts, ids)).select(
-        *[counts[k] for k in ids],
+    placed = counts.alias("l").join(cuts.alias("r"), _same(ids)).select(
+        *[f"l.{k}" for k in ids],
         "v",
         "n",
         F.size(F.filter("cuts", lambda c: c <= F.col("v"))).alias("range_no"),
@@ -49,6 +50,7 @@ def exact_quantiles(
     totals = placed.groupBy(*ids, "range_no").agg(F.sum("n").alias("range_n"))
     by_group = Window.partitionBy(*ids)
     before = by_group.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    # At most two ranks per group and probability.
     wanted = (
         totals.withColumn("before_n", F.coalesce(F.sum("range_n").over(before), F.lit(0)))
         .withColumn("total_n", F.sum("range_n").over(by_group))
@@ -65,34 +67,30 @@ def exact_quantiles(
         .select(*ids, "range_no", "before_n", "p", "position", "rank_no")
     )
 
-    # Only ranges that hold a wanted rank survive, then each is sorted on its own.
-    held = wanted.select(*ids, "range_no", "before_n").dropDuplicates()
-    in_range = Window.partitionBy(*ids, "range_no").orderBy("v").rowsBetween(
+    # Only ranges that hold a wanted rank survive, and each is sorted on its own.
+    range_ids = [*ids, "range_no"]
+    held = wanted.select(*range_ids, "before_n").dropDuplicates()
+    in_range = Window.partitionBy(*range_ids).orderBy("v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     inside = (
-        placed.join(held, _null_safe(placed, held, [*ids, "range_no"]))
-        .select(*[placed[k] for k in [*ids, "range_no"]], "v", "n", "before_n")
+        placed.alias("l")
+        .join(held.alias("r"), _same(range_ids))
+        .select(*[f"l.{k}" for k in range_ids], "v", "n", "before_n")
         .withColumn("last_rank", F.col("before_n") + F.sum("n").over(in_range) - 1)
-        .withColumn("first_rank", F.col("last_rank") - F.col("n") + 1)
-    )
-    hit = (
-        _null_safe(inside, wanted, [*ids, "range_no"])
-        & (wanted["rank_no"] >= inside["first_rank"])
-        & (wanted["rank_no"] <= inside["last_rank"])
     )
+    hit = F.col("rank_no").between(F.col("last_rank") - F.col("n") + 1, F.col("last_rank"))
     frac = F.col("position") - F.floor("position")
     return (
-        inside.join(wanted, hit)
-        .select(*[wanted[k] for k in ids], "p", "position", "v")
-        .groupBy(*ids, "p", "position")
+        inside.drop("before_n")
+        .alias("l")
+        .join(wanted.alias("r"), _same(range_ids) & hit)
+        .groupBy(*[F.col(f"r.{k}").alias(k) for k in ids], "p", "position")
         .agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
         .select(*ids, "p", (F.col("lo") * (1 - frac) + F.col("hi") * frac).alias("q"))
     )
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]):
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
+def _same(keys: Sequence[str]) -> Column:
+    """Equal keys of the sides ``l`` and ``r``; NULL keys are a group of their own."""
+    return reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys])

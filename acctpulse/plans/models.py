@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from itertools import combinations, product
 
 import numpy as np
 import pandas as pd
@@ -17,7 +16,8 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acctpulse.operators.moments import group_moments
+from acctpulse.functions import safe_div
+from acctpulse.operators.moments import group_moments, pair_moments
 from acctpulse.plans.segments import complete_cases
 
 OLS_SCHEMA = "segment_name string, term string, coefficient double, p_value double, r_squared double, n long"
@@ -45,11 +45,11 @@ def segment_ols(
 
 
 def _unpack(record: dict, k: int) -> tuple[int, np.ndarray, np.ndarray]:
-    mean = np.array([record[f"mean_{i}"] for i in range(k)], dtype=float)
-    cov = np.empty((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            cov[i, j] = cov[j, i] = record[f"cov_{i}_{j}"]
+    mean, cov = np.empty(k), np.empty((k, k))
+    for pair in record["pairs"]:
+        i, j = pair["i"], pair["j"]
+        mean[i], mean[j] = pair["mean_i"], pair["mean_j"]
+        cov[i, j] = cov[j, i] = pair["cov"]
     return int(record["n"]), mean, cov
 
 
@@ -122,35 +122,26 @@ def _beta_tail(a: float, b: float, x: float) -> float:
 def segment_correlation(
     df: DataFrame, columns: Sequence[str], segment: str = "segment_name"
 ) -> DataFrame:
-    """Pearson correlation of every pair per segment, over rows where both are present.
+    """Pearson correlation matrix per segment in long form, over rows where both are present.
 
-    One aggregate for all pairs; each unordered pair is computed once.
+    NULL where a column is constant or fewer than two rows are present.
     """
-    x = {c: F.col(c).cast("double") for c in columns}
-    pairs = list(combinations(columns, 2))
-    wide = df.groupBy(segment).agg(
-        *[_corr(x[a], x[b]).alias(f"{a}|{b}") for a, b in pairs],
-        *[_corr(x[c], x[c]).alias(f"{c}|{c}") for c in columns],
+    names = F.array(*[F.lit(c) for c in columns])
+    a, b = names[F.col("i")], names[F.col("j")]
+    spread = F.sqrt("var_i") * F.sqrt("var_j")
+    cells = pair_moments(df, segment, columns).select(
+        segment, a.alias("a"), b.alias("b"), (F.col("i") != F.col("j")).alias("off_diagonal"),
+        safe_div("cov", spread).alias("corr"),
     )
-
-    def name(a: str, b: str) -> str:
-        return f"{a}|{b}" if f"{a}|{b}" in wide.columns else f"{b}|{a}"
-
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(a).alias("metric_a"), F.lit(b).alias("metric_b"), wide[f"`{name(a, b)}`"].alias("corr")
-            )
-            for a, b in product(columns, columns)
-        ]
+    # the lower triangle mirrors the upper one
+    both = F.filter(
+        F.array(
+            F.struct(F.col("a").alias("metric_a"), F.col("b").alias("metric_b"), F.lit(True).alias("keep")),
+            F.struct(F.col("b").alias("metric_a"), F.col("a").alias("metric_b"), F.col("off_diagonal").alias("keep")),
+        ),
+        lambda cell: cell["keep"],
     )
-    return wide.select(segment, F.inline(cells))
-
-
-def _corr(a, b):
-    """NULL, not NaN, where a column is constant or fewer than two rows are present."""
-    c = F.corr(a, b)
-    return F.when(~F.isnan(c), c)
+    return cells.select(segment, F.inline(both), "corr").drop("keep")
 
 
 def segment_vif(df: DataFrame, columns: Sequence[str], segment: str = "segment_name") -> DataFrame:

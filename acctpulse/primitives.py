@@ -135,24 +135,30 @@ def join_computed_key(i):
 @primitive
 def join_band(i):
     """Pairs of days of one account at most 10 days apart, counted and summed."""
-    a = i.account_day_gaps().select("account_id", "report_dt", "amount_month")
-    b = a.select("account_id", F.col("report_dt").alias("other_dt"), F.col("amount_month").alias("other"))
+    a, b = i.account_day_gaps().alias("a"), i.account_day_gaps().alias("b")
+    cond = (F.col("a.account_id") == F.col("b.account_id")) & F.datediff(
+        "b.report_dt", "a.report_dt"
+    ).between(-10, 0)
+    other = F.col("b.amount_month")
     return (
-        a.join(b, (a["account_id"] == b["account_id"]) & F.datediff("other_dt", "report_dt").between(-10, 0), "left")
-        .groupBy(a["account_id"], "report_dt")
-        .agg(F.count("other").alias("days"), F.sum("other").alias("amount_11d"))
+        a.join(b, cond, "left")
+        .groupBy("a.account_id", "a.report_dt")
+        .agg(F.count(other).alias("days"), F.sum(other).alias("amount_11d"))
     )
 
 
 @primitive
 def join_theta(i):
     """Equality plus inequality: every month against the account's months so far."""
-    m = i.account_month_end()
-    past = m.select("account_id", F.col("report_dt").alias("past_dt"), F.col("amount_month").alias("past"))
+    m, past = i.account_month_end().alias("m"), i.account_month_end().alias("past")
+    cond = (F.col("m.account_id") == F.col("past.account_id")) & (
+        F.col("past.report_dt") <= F.col("m.report_dt")
+    )
+    amount = F.col("past.amount_month")
     return (
-        m.join(past, (m["account_id"] == past["account_id"]) & (F.col("past_dt") <= F.col("report_dt")))
-        .groupBy(m["account_id"], "report_dt")
-        .agg(F.sum("past").alias("amount_to_date"), F.max("past").alias("highest_to_date"))
+        m.join(past, cond)
+        .groupBy("m.account_id", "m.report_dt")
+        .agg(F.sum(amount).alias("amount_to_date"), F.max(amount).alias("highest_to_date"))
     )
 
 

@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acctpulse.operators.moments import group_moments
+from acctpulse.operators.moments import pair_moments
 from acctpulse.operators.effective import weekly_presence
 from acctpulse.operators.rolling import trailing_median
 from acctpulse.plans import billing, churn, finance, health, models, panel, segments, support, usage
@@ -640,11 +640,13 @@ def _(i):
     return models.segment_vif(_imputed(i), segments.MODEL_METRICS)
 
 
-@analysis("group_moments")
+@analysis("pair_moments")
 def _(i):
     rows = i.model_rows().dropna(subset=["tax_pct"])
-    m = group_moments(rows, "segment_name", ["quantity", "tax_pct"])
-    return m.select("segment_name", "n", *[F.round(c, 6).alias(c) for c in m.columns[2:]])
+    m = pair_moments(rows, "segment_name", ["quantity", "tax_pct"])
+    return m.select(
+        "segment_name", "i", "j", "n", *[F.round(c, 6).alias(c) for c in ("mean_i", "mean_j", "cov")]
+    )
 
 
 @analysis("rf_importance")
