@@ -2,8 +2,9 @@
 
 ``F.percentile`` merges a value-to-count map of the whole group in one task.
 That is fine where distinct values are few, and not for amounts over a whole
-population. Here a group is cut into value ranges first; only the ranges that
-hold a wanted rank are sorted.
+population. Here a mergeable sketch brackets each wanted rank first. The second
+pass counts what lies below and above each bracket and keeps single values only
+inside it, so little is shuffled and no task sees a whole group.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
+ACCURACY = 10000
 
 
 def exact_quantiles(
@@ -22,71 +23,78 @@ def exact_quantiles(
     keys: Sequence[str],
     columns: Sequence[str],
     probabilities: Sequence[float],
-    ranges: int = RANGES,
+    accuracy: int = ACCURACY,
 ) -> DataFrame:
     """One row per (key, metric, p): keys..., metric, p, q.
 
     NULL values are ignored; a (key, metric) with no value has no row. ``q`` is
     interpolated linearly between the two nearest ranks.
+
+    The sketch is off by at most n / accuracy ranks, so a bracket of four times
+    that holds the wanted ranks, or for a small group ends at most one rank
+    beside them; the nearest values outside are kept for that case. A rank that
+    is not covered would fail the query, not change its result.
     """
     ids = [*keys, "metric"]
-    counts = (
+    long = (
         df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
         .unpivot(list(keys), list(columns), "metric", "v")
         .filter(F.col("v").isNotNull())
-        .groupBy(*ids, "v")
-        .agg(F.count(F.lit(1)).alias("n"))
     )
-    # Cut points need not be exact: they only decide where a value is counted.
-    steps = [i / ranges for i in range(1, ranges)]
-    cuts = counts.groupBy(*ids).agg(F.percentile_approx("v", steps, 1000).alias("cuts"))
-    placed = counts.alias("l").join(cuts.alias("r"), _same(ids)).select(
-        *[f"l.{k}" for k in ids],
-        "v",
-        "n",
-        F.size(F.filter("cuts", lambda c: c <= F.col("v"))).alias("range_no"),
+    margin = 4.0 / accuracy
+    edges = [e for p in probabilities for e in (max(p - margin, 0.0), min(p + margin, 1.0))]
+    sketch = long.groupBy(*ids).agg(
+        F.count("v").alias("total_n"), F.percentile_approx("v", edges, accuracy).alias("edges")
+    )
+    brackets = sketch.select(
+        *ids,
+        F.array(
+            *[
+                F.struct(
+                    F.lit(float(p)).alias("p"),
+                    F.col("edges")[2 * k].alias("low"),
+                    F.col("edges")[2 * k + 1].alias("high"),
+                    ((F.col("total_n") - 1) * F.lit(float(p))).alias("position"),
+                )
+                for k, p in enumerate(probabilities)
+            ]
+        ).alias("brackets"),
     )
 
-    totals = placed.groupBy(*ids, "range_no").agg(F.sum("n").alias("range_n"))
-    by_group = Window.partitionBy(*ids)
-    before = by_group.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
-    # At most two ranks per group and probability.
-    wanted = (
-        totals.withColumn("before_n", F.coalesce(F.sum("range_n").over(before), F.lit(0)))
-        .withColumn("total_n", F.sum("range_n").over(by_group))
-        .withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
-        .withColumn("position", (F.col("total_n") - 1) * F.col("p"))
-        .withColumn(
-            "rank_no",
-            F.explode(F.array_distinct(F.array(F.floor("position"), F.ceil("position")))),
-        )
-        .filter(
-            (F.col("rank_no") >= F.col("before_n"))
-            & (F.col("rank_no") < F.col("before_n") + F.col("range_n"))
-        )
-        .select(*ids, "range_no", "before_n", "p", "position", "rank_no")
+    v, low, high = F.col("v"), F.col("low"), F.col("high")
+    side = F.when(v < low, -1).when(v > high, 1).otherwise(0)
+    parts = (
+        long.alias("l")
+        .join(brackets.alias("r"), _same(ids))
+        .select(*[f"l.{k}" for k in ids], "v", F.inline("brackets"))
+        .groupBy(*ids, "p", "position", side.alias("side"), F.when(v.between(low, high), v).alias("inside"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lowest"), F.max("v").alias("highest"))
     )
 
-    # Only ranges that hold a wanted rank survive, and each is sorted on its own.
-    range_ids = [*ids, "range_no"]
-    held = wanted.select(*range_ids, "before_n").dropDuplicates()
-    in_range = Window.partitionBy(*range_ids).orderBy("v").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    # Per group: one part below, one above, and the single values in between.
+    upto = (
+        Window.partitionBy(*ids, "p")
+        .orderBy("side", "inside")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    inside = (
-        placed.alias("l")
-        .join(held.alias("r"), _same(range_ids))
-        .select(*[f"l.{k}" for k in range_ids], "v", "n", "before_n")
-        .withColumn("last_rank", F.col("before_n") + F.sum("n").over(in_range) - 1)
+    ranked = parts.withColumn("last", F.sum("n").over(upto) - 1).withColumn(
+        "first", F.col("last") - F.col("n") + 1
     )
-    hit = F.col("rank_no").between(F.col("last_rank") - F.col("n") + 1, F.col("last_rank"))
-    frac = F.col("position") - F.floor("position")
+
+    def value_at(rank: Column) -> Column:
+        known = (
+            F.when(F.col("side") == 0, F.col("inside"))
+            .when((F.col("side") < 0) & (rank == F.col("last")), F.col("highest"))
+            .when((F.col("side") > 0) & (rank == F.col("first")), F.col("lowest"))
+            .otherwise(F.raise_error(F.lit("quantile rank outside its bracket")).cast("double"))
+        )
+        return F.max(F.when(rank.between(F.col("first"), F.col("last")), known))
+
+    position = F.col("position")
+    frac = position - F.floor(position)
     return (
-        inside.drop("before_n")
-        .alias("l")
-        .join(wanted.alias("r"), _same(range_ids) & hit)
-        .groupBy(*[F.col(f"r.{k}").alias(k) for k in ids], "p", "position")
-        .agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+        ranked.groupBy(*ids, "p", "position")
+        .agg(value_at(F.floor(position)).alias("lo"), value_at(F.ceil(position)).alias("hi"))
         .select(*ids, "p", (F.col("lo") * (1 - frac) + F.col("hi") * frac).alias("q"))
     )
 

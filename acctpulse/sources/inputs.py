@@ -122,11 +122,12 @@ class Inputs:
             )
         )
         joined = facts.join(accounts, "account_id")
+        parent = F.when(k % 10 == 9, k - 1).otherwise(k)
         term_end = _term_end(k)
         low = F.col("lowest_priority")
         return joined.select(
             "account_id",
-            F.when(k % 10 == 9, k - 1).otherwise(k).alias("effective_account_id"),
+            parent.alias("effective_account_id"),
             k.alias("crm_account_id"),
             "account_name",
             "report_dt",
@@ -159,8 +160,8 @@ class Inputs:
             (F.col("amount_month") * 4).alias("ytd_amount"),
             F.col("amount_month").alias("mtd_amount"),
             _when(
-                (k % 13 == 0, F.lit("SELF_SERVE")),
-                ((k % 6 == 1) & (d >= _d("1999-06-01")), F.lit("Cancelled Account")),
+                (parent % 13 == 0, F.lit("SELF_SERVE")),
+                ((parent % 6 == 1) & (d >= _d("1999-06-01")), F.lit("Cancelled Account")),
                 default=F.lit("SALES_LED"),
             ).alias("sales_channel"),
             (k % 11 == 0).alias("exclusion_flag"),

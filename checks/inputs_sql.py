@@ -77,8 +77,8 @@ SELECT f.*, CASE WHEN account_id % 10 = 9 THEN account_id - 1 ELSE account_id EN
        CAST(account_id % 300 * 1000 AS DOUBLE) AS min_commit,
        amount_month * 3 AS ctd_amount, amount_month * 2 AS qtd_amount, amount_month * 4 AS ytd_amount,
        amount_month AS mtd_amount,
-       CASE WHEN account_id % 13 = 0 THEN 'SELF_SERVE'
-            WHEN account_id % 6 = 1 AND report_dt >= DATE '1999-06-01' THEN 'Cancelled Account'
+       CASE WHEN effective_account_id % 13 = 0 THEN 'SELF_SERVE'
+            WHEN effective_account_id % 6 = 1 AND report_dt >= DATE '1999-06-01' THEN 'Cancelled Account'
             ELSE 'SALES_LED' END AS sales_channel,
        account_id % 11 = 0 AS exclusion_flag,
        CASE WHEN account_id % 3 <> 0 THEN round(c_acctbal * 4) / 4 END AS act_acr,
