@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from acctpulse.session import materialize
+
 ACCURACY = 10000
 
 
@@ -36,37 +38,48 @@ def exact_quantiles(
     is not covered would fail the query, not change its result.
     """
     ids = [*keys, "metric"]
-    long = (
-        df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
-        .unpivot(list(keys), list(columns), "metric", "v")
-        .filter(F.col("v").isNotNull())
-    )
+    names = list(columns)
+    rows = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in names])
     margin = 4.0 / accuracy
     edges = [e for p in probabilities for e in (max(p - margin, 0.0), min(p + margin, 1.0))]
-    sketch = long.groupBy(*ids).agg(
-        F.count("v").alias("total_n"), F.percentile_approx("v", edges, accuracy).alias("edges")
-    )
-    brackets = sketch.select(
-        *ids,
-        F.array(
-            *[
-                F.struct(
-                    F.lit(float(p)).alias("p"),
-                    F.col("edges")[2 * k].alias("low"),
-                    F.col("edges")[2 * k + 1].alias("high"),
-                    ((F.col("total_n") - 1) * F.lit(float(p))).alias("position"),
-                )
-                for k, p in enumerate(probabilities)
-            ]
-        ).alias("brackets"),
+    sketch = rows.groupBy(*keys).agg(
+        *[F.count(c).alias(f"n_{c}") for c in names],
+        *[F.percentile_approx(c, edges, accuracy).alias(f"edges_{c}") for c in names],
     )
+    sketched = [f"{kind}_{c}" for c in names for kind in ("n", "edges")]
+    if keys:
+        # Written first, so that the planner knows its size: it broadcasts the
+        # sketches of a few groups and shuffles rows only where they are many.
+        sketch = materialize(sketch, "quantile_sketch")
+        known = rows.alias("l").join(sketch.alias("r"), _same(keys)).select(
+            *[f"l.{k}" for k in keys], *names, *sketched
+        )
+    else:
+        one = sketch.select(F.struct(*sketched)).scalar()
+        known = rows.select(*names, one.alias("_s")).select(*names, "_s.*")
+
+    def bracket(c: str, k: int, p: float) -> Column:
+        return F.struct(
+            F.lit(float(p)).alias("p"),
+            F.col(f"edges_{c}")[2 * k].alias("low"),
+            F.col(f"edges_{c}")[2 * k + 1].alias("high"),
+            ((F.col(f"n_{c}") - 1) * F.lit(float(p))).alias("position"),
+        )
+
+    wide_rows = [
+        F.struct(
+            F.lit(c).alias("metric"),
+            F.col(c).alias("v"),
+            F.array(*[bracket(c, k, p) for k, p in enumerate(probabilities)]).alias("brackets"),
+        )
+        for c in names
+    ]
+    long = known.select(*keys, F.inline(F.array(*wide_rows))).filter(F.col("v").isNotNull())
 
     v, low, high = F.col("v"), F.col("low"), F.col("high")
     side = F.when(v < low, -1).when(v > high, 1).otherwise(0)
     parts = (
-        long.alias("l")
-        .join(brackets.alias("r"), _same(ids))
-        .select(*[f"l.{k}" for k in ids], "v", F.inline("brackets"))
+        long.select(*ids, "v", F.inline("brackets"))
         .groupBy(*ids, "p", "position", side.alias("side"), F.when(v.between(low, high), v).alias("inside"))
         .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lowest"), F.max("v").alias("highest"))
     )

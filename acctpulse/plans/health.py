@@ -127,14 +127,16 @@ def score_columns() -> dict[str, Column]:
     return {score_name(m): both[m] for m in METRICS}
 
 
-def metric_scores(panel: DataFrame, percentiles: DataFrame, rounded: bool = True) -> DataFrame:
-    """One score per metric, rounded to whole numbers.
+def with_percentiles(panel: DataFrame, percentiles: DataFrame) -> DataFrame:
+    """The one percentile row as columns, through a scalar subquery: scoring stays row-local."""
+    row = percentiles.select(F.struct("*")).scalar()
+    return panel.select("*", row.alias("_marks")).select("*", "_marks.*").drop("_marks")
 
-    ``percentiles`` has exactly one row, so the cross join broadcasts one row.
-    """
-    scored = panel.crossJoin(F.broadcast(percentiles))
+
+def metric_scores(panel: DataFrame, percentiles: DataFrame, rounded: bool = True) -> DataFrame:
+    """One score per metric, rounded to whole numbers."""
     scores = score_columns()
-    return scored.select(
+    return with_percentiles(panel, percentiles).select(
         *KEY, *[(dec0(c) if rounded else c).alias(name) for name, c in scores.items()]
     )
 
@@ -174,7 +176,7 @@ def health_score(
     scores = score_columns()
     kept = list(dict.fromkeys([*ids, *KEY]))
     wide = category_scores(
-        panel.crossJoin(F.broadcast(percentiles)).select(
+        with_percentiles(panel, percentiles).select(
             *kept, *METRICS, *[dec0(c).alias(n) for n, c in scores.items()]
         )
     )

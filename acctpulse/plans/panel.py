@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acctpulse.functions import dec2
+from acctpulse.operators.latest import month_end_or, newest
 from acctpulse.plans import billing, finance, support, usage
 
 
@@ -51,7 +52,9 @@ def account_360(
     stickiness = usage.product_stickiness(s.feature_flags, s.features, as_of, months).withColumn(
         "product_stickiness_ratio", dec2("product_stickiness_ratio")
     )
-    rolled = usage.stickiness_utilization(s.panel, daily, thresholds, as_of, months).select(
+    # The rolling measures need every day; only the panel's dates go on to the join.
+    rolled = usage.stickiness_utilization(s.panel, daily, thresholds, as_of, months)
+    rolled = month_end_or(rolled, "report_dt", newest(s.panel, "report_dt")).select(
         "account_id",
         "report_dt",
         "dau_actuals",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from acctpulse.functions import month_diff
 from acctpulse.operators.quantiles import exact_quantiles
+from acctpulse.session import materialize
 
 # Program, early segment, late segment. Early: at most 6 months old.
 PLANS = (
@@ -94,8 +95,12 @@ def segment_medians(df: DataFrame, columns: Sequence[str], segment: str = "segme
 def impute_segment_median(
     df: DataFrame, columns: Sequence[str], segment: str = "segment_name"
 ) -> DataFrame:
-    """Fill NULLs with the segment median; a column NULL throughout a segment stays NULL."""
-    medians = segment_medians(df, columns, segment)
+    """Fill NULLs with the segment median; a column NULL throughout a segment stays NULL.
+
+    The medians are written before the join: with their size known, the few
+    rows are broadcast and the panel is not shuffled by segment.
+    """
+    medians = materialize(segment_medians(df, columns, segment), "segment_medians")
     m = medians.select(F.col(segment).alias("_seg"), *[F.col(c).alias(f"_med_{c}") for c in columns])
     joined = df.join(m, F.col(segment) == F.col("_seg"), "left").drop("_seg")
     filled = {c: F.coalesce(F.col(c).cast("double"), F.col(f"_med_{c}")) for c in columns}

@@ -134,31 +134,33 @@ def join_computed_key(i):
 
 @primitive
 def join_band(i):
-    """Pairs of days of one account at most 10 days apart, counted and summed."""
-    a, b = i.account_day_gaps().alias("a"), i.account_day_gaps().alias("b")
-    cond = (F.col("a.account_id") == F.col("b.account_id")) & F.datediff(
-        "b.report_dt", "a.report_dt"
-    ).between(-10, 0)
-    other = F.col("b.amount_month")
-    return (
-        a.join(b, cond, "left")
-        .groupBy("a.account_id", "a.report_dt")
-        .agg(F.count(other).alias("days"), F.sum(other).alias("amount_11d"))
+    """Days of the account at most 10 days back: a band self-join, as a RANGE frame.
+
+    No pairs are formed; a frame holds at most 11 days of one account.
+    """
+    a = i.account_day_gaps().withColumn("day_no", F.unix_date("report_dt"))
+    band = Window.partitionBy("account_id").orderBy("day_no").rangeBetween(-10, Window.currentRow)
+    return a.select(
+        "account_id",
+        "report_dt",
+        F.count("amount_month").over(band).alias("days"),
+        F.sum("amount_month").over(band).alias("amount_11d"),
     )
 
 
 @primitive
 def join_theta(i):
-    """Equality plus inequality: every month against the account's months so far."""
-    m, past = i.account_month_end().alias("m"), i.account_month_end().alias("past")
-    cond = (F.col("m.account_id") == F.col("past.account_id")) & (
-        F.col("past.report_dt") <= F.col("m.report_dt")
+    """Every month against the account's months so far, accumulated instead of paired."""
+    upto = (
+        Window.partitionBy("account_id")
+        .orderBy("report_dt")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    amount = F.col("past.amount_month")
-    return (
-        m.join(past, cond)
-        .groupBy("m.account_id", "m.report_dt")
-        .agg(F.sum(amount).alias("amount_to_date"), F.max(amount).alias("highest_to_date"))
+    return i.account_month_end().select(
+        "account_id",
+        "report_dt",
+        F.sum("amount_month").over(upto).alias("amount_to_date"),
+        F.max("amount_month").over(upto).alias("highest_to_date"),
     )
 
 
@@ -201,13 +203,13 @@ def join_lag(i):
 
 @primitive
 def cross_join_scalar(i):
+    """A one-row aggregate next to every row, as scalar subqueries."""
     u = i.weekly_usage()
-    top = u.agg(F.max("run_rate").alias("top"), F.max("close_week").alias("last_week"))
-    return u.crossJoin(F.broadcast(top)).select(
+    return u.select(
         "account_id",
         "close_week",
-        (F.col("run_rate") / F.col("top")).alias("share"),
-        (F.col("close_week") < F.col("last_week")).alias("is_before_last"),
+        (F.col("run_rate") / newest(u, "run_rate")).alias("share"),
+        (F.col("close_week") < newest(u, "close_week")).alias("is_before_last"),
     )
 
 
@@ -280,7 +282,8 @@ def median_percentiles(i):
     lines = i.table("lineitem").select("l_returnflag", "l_extendedprice", "l_quantity")
     by_flag = exact_quantiles(lines, ["l_returnflag"], ["l_extendedprice", "l_quantity"], [0.01, 0.5, 0.99])
     overall = exact_quantiles(lines, [], ["l_extendedprice", "l_quantity"], [0.01, 0.5, 0.99])
-    return by_flag.unionByName(overall.withColumn("l_returnflag", F.lit("all")))
+    both = by_flag.unionByName(overall.withColumn("l_returnflag", F.lit("all")))
+    return both.withColumn("q", F.round("q", 6))
 
 
 @primitive
@@ -288,10 +291,11 @@ def window_percentiles(i):
     """Quartiles of order amounts per status and month, put on every order."""
     o = i.dated_orders().select("o_orderkey", "status", month_start("order_dt").alias("month"), "amount")
     keys = ["status", "month"]
-    quartiles = o.groupBy(*keys).agg(
-        *[F.percentile("amount", F.lit(p)).alias(f"q{int(p * 100)}") for p in (0.25, 0.5, 0.75)]
+    q = exact_quantiles(o, keys, ["amount"], [0.25, 0.5, 0.75])
+    wide = q.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("p") == p, F.col("q"))).alias(f"q{int(p * 100)}") for p in (0.25, 0.5, 0.75)]
     )
-    return o.join(quartiles, keys)
+    return o.join(wide, keys)
 
 
 @primitive
@@ -339,11 +343,11 @@ def lead_n(i):
 
 @primitive
 def rank_numbering(i):
-    o = i.dated_orders().select("o_orderkey", "account_id", "order_dt")
-    by_day = Window.partitionBy("account_id").orderBy("order_dt", "o_orderkey")
-    by_month = Window.partitionBy("account_id").orderBy(month_start("order_dt"))
-    return o.withColumns(
-        {"order_no": F.row_number().over(by_day), "month_no": F.dense_rank().over(by_month)}
+    m = i.account_month_end().select("account_id", "report_dt")
+    by_month = Window.partitionBy("account_id").orderBy("report_dt")
+    by_year = Window.partitionBy("account_id").orderBy(F.year("report_dt"))
+    return m.withColumns(
+        {"month_no": F.row_number().over(by_month), "year_no": F.dense_rank().over(by_year)}
     )
 
 

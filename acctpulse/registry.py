@@ -281,15 +281,16 @@ def _(i):
 
 
 def account_panel(i: Inputs) -> DataFrame:
+    # The sources that several branches read are tables, as they would be in a warehouse.
     return panel.account_360(
         panel.PanelSources(
-            panel=i.account_daily(),
+            panel=materialize(i.account_daily(), "account_daily"),
             feature_flags=i.feature_flags_monthly(),
             features=FEATURES,
-            feature_usage=i.feature_usage_daily(),
+            feature_usage=materialize(i.feature_usage_daily(), "feature_usage_daily"),
             account_flags=i.account_flags_daily(),
             account_metrics=i.account_metrics_daily(),
-            cases=i.support_cases(),
+            cases=materialize(i.support_cases(), "support_cases"),
             case_history=i.case_history(),
             risk_weekly=i.score_weekly(),
             sentiment_weekly=i.score_weekly(),
@@ -521,7 +522,7 @@ def _(i):
 def churn_table(i: Inputs) -> DataFrame:
     return churn.churn_features(
         churn.ChurnSources(
-            panel=i.account_daily(),
+            panel=materialize(i.account_daily(), "account_daily"),
             changes=i.acr_change(),
             capability_consumption=i.capability_consumption_daily(),
             feature_usage=i.feature_usage_daily(),

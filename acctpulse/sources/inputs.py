@@ -15,6 +15,7 @@ from acctpulse.functions import month_start, week_close_after
 from acctpulse.sources.tables import read_table
 
 OPEN_END = date(9999, 12, 31)
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 
 
 def quarters(c: Column | str) -> Column:
@@ -100,8 +101,14 @@ class Inputs:
                 part(status == "O", "core_user_amt", 2.0),
                 part(status == "F", "full_user_price", 0.125),
                 part(status == "O", "core_user_price", 0.125),
-                F.min("priority").alias("lowest_priority"),
-                F.max("priority").alias("highest_priority"),
+                F.min(urgent.cast("int")).alias("lowest_priority"),
+                F.max(urgent.cast("int")).alias("highest_priority"),
+            )
+            .withColumns(
+                {
+                    c: F.array(*[F.lit(p) for p in PRIORITIES])[F.col(c) - 1]
+                    for c in ("lowest_priority", "highest_priority")
+                }
             )
         )
         k = F.col("account_id")

@@ -83,7 +83,7 @@ Q["presence_flags_week"] = (
     + " FROM (SELECT * FROM competitors_us UNION ALL SELECT * FROM competitors_eu) GROUP BY 1, 2"
 )
 Q["median_percentiles"] = "\nUNION ALL ".join(
-    f"SELECT {key} AS l_returnflag, '{m}' AS metric, CAST({p} AS DOUBLE) AS p, quantile_cont({m}, {p}) AS q FROM lineitem {group}"
+    f"SELECT {key} AS l_returnflag, '{m}' AS metric, CAST({p} AS DOUBLE) AS p, round(quantile_cont({m}, {p}), 6) AS q FROM lineitem {group}"
     for key, group in (("l_returnflag", "GROUP BY 1"), ("'all'", ""))
     for m in ("l_extendedprice", "l_quantity")
     for p in (0.01, 0.5, 0.99)
@@ -113,10 +113,10 @@ Q["lead_n"] = "SELECT *, " + ", ".join(
     for n in (1, 3, 4, 5, 6, 10, 11, 12)
 ) + " FROM month_ends"
 Q["rank_numbering"] = """
-SELECT o_orderkey, account_id, order_dt,
-       CAST(row_number() OVER (PARTITION BY account_id ORDER BY order_dt, o_orderkey) AS INTEGER) AS order_no,
-       CAST(dense_rank() OVER (PARTITION BY account_id ORDER BY date_trunc('month', order_dt)) AS INTEGER) AS month_no
-FROM ord"""
+SELECT account_id, report_dt,
+       CAST(row_number() OVER (PARTITION BY account_id ORDER BY report_dt) AS INTEGER) AS month_no,
+       CAST(dense_rank() OVER (PARTITION BY account_id ORDER BY year(report_dt)) AS INTEGER) AS year_no
+FROM month_ends"""
 Q["top_one_per_group"] = """
 SELECT account_id, o_orderkey, amount, priority
 FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY amount DESC, o_orderkey) AS rn FROM ord) WHERE rn = 1"""
