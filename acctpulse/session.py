@@ -28,17 +28,23 @@ def local_session(cpus: str = "8", name: str = "acctpulse", memory: str = "20g")
     return builder.getOrCreate()
 
 
+_own_folder: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Where it is unset (tests on one machine) a temporary folder is used and
-    kept for the session.
+    Where it is unset, a local-mode session (tests) gets a temporary folder. A
+    cluster must name one: a folder of one machine would not be shared.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="acctpulse-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _own_folder:
+        _own_folder.append(tempfile.mkdtemp(prefix="acctpulse-"))
+    return _own_folder[0]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
