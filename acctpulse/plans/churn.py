@@ -510,10 +510,16 @@ class ChurnSources:
 def churn_features(s: ChurnSources, floor: date = FLOOR) -> DataFrame:
     """All feature sets on the spine.
 
-    Sources with one row per account and week share a single lag pass; those
-    that may repeat a week are joined, so that they fan out as joins do.
+    Sources that may repeat a week are joined, so that they fan out as joins
+    do; this happens first, while the spine is narrow. Sources with one row per
+    account and week then share a single lag pass, one shuffle by account.
     """
     spine = weekly_spine(s.panel, s.changes, floor)
+    competitors = competitor_flags(s.competitor_regions, s.hierarchy, floor, s.counters)
+    spine = with_flags(spine, weekly_flags(s.flags_daily, floor))
+    spine = with_competitors(spine, competitors, s.counters)
+    spine = with_logs(spine, weekly_logs(s.logs))
+
     volume = weekly_rolling_max(rolling_consumption(s.consumption))
     families = weekly_families(s.capability_consumption, floor)
     presence = {
@@ -531,15 +537,11 @@ def churn_features(s: ChurnSources, floor: date = FLOOR) -> DataFrame:
         (weekly_sentiment(s.panel), {"sentiment_rating": LONG_LAGS}),
         *[(weeks.withColumn(n, F.lit(1)), {n: LONG_LAGS}) for n, weeks in presence.items()],
     )
-    for ratios in (CAPS_RATIOS, WAU_RATIOS, RUN_RATE_RATIOS, ROLLING_7_RATIOS, ROLLING_30_RATIOS):
-        out = with_ratios(out, ratios, div0)
+    ratios = [CAPS_RATIOS, WAU_RATIOS, RUN_RATE_RATIOS, ROLLING_7_RATIOS, ROLLING_30_RATIOS]
+    out = with_ratios(out, {k: v for r in ratios for k, v in r.items()}, div0)
     out = out.withColumns({n: F.coalesce(n, F.lit(0)) for n in FAMILY_FLAGS})
     out = _labels(_labels(out, "temperature"), "sentiment_rating")
-    out = _zeros(out, list(presence))
-    out = with_flags(out, weekly_flags(s.flags_daily, floor))
-    out = with_logs(out, weekly_logs(s.logs))
-    competitors = competitor_flags(s.competitor_regions, s.hierarchy, floor, s.counters)
-    return with_competitors(out, competitors, s.counters)
+    return _zeros(out, list(presence))
 
 
 def latest_week(features: DataFrame) -> DataFrame:

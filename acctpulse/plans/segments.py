@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from acctpulse.functions import month_diff
@@ -54,9 +54,14 @@ def metric_names(score_names: Sequence[str], suffix: str = "_HSCORE") -> list[st
 
 
 def account_segments(panel: DataFrame, as_of: date) -> DataFrame:
-    """Panel rows of the five analysed segments, with account age in months."""
-    first = panel.groupBy("account_id", "account_name").agg(F.min("term_start").alias("min_sub_date"))
-    aged = panel.join(first, ["account_id", "account_name"], "left").withColumn(
+    """Panel rows of the five analysed segments, with account age in months.
+
+    The age counts from the first term start of the account and name, over all
+    their rows; without an account or name it is unknown.
+    """
+    named = F.col("account_id").isNotNull() & F.col("account_name").isNotNull()
+    first = F.min("term_start").over(Window.partitionBy("account_id", "account_name"))
+    aged = panel.withColumn("min_sub_date", F.when(named, first)).withColumn(
         "account_age_mths", month_diff("min_sub_date", F.lit(as_of))
     )
     program, age = F.col("latest_program"), F.col("account_age_mths")

@@ -476,6 +476,6 @@ def query_text(i):
     i.table("orders").createOrReplaceTempView("acctpulse_orders")
     return run_query(
         i.spark,
-        "SELECT o_orderstatus AS status, count(*) AS orders, max(o_totalprice) AS highest "
+        "SELECT o_orderstatus AS `status`, count(*) AS orders, max(`o_totalprice`) AS highest "
         "FROM acctpulse_orders GROUP BY ALL",
     )
