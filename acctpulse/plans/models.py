@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from acctpulse.functions import safe_div
 from acctpulse.operators.moments import group_moments, pair_moments
-from acctpulse.plans.segments import complete_cases
+from acctpulse.plans.segments import SEGMENTS, complete_cases
+from acctpulse.session import materialize
 
 OLS_SCHEMA = "segment_name string, term string, coefficient double, p_value double, r_squared double, n long"
 VIF_SCHEMA = "segment_name string, feature string, vif double"
@@ -177,26 +178,27 @@ def rf_importance(
     columns: Sequence[str],
     target: str,
     segment: str = "segment_name",
-    segments: Sequence[str] | None = None,
+    segments: Sequence[str] = SEGMENTS,
     trees: int = 100,
     seed: int = 42,
     max_depth: int = 30,
 ) -> DataFrame:
     """Random-forest importance of each metric per segment, highest first.
 
-    One distributed fit per segment; ``segments`` defaults to those present,
-    which are few by construction (see ``account_segments``). A segment without
-    a complete row is skipped.
+    One distributed fit per named segment, over rows that are written once. A
+    segment without a complete row is skipped.
     """
     names = list(columns)
-    rows = complete_cases(df, names, target).select(
-        segment, *[F.col(c).cast("double").alias(c) for c in [*names, target]]
+    complete = complete_cases(df, names, target).filter(F.col(segment).isin(*segments))
+    rows = materialize(
+        complete.select(segment, *[F.col(c).cast("double").alias(c) for c in [*names, target]]),
+        "forest_rows",
     )
     assembled = VectorAssembler(inputCols=names, outputCol="features").transform(rows)
-    counts = {r[0]: r[1] for r in rows.groupBy(segment).count().collect()}
-    wanted = sorted(counts) if segments is None else [s for s in segments if counts.get(s)]
+    # at most one row per named segment
+    present = {r[0] for r in rows.select(segment).distinct().collect()}
     found = []
-    for name in wanted:
+    for name in (s for s in segments if s in present):
         forest = RandomForestRegressor(
             featuresCol="features",
             labelCol=target,

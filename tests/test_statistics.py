@@ -119,13 +119,14 @@ def test_correlation_against_pandas(spark, sample):
 def test_segment_without_complete_rows_is_skipped(rows):
     df = rows("segment_name string, a double, y double", ("x", None, 1.0), ("y", 1.0, 1.0), ("y", 2.0, 3.0))
     assert {r.segment_name for r in models.segment_ols(df, ["a"], "y").collect()} == {"y"}
-    found = models.rf_importance(df, ["a"], "y", trees=2, max_depth=2)
+    found = models.rf_importance(df, ["a"], "y", segments=["x", "y"], trees=2, max_depth=2)
     assert {r.segment_name for r in found.collect()} == {"y"}
 
 
 def test_forest_ranks_the_driver_first(spark, sample):
     pdf = sample.dropna().assign(noise=lambda d: np.arange(len(d)) % 13)
-    out = models.rf_importance(frame(spark, pdf), ["a", "noise"], "y", trees=10, max_depth=4).collect()
+    df = frame(spark, pdf)
+    out = models.rf_importance(df, ["a", "noise"], "y", segments=["x"], trees=10, max_depth=4).collect()
     assert [r.feature for r in out if r.segment_name == "x"] == ["a", "noise"]
 
 
