@@ -1,9 +1,10 @@
-"""Session settings and the one place that writes intermediate tables."""
+"""Session settings and the one place that writes and removes intermediate tables."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,8 +15,10 @@ SETTINGS = {
 }
 
 
-def local_session(cpus: str = "8", name: str = "acctpulse", memory: str = "20g") -> SparkSession:
-    """A session for tests and benchmarks on one machine."""
+def local_session(
+    cpus: str = "8", name: str = "acctpulse", memory: str = "10g", shared: str | None = None
+) -> SparkSession:
+    """A session for tests and benchmarks on one machine; ``shared`` becomes its ``spark.checkpoint.dir``."""
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)
@@ -23,28 +26,24 @@ def local_session(cpus: str = "8", name: str = "acctpulse", memory: str = "20g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(cpus) if cpus.isdigit() else "8")
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
-_own_folder: list[str] = []
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Where it is unset, a local-mode session (tests) gets a temporary folder. A
-    cluster must name one: a folder of one machine would not be shared.
+    Where that is unset, a folder inside the warehouse, which driver and executors share as well.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _own_folder:
-        _own_folder.append(tempfile.mkdtemp(prefix="acctpulse-"))
-    return _own_folder[0]
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_acctpulse").rstrip("/")
+
+
+#: Paths written and not yet removed, by application.
+_written: dict[str, list[str]] = {}
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -52,7 +51,46 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage; survives the loss of executors, since the files lie in
     the shared folder. Later reads prune columns and push filters into them.
+    The files stay until :func:`release` (or the end of :func:`workspace`).
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    app = spark.sparkContext.applicationId
+    path = f"{shared_folder(spark)}/{app}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written.setdefault(app, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Remove a table that :func:`materialize` returned and that no pending result reads."""
+    spark = table.sparkSession
+    own = _written.get(spark.sparkContext.applicationId, [])
+    for path in [p for p in own if any(f"/{p.rsplit('/', 1)[1]}/" in f for f in table.inputFiles())]:
+        _remove(spark, path)
+        own.remove(path)
+
+
+def release(spark: SparkSession, keep: int = 0) -> None:
+    """Remove the intermediate tables written so far, but for the first ``keep``.
+
+    Call it once the results that read them have been written or collected.
+    """
+    own = _written.get(spark.sparkContext.applicationId, [])
+    for path in own[keep:]:
+        _remove(spark, path)
+    del own[keep:]
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables written inside are removed at the end, also after a failure."""
+    before = len(_written.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        release(spark, before)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

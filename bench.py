@@ -9,13 +9,14 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from acctpulse.registry import ANALYSES  # noqa: E402
-from acctpulse.session import local_session  # noqa: E402
+from acctpulse.session import local_session, release  # noqa: E402
 
 HEADLINES = (
     "trailing_median",
@@ -48,7 +49,7 @@ HEADLINES = (
 def main() -> None:
     directory = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = local_session(cpus, "acctpulse-bench")
+    spark = local_session(cpus, "acctpulse-bench", shared=f"file://{tempfile.mkdtemp(prefix='acctpulse-')}")
     spark.sparkContext.setLogLevel("ERROR")
     names = sys.argv[1:] or HEADLINES
     # Loading classes and compiling the first plans is not a query's time.
@@ -58,6 +59,7 @@ def main() -> None:
         start = time.perf_counter()
         ANALYSES[name](spark, directory).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+        release(spark)
     print(
         json.dumps(
             {

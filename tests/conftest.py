@@ -13,7 +13,8 @@ DATA = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = local_session(os.environ.get("TEST_CPUS", "4"), "acctpulse-tests", "6g")
+    shared = tmp_path_factory.mktemp("shared")
+    session = local_session(os.environ.get("TEST_CPUS", "4"), "acctpulse-tests", "6g", f"file://{shared}")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
