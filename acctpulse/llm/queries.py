@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acctpulse.llm import mixing, quality_rules
+from acctpulse.llm import mixing, quality_rules, token_counts
 from acctpulse.session import materialize
 from acctpulse.sources.tables import read_table
 
+#: Tokens that fit a context window.
+CONTEXT = 512
+
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document, and when it is first due; in training order, documents never due last."""
@@ -36,7 +39,22 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of each document."""
+    import public_tokenizers
+
+    docs = read_table(spark, sf_dir, "documents")
+    counted = token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), ["doc_id"])
+    return counted.select(
+        "doc_id",
+        F.col("tc_bytes").alias("n_bytes"),
+        F.col("tc_tokens").alias("n_tokens"),
+        (F.col("tc_tokens") > CONTEXT).alias("over_limit"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op9_quality_rules": op9_quality_rules,
+    "op10_token_counts": op10_token_counts,
 }
