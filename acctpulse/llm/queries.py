@@ -7,12 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acctpulse.llm import mixing, quality_rules, token_counts
+from acctpulse.llm import mixing, quality_model, quality_rules, token_counts, toxicity
+from acctpulse.llm.labels import fold
 from acctpulse.session import materialize
 from acctpulse.sources.tables import read_table
 
 #: Tokens that fit a context window.
 CONTEXT = 512
+#: Scores from which a document counts as good, and as toxic.
+GOOD, TOXIC = 0.3, 0.5
+
+
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of each document by the quality model."""
+    measured = materialize(quality_model.measure(read_table(spark, sf_dir, "documents"), ["doc_id"]), "form")
+    scored = quality_model.score(measured, quality_model.train(measured, read_table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id",
+        (fold() == 0).alias("held_out"),
+        F.col("qm_score").alias("score"),
+        (F.col("qm_score") >= GOOD).cast("int").alias("predicted"),
+    )
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +41,19 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("mx_target").alias("target"),
         F.col("mx_taken").alias("taken"),
         F.get("mx_times", F.lit(0)).alias("first_due"),
-    ).orderBy(F.col("first_due").asc_nulls_last())
+    ).orderBy(F.col("first_due").asc_nulls_last(), mixing.order_key())
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of each document by the two language models."""
+    docs = read_table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")), ["doc_id"])
+    return scored.select(
+        "doc_id",
+        (fold() == 0).alias("held_out"),
+        F.col("tx_score").alias("score"),
+        (F.col("tx_score") >= TOXIC).cast("int").alias("predicted"),
+    )
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +81,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_quality_model": op5_quality_model,
     "op6_mixing": op6_mixing,
+    "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
 }
