@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acctpulse.llm import mixing, quality_model, quality_rules, token_counts, toxicity
+from acctpulse.llm import licenses, mixing, quality_model, quality_rules, secret_scan, token_counts, toxicity
 from acctpulse.llm.labels import fold
 from acctpulse.session import materialize
 from acctpulse.sources.tables import read_table
@@ -18,6 +18,20 @@ CONTEXT = 512
 GOOD, TOXIC = 0.3, 0.5
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses of each document, with the blocks that state them and how their wording differs."""
+    found = licenses.scan_rows(read_table(spark, sf_dir, "documents"), ["doc_id"])
+    names = {"li_blocks": "n_blocks", "li_names": "licenses", "li_found": "blocks", "li_differences": "differences"}
+    return found.withColumnsRenamed(names)
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of each document, as they stand and in unwrapped layers."""
+    found = secret_scan.scan_rows(read_table(spark, sf_dir, "documents"), ["doc_id"])
+    names = {"sc_assign": "n_assign", "sc_access": "n_access", "sc_hex": "n_hex", "sc_base": "base_sha256", "sc_spans": "spans"}
+    return found.withColumnsRenamed({**names, "sc_found": "n_spans", "sc_refused": "n_refused"})
+
+
 def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of each document by the quality model."""
     measured = materialize(quality_model.measure(read_table(spark, sf_dir, "documents"), ["doc_id"]), "form")
@@ -81,6 +95,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_licenses": op2_licenses,
+    "op3_secret_scan": op3_secret_scan,
     "op5_quality_model": op5_quality_model,
     "op6_mixing": op6_mixing,
     "op8_toxicity": op8_toxicity,
