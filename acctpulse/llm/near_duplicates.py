@@ -77,7 +77,7 @@ def sketches(texts: list[str]) -> np.ndarray:
     starts, count = offset[some], np.diff(offset)[some]
     place = np.arange(len(key))
     for j in range(SKETCHES):
-        h = scramble(key + np.uint64(0x9E3779B97F4A7C15) * np.uint64(j + 1))
+        h = scramble(key + np.uint64(0x9E3779B97F4A7C15 * (j + 1) % 2**64))
         picks = []
         for _ in range(KEPT):
             least = np.minimum.reduceat(h, starts)
@@ -257,7 +257,6 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least:
     def make():
         def rows(texts: list[str]) -> list[pa.Array]:
             s = sketches(texts)
-            flat = pa.array(s.view(np.int64).ravel(), pa.int64())
             none = ~s.any(1)
             ends = np.cumsum(np.where(none, 0, SKETCHES))
             flat = pa.array(s[~none].view(np.int64).ravel(), pa.int64())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acctpulse.llm import licenses, mixing, quality_model, quality_rules, secret_scan, token_counts, toxicity
+from acctpulse.llm import decontamination, licenses, mixing, near_duplicates, quality_model, quality_rules, secret_scan, token_counts, toxicity
 from acctpulse.llm.labels import fold
 from acctpulse.session import materialize
 from acctpulse.sources.tables import read_table
@@ -32,6 +32,12 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed({**names, "sc_found": "n_spans", "sc_refused": "n_refused"})
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of each document, the class's size and the number of links of its text to other texts."""
+    found = near_duplicates.classes(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "class_size", "n_links")
+
+
 def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of each document by the quality model."""
     measured = materialize(quality_model.measure(read_table(spark, sf_dir, "documents"), ["doc_id"]), "form")
@@ -58,6 +64,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).orderBy(F.col("first_due").asc_nulls_last(), mixing.order_key())
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the most similar window."""
+    found = decontamination.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "similarity", F.col("start").alias("start_word"), F.col("n").alias("n_words"), "n_windows")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of each document by the two language models."""
     docs = read_table(spark, sf_dir, "documents")
@@ -97,8 +109,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_licenses": op2_licenses,
     "op3_secret_scan": op3_secret_scan,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_quality_model": op5_quality_model,
     "op6_mixing": op6_mixing,
+    "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,

@@ -82,8 +82,32 @@ SELECT doc_id, size, total AS source_size, target, (size * len(times))::BIGINT A
        (2.0::DOUBLE * u) / (a + sqrt(a * a + 4.0::DOUBLE * (1.0::DOUBLE - a) * u)) AS first_due FROM u"""
 
 
+def _decontamination() -> str:
+    """Every window at which a document and an item share a shingle, compared by counts of shingles; no fingerprints."""
+    words = "list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+    gram = "w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3] || ' ' || w[i+4]"
+    return f"""
+WITH it AS (SELECT item_id, {words} AS w FROM benchmark),
+dw AS (SELECT DISTINCT doc_id, md5(coalesce(text, '')) AS key, {words} AS w FROM documents),
+ig AS (SELECT item_id, len(w) AS n, i, {gram} AS g FROM it, unnest(range(1, len(w) - 3)) AS u(i)),
+dg AS (SELECT doc_id, key, len(w) AS len, i, {gram} AS g FROM dw, unnest(range(1, len(w) - 3)) AS u(i)),
+seed AS (SELECT DISTINCT n, i, g FROM ig),
+win AS (SELECT DISTINCT doc_id, key, len, n, greatest(0, least(dg.i - seed.i, len - n)) AS start FROM dg JOIN seed USING (g)),
+wg AS (SELECT win.doc_id, win.key, win.start, win.n, dg.g, count(*) AS c FROM win JOIN dg ON dg.key = win.key AND dg.doc_id IS NOT DISTINCT FROM win.doc_id
+       AND dg.i > win.start AND dg.i + 4 <= win.start + win.n GROUP BY ALL),
+size AS (SELECT doc_id, key, start, n, sum(c) AS total FROM wg GROUP BY ALL),
+ic AS (SELECT item_id, n, g, count(*) AS c FROM ig GROUP BY ALL),
+isz AS (SELECT item_id, sum(c) AS total FROM ic GROUP BY ALL),
+common AS (SELECT wg.doc_id, wg.key, wg.start, wg.n, ic.item_id, sum(least(wg.c, ic.c)) AS both FROM wg JOIN ic ON wg.g = ic.g AND wg.n = ic.n GROUP BY ALL),
+sim AS (SELECT common.*, both / (size.total + isz.total - both)::DOUBLE AS similarity FROM common
+        JOIN size ON size.key = common.key AND size.doc_id IS NOT DISTINCT FROM common.doc_id AND size.start = common.start AND size.n = common.n
+        JOIN isz ON isz.item_id = common.item_id)
+SELECT doc_id, item_id, max(similarity) AS similarity, arg_max(start, similarity * 1000000000 - start)::INT AS start_word,
+       max(n)::INT AS n_words, count(*) AS n_windows FROM sim WHERE similarity >= 0.8 GROUP BY doc_id, key, item_id"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op6_mixing": _mixing(), "op9_quality_rules": _quality()}
+    return {"op6_mixing": _mixing(), "op7_decontamination": _decontamination(), "op9_quality_rules": _quality()}
 
 
 __all__ = ["GAP", "all_sql"]
