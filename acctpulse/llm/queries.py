@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acctpulse.llm import decontamination, licenses, mixing, near_duplicates, quality_model, quality_rules, secret_scan, token_counts, toxicity
+from acctpulse.llm import decontamination, licenses, mixing, near_duplicates, quality_model, quality_rules, repeats, secret_scan, token_counts, toxicity
 from acctpulse.llm.labels import fold
 from acctpulse.session import materialize
 from acctpulse.sources.tables import read_table
@@ -18,6 +18,18 @@ CONTEXT = 512
 GOOD, TOXIC = 0.3, 0.5
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes, removed bytes and spans of each document, and the digest of what is left."""
+    left = repeats.remove(read_table(spark, sf_dir, "documents"), ["doc_id"])
+    return left.select(
+        "doc_id",
+        F.col("rp_bytes").alias("n_bytes"),
+        F.col("rp_removed").alias("n_removed"),
+        F.col("rp_spans").alias("n_spans"),
+        F.sha2("rp_kept", 256).alias("kept_sha256"),
+    )
+
+
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licenses of each document, with the blocks that state them and how their wording differs."""
     found = licenses.scan_rows(read_table(spark, sf_dir, "documents"), ["doc_id"])
@@ -107,6 +119,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_repeats": op1_repeats,
     "op2_licenses": op2_licenses,
     "op3_secret_scan": op3_secret_scan,
     "op4_near_duplicates": op4_near_duplicates,

@@ -98,8 +98,8 @@ wg AS (SELECT win.doc_id, win.key, win.start, win.n, dg.g, count(*) AS c FROM wi
 size AS (SELECT doc_id, key, start, n, sum(c) AS total FROM wg GROUP BY ALL),
 ic AS (SELECT item_id, n, g, count(*) AS c FROM ig GROUP BY ALL),
 isz AS (SELECT item_id, sum(c) AS total FROM ic GROUP BY ALL),
-common AS (SELECT wg.doc_id, wg.key, wg.start, wg.n, ic.item_id, sum(least(wg.c, ic.c)) AS both FROM wg JOIN ic ON wg.g = ic.g AND wg.n = ic.n GROUP BY ALL),
-sim AS (SELECT common.*, both / (size.total + isz.total - both)::DOUBLE AS similarity FROM common
+common AS (SELECT wg.doc_id, wg.key, wg.start, wg.n, ic.item_id, sum(least(wg.c, ic.c)) AS inter FROM wg JOIN ic ON wg.g = ic.g AND wg.n = ic.n GROUP BY ALL),
+sim AS (SELECT common.*, inter / (size.total + isz.total - inter)::DOUBLE AS similarity FROM common
         JOIN size ON size.key = common.key AND size.doc_id IS NOT DISTINCT FROM common.doc_id AND size.start = common.start AND size.n = common.n
         JOIN isz ON isz.item_id = common.item_id)
 SELECT doc_id, item_id, max(similarity) AS similarity, arg_max(start, similarity * 1000000000 - start)::INT AS start_word,

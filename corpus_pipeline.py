@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acctpulse.llm import mixing, quality_rules
+from acctpulse.llm import decontamination, mixing, near_duplicates, quality_rules, secret_scan
 from acctpulse.session import materialize
 from acctpulse.sources.tables import read_table
 
@@ -19,6 +19,21 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs).where("qr_kept").drop("qr_m", "qr_kept")
 
 
+def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return near_duplicates.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontamination.clean(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, its secrets redacted."""
+    return secret_scan.redact_rows(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per occurrence in training, with the time at which it is due, in that order."""
     sized = docs.withColumn("mx_size", mixing.size_of())
@@ -28,6 +43,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality rules", rules),
+    ("near duplicates", near_duplicate),
+    ("decontamination", decontaminate),
+    ("secret scans", secrets),
     ("mixing", mix),
 ]
 
