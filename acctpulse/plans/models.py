@@ -148,8 +148,10 @@ def segment_correlation(
 def segment_vif(df: DataFrame, columns: Sequence[str], segment: str = "segment_name") -> DataFrame:
     """Variance inflation of each metric per segment, highest first within a segment.
 
-    The regressions have no intercept, so the uncentred Gram matrix G is
-    inverted: VIF_i = G_ii * (G^-1)_ii.
+    The regressions have no intercept, so each metric's residual on the others
+    follows from the uncentred Gram matrix. A metric that the others explain has
+    an infinite factor, one that is zero throughout has none (NaN); neither
+    touches the factors of the rest.
     """
     names = list(columns)
     rows = df.dropna(subset=names)
@@ -166,10 +168,15 @@ def segment_vif(df: DataFrame, columns: Sequence[str], segment: str = "segment_n
 def _vif_rows(record: dict, names: list[str]) -> pd.DataFrame:
     _, mean, cov = _unpack(record, len(names))
     gram = cov + np.outer(mean, mean)
-    scale = np.sqrt(np.where(np.diag(gram) > 0, np.diag(gram), 1.0))
+    size = np.diag(gram)
+    scale = np.sqrt(np.where(size > 0, size, 1.0))
     unit = gram / np.outer(scale, scale)
-    singular = np.linalg.matrix_rank(unit, tol=1e-12, hermitian=True) < len(names)
-    vif = np.full(len(names), np.inf) if singular else np.diag(np.linalg.inv(unit))
+    vif = np.full(len(names), np.nan)
+    for i in np.flatnonzero(size > 0):
+        rest = np.delete(np.arange(len(names)), i)
+        shared = unit[rest, i]
+        left = 1.0 - shared @ np.linalg.pinv(unit[np.ix_(rest, rest)], rcond=1e-12, hermitian=True) @ shared
+        vif[i] = 1.0 / left if left > 1e-10 else np.inf
     return pd.DataFrame({"segment_name": record["segment_name"], "feature": names, "vif": vif})
 
 

@@ -103,7 +103,7 @@ def month_end_filter(i):
 
 @primitive
 def join_left_equi(i):
-    terms = i.contract_terms().filter(F.col("program") != "MACHINERY").select("account_id", "program", "acr")
+    terms = i.contract_terms().select("account_id", "program", "acr")
     return i.support_cases().select("case_id", "account_id", "priority").join(terms, "account_id", "left")
 
 
@@ -167,7 +167,7 @@ def join_theta(i):
 @primitive
 def join_one_sided_range(i):
     last = i.weekly_usage().groupBy("account_id").agg(F.max("close_week").alias("last_week"))
-    last = last.filter(F.col("account_id") % 2 == 0).alias("l")
+    last = last.alias("l")
     u = i.weekly_usage().alias("u")
     cond = (F.col("u.account_id") == F.col("l.account_id")) & (
         F.col("l.last_week") >= F.date_add("u.close_week", 28)

@@ -20,7 +20,7 @@ SELECT o_orderkey, account_id, report_dt FROM ord
 WHERE report_dt = last_day(report_dt) OR report_dt = (SELECT max(report_dt) FROM ord)"""
 Q["join_left_equi"] = """
 SELECT c.account_id, c.case_id, c.priority, t.program, t.acr FROM cases c
-LEFT JOIN (SELECT * FROM contracts WHERE program <> 'MACHINERY') t ON t.account_id = c.account_id"""
+LEFT JOIN contracts t ON t.account_id = c.account_id"""
 Q["join_inner_equi"] = """
 SELECT transaction_id, entity_id, amount, customer_id FROM invoices i
 JOIN invoice_customers c ON i.entity_id = c.customer_id WHERE NOT i.deleted AND NOT c.deleted"""
@@ -39,7 +39,7 @@ SELECT a.account_id, a.report_dt, sum(b.amount_month) AS amount_to_date, max(b.a
 FROM month_ends a JOIN month_ends b ON a.account_id = b.account_id AND b.report_dt <= a.report_dt GROUP BY 1, 2"""
 Q["join_one_sided_range"] = """
 SELECT u.*, l.last_week FROM weekly_usage u
-LEFT JOIN (SELECT account_id, max(close_week) AS last_week FROM weekly_usage WHERE account_id % 2 = 0 GROUP BY 1) l
+LEFT JOIN (SELECT account_id, max(close_week) AS last_week FROM weekly_usage GROUP BY 1) l
  ON l.account_id = u.account_id AND l.last_week >= u.close_week + 28"""
 Q["join_scd2"] = """
 SELECT u.account_id, close_week, run_rate, billing_account_id FROM weekly_usage u
