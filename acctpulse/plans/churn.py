@@ -37,7 +37,7 @@ SHORT_LAGS = (0, 1, 2, 4, 8, 12)
 LONG_LAGS = (0, 4, 8, 12, 24)
 
 # Product capabilities by family. Anything else is 'Unattributed'.
-# Entries that carry the vendor's own brand are left out; pass them as ``extra``.
+# Entries that carry the vendor's own brand are left out; pass them as ``extra_capabilities``.
 CAPABILITY_FAMILIES = {
     "Alerts_AIOps": (
         "Alert Conditions",
@@ -111,6 +111,7 @@ CAPABILITY_FAMILIES = {
     ),
 }
 
+# Flags and the family each of them tests.
 FAMILY_FLAGS = {
     "is_apm": "APM",
     "is_aiops": "Alerts_AIOps",
@@ -123,6 +124,7 @@ FAMILY_FLAGS = {
     "is_shared_platform": "Shared_Platforms",
 }
 
+# Fixed values.
 SUBSCRIPTION_FLAGS = (
     "is_paid_ingest_eligible",
     "is_paid_users_eligible",
@@ -325,7 +327,9 @@ def capability_family(
     return out
 
 
-def weekly_families(consumption: DataFrame, floor: date = FLOOR, extra=None) -> DataFrame:
+def weekly_families(
+    consumption: DataFrame, floor: date = FLOOR, extra: Mapping[str, Sequence[str]] | None = None
+) -> DataFrame:
     """Distinct (account, week, capability) with its family."""
     return (
         consumption.filter(F.col("usage_date") >= F.lit(floor))
@@ -434,7 +438,11 @@ WAU_RATIOS = {**_ratio_names("wau", "wau", *SHORT_STEPS), "wau_delta_8_12": ("wa
 RUN_RATE_RATIOS = _ratio_names("bcm_rr", "bcm_rr", *LONG_STEPS)
 ROLLING_7_RATIOS = _ratio_names("rolling_7_day_avg_gb", "rolling_7_day_avg_gb", *LONG_STEPS)
 ROLLING_30_RATIOS = _ratio_names("rolling_30_day_avg_gb", "rolling_30_day_avg_gb", *LONG_STEPS)
-LOGS_RATIOS = _ratio_names("apm_logs_gb", "apm_logs_gb", *LONG_STEPS)
+# Only the first log ratio has "delta" in its name.
+LOGS_RATIOS = {
+    n if n == "apm_logs_gb_delta_4" else n.replace("_delta", ""): pair
+    for n, pair in _ratio_names("apm_logs_gb", "apm_logs_gb", *LONG_STEPS).items()
+}
 
 
 def lagged(
@@ -458,10 +466,10 @@ def _labels(df: DataFrame, column: str) -> DataFrame:
     return df.withColumns({n: F.coalesce(n, F.lit("NA")) for n in names})
 
 
-def lagged_presence(spine: DataFrame, weeks: DataFrame, name: str) -> DataFrame:
-    """1 where the account was active in the week that many weeks ago."""
-    marked = weeks.withColumn(name, F.lit(1))
-    return _zeros(lag_features(spine, (marked, {name: LONG_LAGS})), [name])
+def lagged_presence(spine: DataFrame, weeks: Mapping[str, DataFrame]) -> DataFrame:
+    """1 where the account was active in the week that many weeks ago, for each named activity."""
+    marked = [(w.withColumn(n, F.lit(1)), {n: LONG_LAGS}) for n, w in weeks.items()]
+    return _zeros(lag_features(spine, *marked), list(weeks))
 
 
 def _zeros(df: DataFrame, values: Sequence[str]) -> DataFrame:
@@ -505,6 +513,8 @@ class ChurnSources:
     logs: DataFrame
     competitor_regions: Sequence[DataFrame]
     counters: Sequence[str]
+    #: Further capability names by family, such as those that carry a brand.
+    extra_capabilities: Mapping[str, Sequence[str]] | None = None
 
 
 def churn_features(s: ChurnSources, floor: date = FLOOR) -> DataFrame:
@@ -521,7 +531,7 @@ def churn_features(s: ChurnSources, floor: date = FLOOR) -> DataFrame:
     spine = with_logs(spine, weekly_logs(s.logs))
 
     volume = weekly_rolling_max(rolling_consumption(s.consumption))
-    families = weekly_families(s.capability_consumption, floor)
+    families = weekly_families(s.capability_consumption, floor, s.extra_capabilities)
     presence = {
         "is_change_tracking": weekly_presence(s.activity_a, s.hierarchy),
         "is_advance_query": weekly_presence(s.activity_b, s.hierarchy),

@@ -216,13 +216,19 @@ def daily_active_usage(
     popular = threshold_capabilities(capability_reach(usage, as_of, months)).withColumn(
         "meets_threshold", F.lit(True)
     )
-    active = _platform_usage(usage, as_of, months).filter("daily_active")
+    # Usage repeats a user and a capability many times a day; only distinct rows are joined and counted.
+    active = (
+        _platform_usage(usage, as_of, months)
+        .filter("daily_active")
+        .select("date", "account_id", F.concat("user_id", "datacentre").alias("person"), "capability")
+        .dropDuplicates()
+    )
     daily = (
         active.withColumn("month", month_start("date"))
         .join(popular, ["month", "capability"], "left")
         .groupBy("date", "account_id", "month")
         .agg(
-            F.count_distinct(F.concat("user_id", "datacentre")).alias("dau_actuals"),
+            F.count_distinct("person").alias("dau_actuals"),
             F.count_distinct(F.when(F.col("meets_threshold"), F.col("capability"))).alias(
                 "used_features_3_percent"
             ),

@@ -487,15 +487,21 @@ def _(i):
     return churn.with_flags(_spine_keys(i), churn.weekly_flags(i.subscription_flags_daily(), FLOOR))
 
 
+def _presence(i):
+    hierarchy = i.account_hierarchy()
+    sources = {"is_change_tracking": i.activity("O"), "is_advance_query": i.activity("F")}
+    return {n: weekly_presence(a, hierarchy) for n, a in sources.items()}
+
+
 @analysis("scd_presence")
 def _(i):
-    return weekly_presence(i.activity("O"), i.account_hierarchy())
+    marked = [w.withColumn("activity", F.lit(n)) for n, w in _presence(i).items()]
+    return marked[0].unionByName(marked[1])
 
 
 @analysis("lag_presence")
 def _(i):
-    weeks = weekly_presence(i.activity("O"), i.account_hierarchy())
-    return churn.lagged_presence(_spine_keys(i), weeks, "active")
+    return churn.lagged_presence(_spine_keys(i), _presence(i))
 
 
 @analysis("weekly_log_volume")
@@ -519,26 +525,27 @@ def _(i):
     return churn.with_competitors(_spine_keys(i), _competitor_flags(i), COUNTERS)
 
 
-def churn_table(i: Inputs) -> DataFrame:
-    return churn.churn_features(
-        churn.ChurnSources(
-            panel=materialize(i.account_daily(), "account_daily"),
-            changes=i.acr_change(),
-            capability_consumption=i.capability_consumption_daily(),
-            feature_usage=i.feature_usage_daily(),
-            consumption=i.consumption_daily(),
-            flags_daily=i.subscription_flags_daily(),
-            hierarchy=i.account_hierarchy(),
-            activity_a=i.activity("O"),
-            activity_b=i.activity("F"),
-            logs=i.logs_weekly(),
-            competitor_regions=[i.competitors("O"), i.competitors("F")],
-            counters=COUNTERS,
-        ),
-        FLOOR,
+def churn_sources(i: Inputs) -> churn.ChurnSources:
+    return churn.ChurnSources(
+        panel=materialize(i.account_daily(), "account_daily"),
+        changes=i.acr_change(),
+        capability_consumption=i.capability_consumption_daily(),
+        feature_usage=i.feature_usage_daily(),
+        consumption=i.consumption_daily(),
+        flags_daily=i.subscription_flags_daily(),
+        hierarchy=i.account_hierarchy(),
+        activity_a=i.activity("O"),
+        activity_b=i.activity("F"),
+        logs=i.logs_weekly(),
+        competitor_regions=[i.competitors("O"), i.competitors("F")],
+        counters=COUNTERS,
     )
 
 
+def churn_table(i: Inputs) -> DataFrame:
+    return churn.churn_features(churn_sources(i), FLOOR)
+
+
 ANALYSES["churn_features"] = lambda spark, d: churn_table(Inputs(spark, d))
 
 
@@ -624,7 +631,7 @@ def _(i):
 
 @analysis("segment_correlation")
 def _(i):
-    return models.segment_correlation(_segments(i), segments.MODEL_METRICS).withColumn(
+    return models.segment_correlation(_imputed(i), segments.MODEL_METRICS).withColumn(
         "corr", F.round("corr", 8)
     )
 
@@ -652,7 +659,7 @@ def _(i):
 
 @analysis("rf_importance")
 def _(i):
-    return models.rf_importance(_imputed(i), segments.MODEL_METRICS, segments.TARGET, max_depth=5, trees=20)
+    return models.rf_importance(_imputed(i), segments.MODEL_METRICS, segments.TARGET)
 
 
 ANALYSES.update(PRIMITIVES)

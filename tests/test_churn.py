@@ -1,3 +1,4 @@
+from dataclasses import replace
 from datetime import date, timedelta
 
 from pyspark.sql import functions as F
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 from acctpulse.operators.effective import weekly_presence
 from acctpulse.operators.lags import lag_features, lag_join
 from acctpulse.plans import churn
+from acctpulse.registry import churn_sources
 from acctpulse.sources.inputs import Inputs
 
 SUN = date(2024, 1, 7)
@@ -44,7 +46,7 @@ def test_join_keeps_repeated_weeks(rows):
     )
     out = churn.with_logs(spine, logs).orderBy("apm_logs_gb_4").collect()
     assert [(r.apm_logs_gb, r.apm_logs_gb_4, r.apm_logs_gb_delta_4) for r in out] == [(6.0, 1.0, 6.0), (6.0, 2.0, 3.0)]
-    assert out[0].apm_logs_gb_24 == 0.0 and out[0].apm_logs_gb_delta_12_24 is None
+    assert out[0].apm_logs_gb_24 == 0.0 and out[0].apm_logs_gb_12_24 is None
 
 
 def test_week_across_a_version_change_matches_both(rows):
@@ -138,3 +140,36 @@ def test_spine_clamps_and_sentinels(rows):
     assert (b.months_until_term_end, b.days_to_renewal, b.churn_date, b.churn_close_week) == (2, 1, SUN, SUN)
     assert (c.months_until_term_end, c.days_to_renewal) == (60, 1200)
     assert (a.is_data_plus, a.is_savings_rollover, b.is_data_plus, b.is_savings_rollover) == (1, 0, 0, 1)
+
+
+def test_passed_capability_names_change_their_flag(spark, data):
+    sources = churn_sources(Inputs(spark, data))
+    floor = date(1995, 1, 1)
+    keys = [*churn.KEY, "is_api", "is_logs"]
+    plain = churn.churn_features(sources, floor).select(*keys).collect()
+    named = churn.churn_features(replace(sources, extra_capabilities={"APIs": ("Something Else",)}), floor).select(*keys).collect()
+    assert sum(r.is_api for r in plain) == 0 < sum(r.is_api for r in named)
+    assert sum(r.is_logs for r in plain) == sum(r.is_logs for r in named)
+
+
+def test_last_active_day(rows):
+    schema = "account_id long, effective_account_id long, report_dt date, churn_indicator string, sales_channel string, exclusion_flag boolean"
+    day = lambda n: date(2024, 1, n)
+    panel = rows(
+        schema,
+        (1, 1, day(3), "N", "SALES_LED", False),
+        (1, 1, day(10), "N", "Cancelled Account", False),
+        (1, 1, day(12), "Y", "SALES_LED", False),  # after the last active day
+        (2, 2, day(31), "N", "SALES_LED", False),  # active on the newest day: not churned
+        (3, 3, day(5), "N", "SELF_SERVE", False),  # another channel
+        (4, 4, day(5), "N", "SALES_LED", True),  # excluded
+        (5, 6, day(5), "N", "SALES_LED", False),  # not its own effective account
+        (7, 7, day(9), "N", "SALES_LED", False),
+        (8, 7, day(9), "Y", "Cancelled Account", False),  # a second channel on that day
+    )
+    got = sorted((r.account_id, r.sales_channel, r.churn_date, r.churn_close_week) for r in churn.churn_dates(panel).collect())
+    assert got == [
+        (1, "Cancelled Account", day(10), day(7)),
+        (7, "Cancelled Account", day(9), day(7)),
+        (7, "SALES_LED", day(9), day(7)),
+    ]
