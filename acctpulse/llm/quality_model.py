@@ -219,8 +219,9 @@ def train(measured: DataFrame, labels: DataFrame, label: str = "quality", doc_id
     """A model from at most ``most`` labelled rows outside the held-out fold."""
     rows = sample(join_labels(measured.select(doc_id, "qm_x"), labels, label, doc_id), most, doc_id).select("qm_x", "lb_y").toArrow()
     y = rows.column("lb_y").to_numpy().astype(float)
-    x = np.array(rows.column("qm_x").to_pylist(), np.float32).reshape(len(y), -1)
-    return fit(x, y)
+    if not len(y):
+        return fit(np.zeros((0, 0), np.float32), y)
+    return fit(np.array(rows.column("qm_x").to_pylist(), np.float32), y)
 
 
 def score(measured: DataFrame, model: Model) -> DataFrame:
