@@ -11,13 +11,14 @@ phrase, some 250 bytes long.
 2. Phrases of repeated triggers form the dictionary. A phrase that occurs twice
    or more is repeated as a whole: all its strings are. That settles copies and
    repetitive text without looking inside.
-3. Phrases that occur once but share their trigger with others are compared
-   string by string with the distinct phrases of that trigger, by the hashes of
-   their strings (64 bits, mixed with trigger and offset, within one trigger).
+3. Phrases that occur once but share their trigger with others are open. The
+   dictionary's open triggers are dealt to tasks, and each task builds the suffix
+   array of its phrases by prefix doubling, as deep as LENGTH bytes. Strings of
+   equal rank are neighbours in corpus order and are repeated.
 
 Work is keyed by trigger and pre-aggregated. Triggers with more than HOT distinct
-phrases are resolved string by string in a grouped count instead of inside a
-task. Repeated triggers are sent to the tasks behind a check of their number;
+phrases are resolved string by string in a grouped count of string hashes (64
+bits, mixed with trigger and offset) instead of inside a task. Repeated triggers are sent to the tasks behind a check of their number;
 beyond it they join by shuffle.
 
 Defined results: a null text is empty; texts under LENGTH bytes lose nothing;
@@ -150,7 +151,7 @@ def _cut(texts: DataFrame, places: DataFrame) -> DataFrame:
     return held.select("t.key", "t.rp_text", "l.ps").mapInArrow(run, ddl)
 
 
-def _strings(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _strings(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all strings of the phrases, with the phrase's number and the string's start in its text."""
     blobs = batch.column("data").to_pylist()
     trigger, at, lo = (batch.column(c).to_numpy() for c in ("trigger", "at", "lo"))
@@ -167,6 +168,37 @@ def _strings(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray,
     return h, row, lo[row] + inside
 
 
+def string_ranks(data: np.ndarray) -> np.ndarray:
+    """Rank of the LENGTH bytes from each position on, in byte order: a suffix array that goes no deeper than LENGTH.
+
+    Ranks of twice the width follow from two ranks; the last step lets the two overlap.
+    """
+    width = 8
+    rank = np.zeros(len(data) - width + 1, np.uint64)
+    for k in range(width):
+        rank = (rank << np.uint64(8)) | data[k : len(data) - width + 1 + k]
+    rank = np.unique(rank, return_inverse=True)[1]
+    while width < LENGTH:
+        step = min(width, LENGTH - width)
+        rank = np.unique((rank[:-step] << 32) | rank[step:], return_inverse=True)[1]
+        width += step
+    return rank
+
+
+def _repeats_inside(table: pa.Table) -> pa.RecordBatch:
+    """Spans of strings of the phrases marked ``mine`` that stand elsewhere in the table's phrases too."""
+    blobs = table.column("data").to_pylist()
+    size = np.array([len(x) for x in blobs])
+    rank = string_ranks(np.frombuffer(b"".join(blobs), np.uint8))
+    count = size - LENGTH + 1  # strings that stay inside the phrase
+    row = np.repeat(np.arange(len(size)), count)
+    inside = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    rank = rank[np.repeat(np.cumsum(size) - size, count) + inside]
+    mine = table.column("mine").to_numpy()[row] & (np.bincount(rank)[rank] > 1)
+    start = table.column("lo").to_numpy()[row] + inside
+    return _runs(table.column("key").to_pylist(), row[mine], start[mine])
+
+
 def _runs(key: list, row: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
     """Spans covered by strings at ``start`` of the phrases ``row``, consecutive starts joined."""
     first = np.concatenate(([True], (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1))) if len(row) else np.zeros(0, bool)
@@ -182,11 +214,7 @@ def _compare(cut: DataFrame) -> DataFrame:
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if held:
-            table = pa.Table.from_batches(held)
-            h, row, start = _strings(table)
-            _, same, n = np.unique(h, return_inverse=True, return_counts=True)
-            mine = table.column("mine").to_numpy()[row] & (n[same] > 1)
-            yield _runs(table.column("key").to_pylist(), row[mine], start[mine])
+            yield _repeats_inside(pa.Table.from_batches(held))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

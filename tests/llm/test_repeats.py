@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import types as T
 
 from acctpulse.llm import repeats
@@ -50,3 +51,12 @@ def test_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(repeats, "MOST_SENT", 0)
     assert ours(frame) == expected
     assert repeats.remove(frame.limit(0)).count() == 0
+
+
+def test_ranks_are_the_order_of_strings():
+    rng = random.Random(3)
+    unit = bytes(rng.choice(b"ab\xff\x00") for _ in range(300))
+    data = unit + bytes(rng.choice(b"ab") for _ in range(40)) + unit + b"a" * 500
+    strings = [data[i : i + L] for i in range(len(data) - L + 1)]
+    place = {s: k for k, s in enumerate(sorted(set(strings)))}
+    assert repeats.string_ranks(np.frombuffer(data, np.uint8)).tolist() == [place[s] for s in strings]
