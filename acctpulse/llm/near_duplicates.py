@@ -1,17 +1,20 @@
 """Near-duplicate classes by order MinHash and banded alignment.
 
-A document is a sequence of words, its k-mers are five words in a row, each
+A document is a sequence of words, its k-mers are K words in a row, each
 labelled with how often it occurred before, so that repetition counts. Each of
 SKETCHES hash functions samples the KEPT smallest labelled k-mers and retains
 their order in the text; the hash of that tuple is one sketch. Texts within a
 small edit distance share some sketch, while texts with the same phrases in
-another order do not. Candidates are confirmed by aligning their words inside a
-band of the diagonals that a similarity of SIMILARITY leaves.
-
-Copies of one text are one node. Texts with a common sketch are compared to
-their bucket's leader, not to each other. Those that are not similar to it form
-buckets of their own, narrowed by one more sketch, and so on until no bucket
-holds two: every text of a bucket is compared or separated, none is dropped.
+another order do not.
+Candidates are confirmed by aligning their words inside a band of the diagonals
+that a similarity of SIMILARITY leaves.
+
+Copies of one text are one node. The texts of a bucket are compared to leaders:
+first to one, the text with most links so far, then to ever more of them, until
+the bucket's texts are all in one class or each has been a leader. Only texts of
+different classes are compared, so that a group of near copies costs few rounds,
+and no link that decides a class is missed inside a bucket. Lengths and bit maps of
+the words leave out pairs that cannot be similar, before their words are read.
 Classes are connected components, found by passing on smallest labels and
 following pointers.
 
@@ -27,6 +30,8 @@ smallest document ids (null if all are null); an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +43,12 @@ from acctpulse.session import materialize
 
 K, SKETCHES, KEPT = 5, 20, 2
 SIMILARITY = 0.8
+#: Words up to which texts are matched by subsequences.
+SHORT = 0
+#: Leaders of a bucket grow by this factor each round.
+GROWTH = 64
+#: Longs of the bit map by which pairs that cannot be similar are left out.
+MAP = 8
 _TOP = np.uint64(2**64 - 1)
 
 
@@ -75,16 +86,18 @@ def sketches(texts: list[str]) -> np.ndarray:
     if not len(some):
         return out
     starts, count = offset[some], np.diff(offset)[some]
-    place = np.arange(len(key))
+    # The lower half of a hash is replaced by the place in the text, so that the least one tells where it stands.
+    place = (np.arange(len(key)) - np.repeat(starts, count)).astype(np.uint64)
+    low = np.uint64(2**32 - 1)
     for j in range(SKETCHES):
-        h = scramble(key + np.uint64(0x9E3779B97F4A7C15 * (j + 1) % 2**64))
+        h = (key ^ scramble(np.array([j + 1], np.uint64))) * (scramble(np.array([j + 1001], np.uint64)) | np.uint64(1))
+        h = (h & ~low) | place
         picks = []
         for _ in range(KEPT):
             least = np.minimum.reduceat(h, starts)
-            hit = h == np.repeat(least, count)
-            at = np.minimum.reduceat(np.where(hit, place, len(key)), starts)
             gone = least == _TOP  # fewer k-mers than are kept: the last one again
-            picks.append(np.where(gone, picks[-1] if picks else at, at))
+            at = np.where(gone, picks[-1] if picks else starts, starts + (least & low).astype(np.int64))
+            picks.append(at)
             h[at] = _TOP
         value = np.full(len(some), j + 1, np.uint64)
         for at in np.sort(np.stack(picks), 0):
@@ -93,6 +106,54 @@ def sketches(texts: list[str]) -> np.ndarray:
     return out
 
 
+@lru_cache(None)
+def _kept_places(n: int, m: int) -> np.ndarray:
+    """All choices of m of n places, in order."""
+    return np.array(list(combinations(range(n), m)), np.int64).reshape(-1, m)
+
+
+def subsequences(words: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """Hashes of what an alignment of at least that similarity can leave of a short text, by the longer text's words."""
+    n, lengths = len(words), set()
+    for longer in range(n, SHORT + 1):
+        m = longer - int((1 - least) * longer + 1e-9)
+        if m <= n:
+            lengths.add(m)
+    out = []
+    for m in sorted(lengths):
+        at = _kept_places(n, m)
+        h = np.full(len(at), 2**32 + m, np.uint64)
+        for i in range(m):
+            h = scramble(h + words[at[:, i]])
+        out.append(h)
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+
+
+def parities(texts: list[str]) -> np.ndarray:
+    """A bit map per text: each word, labelled with how often it occurred before, flips a bit.
+
+    An edit changes two labelled words at most, so the maps of two texts differ in at most twice as many bits as edits.
+    """
+    key, offset = labelled_kmers(texts, 1)
+    flips = np.zeros((len(texts), 64 * MAP), np.uint8)
+    of = np.repeat(np.arange(len(texts)), np.diff(offset))
+    np.bitwise_xor.at(flips, (of, (key % np.uint64(64 * MAP)).astype(np.int64)), 1)
+    return np.packbits(flips, axis=1).view(np.int64)
+
+
+def buckets_of(texts: list[str], least: float = SIMILARITY) -> tuple[list[np.ndarray], np.ndarray]:
+    """The buckets of each text, none without words, and its number of words."""
+    words, at = hashed_words(texts)
+    n = np.diff(at)
+    found = sketches(texts)
+    out = []
+    for i, k in enumerate(n):
+        short = subsequences(words[at[i] : at[i + 1]], least) if 0 < k <= SHORT else found[i, :0]
+        # Texts that can be similar to one above SHORT.
+        out.append(np.concatenate((short, found[i])) if k >= least * (SHORT + 1) - 1e-9 else short)
+    return out, n
+
+
 def distance(a: list, b: list, most: int) -> int:
     """Edit distance of two sequences, or ``most + 1`` if it is larger.
 
@@ -168,11 +229,10 @@ def text_key(text: str = "text") -> Column:
 
 def _verify(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
     """(lead, key, alike): similarity of each pair, null below ``least``."""
-    texts = words.select(F.col("key"), F.col("words"))
     joined = (
-        pairs.join(texts, "key")
+        pairs.join(words, "key")
         .withColumnRenamed("words", "w_key")
-        .join(texts.select(F.col("key").alias("lead"), F.col("words").alias("w_lead")), "lead")
+        .join(words.select(F.col("key").alias("lead"), F.col("words").alias("w_lead")), "lead")
         .select("lead", "key", "w_key", "w_lead")
     )
 
@@ -184,21 +244,25 @@ def _verify(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(alike, pa.float64())], names=["lead", "key", "alike"])
 
-    return joined.mapInArrow(run, "lead string, key string, alike double")
+    return joined.mapInArrow(run, "lead long, key long, alike double")
+
 
+def links(contents: DataFrame, docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Confirmed links (lead, key, alike) between different texts, by their nodes, and (key, label) of every node on one.
 
-def links(contents: DataFrame, docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
-    """(lead, key, alike): confirmed links between different texts. ``contents`` has key, id and sketch of each text."""
+    ``contents`` has node, key, id, n_words, the bit map and the buckets of each text.
+    """
     spark = docs.sparkSession
-    held = contents.select("key", F.explode("sketch").alias("bucket"), F.lit(0).alias("turn"))
+    held = contents.select(F.col("node").alias("key"), "n_words", *[F.get("parity", F.lit(i)).alias(f"p{i}") for i in range(MAP)], F.explode("buckets").alias("bucket"))
+    shared = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    held = materialize(held.join(shared, "bucket"), "bucket_members")
     # Words of the texts that share a bucket at all. A text's copies are spread by their ids; one of them is read.
-    shared = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    needed = held.join(shared, "bucket", "left_semi").select("key").distinct()
-    wanted = contents.join(needed, "key", "left_semi").select("key", F.col("id").cast("string").alias("id"))
+    needed = held.select(F.col("key").alias("node")).distinct()
+    wanted = contents.join(needed, "node", "left_semi").select("node", "key", F.col("id").cast("string").alias("id"))
     texts = docs.select(text_key(text).alias("key"), F.col(doc_id).cast("string").alias("id"), F.col(text).alias("nd_text"))
     found = texts.alias("t").join(
-        wanted.alias("w"), (F.col("t.key") == F.col("w.key")) & F.col("t.id").eqNullSafe(F.col("w.id")), "left_semi"
-    )
+        wanted.alias("w"), (F.col("t.key") == F.col("w.key")) & F.col("t.id").eqNullSafe(F.col("w.id"))
+    ).select(F.col("w.node").alias("key"), "nd_text")
 
     def coded(batch: list[str]) -> list[list[bytes]]:
         words, at = hashed_words(batch)
@@ -206,25 +270,54 @@ def links(contents: DataFrame, docs: DataFrame, text: str = "text", doc_id: str
 
     words = map_texts(found, ["key"], "words binary", lambda: coded, "nd_text").dropDuplicates(["key"])
     words = materialize(words, "words")
-    judged = spark.createDataFrame([], "lead string, key string, alike double")
-    for turn in range(1, SKETCHES + 1):
-        buckets = held.groupBy("bucket").agg(F.min("key").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        inside = held.join(buckets, "bucket").where(F.col("key") != F.col("lead")).select("bucket", "turn", "key", "lead")
-        inside = materialize(inside, "bucket_members")
-        pairs = inside.select("lead", "key").distinct().join(judged, ["lead", "key"], "left_anti")
-        judged = judged.unionByName(materialize(_verify(pairs, words, least), "judged"))
-        # Who is not like the leader goes to a bucket that shares one more sketch.
-        apart = inside.join(judged.where("alike IS NULL"), ["lead", "key"], "left_semi")
-        narrowed = apart.join(contents.select("key", "sketch"), "key").select(
-            "key",
-            # The sketch that gave the bucket stays the first; which one it was does not matter for the next.
-            F.xxhash64("bucket", F.get("sketch", F.col("turn"))).alias("bucket"),
-            (F.col("turn") + 1).alias("turn"),
-        )
-        held = materialize(narrowed.distinct(), "narrowed")
-        if turn == SKETCHES or held.isEmpty():
+    judged = spark.createDataFrame([], "lead long, key long, alike double")
+    labels = spark.createDataFrame([], "key long, label long")
+    chance = F.pmod(F.xxhash64("bucket", "key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    turn = 0
+    while True:
+        ends = judged.where("alike IS NOT NULL").select(F.explode(F.array("lead", "key")).alias("key"))
+        degree = ends.groupBy("key").agg(F.count(F.lit(1)).alias("degree"))
+        members = held.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+        members = members.join(degree, "key", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+        # Buckets with texts of different classes; who has most links leads, and more texts each round. Equals rank alike
+        # in all buckets, so that those of one group have the same leader.
+        rank = F.struct("degree", F.xxhash64("key"), "key")
+        open_ = members.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("z"), F.max_by("key", rank).alias("best"))
+        members = materialize(members.join(open_.where("a != z").select("bucket", "best"), "bucket").drop("degree"), "open_members")
+        if members.isEmpty():
+            break
+        of = lambda t: F.lit(float(GROWTH**t if t else 0)) / F.col("size")
+        fresh = (F.col("key") == F.col("best")) | ((chance >= of(turn - 1 if turn else 0)) & (chance < of(turn)))
+        lead = members.where(fresh).select("bucket", F.col("key").alias("lead"), F.col("label").alias("of_lead"), F.col("n_words").alias("n_lead"), *[F.col(f"p{i}").alias(f"l{i}") for i in range(MAP)])
+        longer, shorter = F.greatest("n_words", "n_lead"), F.least("n_words", "n_lead")
+        most = F.floor((1 - least) * longer + 1e-9)
+        differ = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"l{i}"))) for i in range(MAP)), F.lit(0))
+        can = (longer - shorter <= most) & (differ <= 2 * most - (longer - shorter))
+        met = members.join(lead, "bucket").where((F.col("label") != F.col("of_lead")) & can)
+        pairs = met.select(F.least("lead", "key").alias("lead"), F.greatest("lead", "key").alias("key")).distinct()
+        pairs = pairs.join(judged, ["lead", "key"], "left_anti")
+        new = materialize(_verify(pairs, words, least), "judged")
+        judged = judged.unionByName(new)
+        labels = joined_labels(labels, new.where("alike IS NOT NULL").select("lead", "key"))
+        # Every text of the largest open bucket has led.
+        if GROWTH**turn >= members.agg(F.max("size")).first()[0] and turn:
             break
-    return judged.where("alike IS NOT NULL")
+        turn += 1
+    return judged.where("alike IS NOT NULL"), labels
+
+
+def joined_labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(key, label) after new edges (lead, key): components of what the ends were labelled before."""
+    known = lambda end: labels.select(F.col("key").alias(end), F.col("label").alias(f"{end}_label"))
+    named = edges.join(known("lead"), "lead", "left").join(known("key"), "key", "left")
+    named = materialize(
+        named.select(F.coalesce("lead_label", "lead").alias("lead"), F.coalesce("key_label", "key").alias("key")).where("lead != key").distinct(),
+        "new_edges",
+    )
+    merged = components(named).withColumnsRenamed({"key": "was", "label": "now"})
+    old = labels.join(merged, labels.label == merged.was, "full")
+    # A node without a label so far was its own.
+    return materialize(old.select(F.coalesce("key", "was").alias("key"), F.coalesce("now", "label").alias("label")), "labels")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -256,24 +349,23 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least:
 
     def make():
         def rows(texts: list[str]) -> list[pa.Array]:
-            s = sketches(texts)
-            none = ~s.any(1)
-            ends = np.cumsum(np.where(none, 0, SKETCHES))
-            flat = pa.array(s[~none].view(np.int64).ravel(), pa.int64())
-            return [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), flat)]
+            found, n = buckets_of(texts, least)
+            ends = np.cumsum([0, *map(len, found)])
+            flat = pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64), pa.int64())
+            return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(n, pa.int64()), pa.array(list(parities(texts)), pa.list_(pa.int64()))]
 
         return rows
 
-    rows = materialize(map_texts(keyed, ["doc_id", "key"], "sketch array<bigint>", make, "nd_text"), "sketches")
+    fields = "buckets array<bigint>, n_words long, parity array<bigint>"
+    rows = materialize(map_texts(keyed, ["doc_id", "key"], fields, make, "nd_text"), "sketches")
     contents = rows.groupBy("key").agg(
-        F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.max("sketch").alias("sketch")
+        F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.max("buckets").alias("buckets"), F.max("n_words").alias("n_words"), F.max("parity").alias("parity")
     )
-    contents = materialize(contents, "contents")
-    edges = materialize(links(contents, docs, text, doc_id, least), "links")
-    ends = edges.select(F.explode(F.array("lead", "key")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
-    labels = components(edges)
-    nodes = contents.join(labels, "key", "left").join(ends, "key", "left").select(
-        "key", "id", "copies", F.coalesce("label", "key").alias("class_key"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+    contents = materialize(contents.withColumn("node", F.monotonically_increasing_id()), "contents")
+    edges, labels = links(contents, docs, text, doc_id, least)
+    ends = edges.select(F.explode(F.array("lead", "key")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    nodes = contents.join(labels.withColumnRenamed("key", "node"), "node", "left").join(ends, "node", "left").select(
+        "key", "id", "copies", F.coalesce("label", "node").alias("class_key"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
     nodes = materialize(nodes, "nodes")
     totals = nodes.groupBy("class_key").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"))

@@ -68,3 +68,20 @@ def test_classes_against_brute_force(spark, rows):
     sizes = {r.doc_id: r.class_size for r in found}
     assert all(sizes[i] == list(got.values()).count(got[i]) for i in got)
     assert all((r.n_links > 0) == (len({texts[j] for j in got if got[j] == r.class_id}) > 1) for r in found)
+
+
+def scattered(words, rng, share, vocabulary):
+    copy = list(words)
+    for at in rng.sample(range(len(copy)), int(share * len(copy) + 1e-9)):
+        copy[at] = rng.choice(vocabulary)
+    return copy
+
+
+def test_a_thousand_copies_of_one_original(spark, rows):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(50000)]
+    base = [rng.choice(vocabulary) for _ in range(100)]
+    # Copies are near the original, not near each other.
+    texts = [base, *(scattered(base, rng, 0.15, vocabulary) for _ in range(1000))]
+    found = N.classes(rows("doc_id long, text string", *enumerate(" ".join(t) for t in texts))).collect()
+    assert {(r.class_id, r.class_size) for r in found} == {(0, 1001)}
