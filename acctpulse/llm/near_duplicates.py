@@ -5,7 +5,11 @@ labelled with how often it occurred before, so that repetition counts. Each of
 SKETCHES hash functions samples the KEPT smallest labelled k-mers and retains
 their order in the text; the hash of that tuple is one sketch. Texts within a
 small edit distance share some sketch, while texts with the same phrases in
-another order do not.
+another order do not. At a similarity of exactly SIMILARITY with scattered edits
+a k-mer survives with 0.8 ** K, and two texts of 30 words or more share one of
+the sketches with a probability of 0.995 or more. A text of at most SHORT words
+has too few k-mers for that: it gives all its subsequences that an edit within
+the similarity can leave, so pairs of short texts are found without exception.
 Candidates are confirmed by aligning their words inside a band of the diagonals
 that a similarity of SIMILARITY leaves.
 
@@ -41,10 +45,10 @@ from pyspark.sql import functions as F
 from acctpulse.llm.batches import hashed_words, map_texts, scramble
 from acctpulse.session import materialize
 
-K, SKETCHES, KEPT = 5, 20, 2
+K, SKETCHES, KEPT = 3, 64, 2
 SIMILARITY = 0.8
 #: Words up to which texts are matched by subsequences.
-SHORT = 0
+SHORT = 14
 #: Leaders of a bucket grow by this factor each round.
 GROWTH = 64
 #: Longs of the bit map by which pairs that cannot be similar are left out.

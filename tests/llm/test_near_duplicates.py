@@ -85,3 +85,15 @@ def test_a_thousand_copies_of_one_original(spark, rows):
     texts = [base, *(scattered(base, rng, 0.15, vocabulary) for _ in range(1000))]
     found = N.classes(rows("doc_id long, text string", *enumerate(" ".join(t) for t in texts))).collect()
     assert {(r.class_id, r.class_size) for r in found} == {(0, 1001)}
+
+
+def test_pairs_at_the_threshold_share_a_bucket():
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(50000)]
+    for n, trials, least in ((5, 100, 1.0), (8, 100, 1.0), (14, 60, 1.0), (30, 200, 0.97), (100, 200, 0.98), (300, 100, 0.98)):
+        met = 0
+        for _ in range(trials):
+            a = [rng.choice(vocabulary) for _ in range(n)]
+            x, y = N.buckets_of([" ".join(a), " ".join(scattered(a, rng, 0.2, vocabulary))])[0]
+            met += bool(set(x.tolist()) & set(y.tolist()))
+        assert met >= least * trials, n
