@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import types as T
 
 #: Characters of the texts that one call handles; a longer text is a call of its own.
 PIECE = 2_000_000
@@ -24,6 +25,39 @@ def pieces(texts: Sequence[str], most: int = PIECE) -> Iterator[tuple[int, int]]
         yield lo, len(texts)
 
 
+def quote(name: str) -> str:
+    """A column name that may hold dots or backticks, for use in expressions and schemas."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def map_kept(
+    docs: DataFrame,
+    keep: Sequence[str],
+    inputs: Sequence[Column],
+    fields: str,
+    run: Callable[[Iterator[tuple[list[pa.Array], list[pa.Array]]]], Iterator[list[pa.Array]]],
+) -> DataFrame:
+    """Arrow batches of the columns ``keep`` and of ``inputs`` become those of ``keep`` and of the new ``fields`` (DDL).
+
+    ``run`` gets pairs (kept columns, inputs) of one batch each. A kept column of the name of a new field is replaced
+    by it; kept columns may have any name, since they pass under neutral ones.
+    """
+    new = docs.sparkSession.createDataFrame([], fields).schema
+    names = [n for n in keep if n not in new.names]
+    inner = [f"k{i}" for i in range(len(names))]
+    kept = [docs[quote(n)].alias(k) for n, k in zip(names, inner)]
+    schema = T.StructType([*docs.select(*kept).schema.fields, *new.fields])
+    titles = [*inner, *new.names]
+
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = ((b.columns[: len(inner)], b.columns[len(inner) :]) for b in batches if b.num_rows)
+        for columns in run(split):
+            yield pa.RecordBatch.from_arrays(columns, names=titles)
+
+    wide = docs.select(*kept, *[c.alias(f"x{i}") for i, c in enumerate(inputs)])
+    return wide.mapInArrow(outer, schema).toDF(*names, *new.names)
+
+
 def map_texts(
     docs: DataFrame,
     keep: Sequence[str],
@@ -35,35 +69,25 @@ def map_texts(
 
     ``make`` is called once per task and returns a function from a list of texts
     (null: empty) to one array or list per field. Rows are neither moved nor
-    reordered.
+    reordered. A kept column of the name of a new field is replaced by it.
     """
-    spark = docs.sparkSession
-    names = list(keep)
-    kept = docs.select(*names).schema
-    new = spark.createDataFrame([], fields).schema
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in [*kept.fields, *new.fields]])
-    types = [f.dataType.simpleString() for f in new.fields]
     arrow = {
         "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(),
         "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "array<float>": pa.list_(pa.float32()),
         "array<int>": pa.list_(pa.int32()),
     }
-    kinds = [arrow[t] for t in types]
-    titles = [f.name for f in new.fields]
+    kinds = [arrow[f.dataType.simpleString()] for f in docs.sparkSession.createDataFrame([], fields).schema.fields]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[tuple[list[pa.Array], list[pa.Array]]]) -> Iterator[list[pa.Array]]:
         work = make()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            texts = [t or "" for t in batch.column(len(names)).to_pylist()]
+        for kept, (column,) in batches:
+            texts = [t or "" for t in column.to_pylist()]
             for lo, hi in pieces(texts):
                 found = work(texts[lo:hi])
-                columns = [batch.column(i).slice(lo, hi - lo) for i in range(len(names))]
-                columns += [x if isinstance(x, pa.Array) else pa.array(x, type=k) for x, k in zip(found, kinds)]
-                yield pa.RecordBatch.from_arrays(columns, names=[*names, *titles])
+                columns = [c.slice(lo, hi - lo) for c in kept]
+                yield columns + [x if isinstance(x, pa.Array) else pa.array(x, type=k) for x, k in zip(found, kinds)]
 
-    return docs.select(*names, docs[text].alias("_text_in")).mapInArrow(run, ddl)
+    return map_kept(docs, keep, [docs[quote(text)]], fields, run)
 
 
 def joined(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acctpulse.llm import decontamination, licenses, mixing, near_duplicates, quality_model, quality_rules, repeats, secret_scan, token_counts, toxicity
+from acctpulse.llm import alignment, byte_bpe, decontamination, fill_in_middle, licenses, mixing, near_duplicates, quality_model, quality_rules, repeats, secret_scan, token_counts, toxicity
 from acctpulse.llm.labels import fold
 from acctpulse.session import materialize
 from acctpulse.sources.tables import read_table
@@ -118,6 +118,44 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the token ids of each document, and of the bytes they decode to."""
+    import public_tokenizers
+
+    merges = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    both = byte_bpe.decode(byte_bpe.encode(read_table(spark, sf_dir, "documents"), merges, ["doc_id"]), merges)
+    return both.select(
+        "doc_id",
+        F.size("bb_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("bb_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("bb_bytes", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document by two tokenizers, their groups and links, and how common the links are in all documents."""
+    import public_tokenizers
+
+    pair = alignment.read_pair(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    found = alignment.link_counts(read_table(spark, sf_dir, "documents"), pair, ["doc_id"])
+    names = {"ca_a": "n_a", "ca_b": "n_b", "ca_groups": "n_groups", "ca_links": "n_links", "ca_best": "n_best", "ca_sum": "count_sum"}
+    return found.withColumnsRenamed({**names, "ca_written": "groups_sha256"})
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form and cuts of each document, and digests of the output and of the text restored from it."""
+    made = fill_in_middle.transform(read_table(spark, sf_dir, "documents"), ["doc_id"])
+    return made.select(
+        "doc_id",
+        F.col("fm_units").alias("n"),
+        F.col("fm_form").alias("form"),
+        F.col("fm_prefix").alias("prefix_chars"),
+        F.col("fm_middle").alias("middle_chars"),
+        F.sha2("fm_out", 256).alias("output_sha256"),
+        F.sha2(fill_in_middle.restored(), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeats": op1_repeats,
     "op2_licenses": op2_licenses,
@@ -129,4 +167,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_alignment": op12_alignment,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }

@@ -106,8 +106,26 @@ SELECT doc_id, item_id, max(similarity) AS similarity, arg_max(start, similarity
        max(n)::INT AS n_words, count(*) AS n_windows FROM sim WHERE similarity >= 0.8 GROUP BY doc_id, key, item_id"""
 
 
+def _fill_in_middle() -> str:
+    """Units as a list by one pattern; parts are slices of that list put together again."""
+    draw = lambda k: f"('0x' || substr(h, {8 * k + 1}, 8))::BIGINT"
+    joined = lambda lo, hi: f"coalesce(array_to_string(u[{lo}:{hi}], ''), '')"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+             regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+k AS (SELECT *, len(u)::BIGINT AS n, {draw(0)} % (len(u) + 1) AS a, {draw(1)} % (len(u) + 1) AS b,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR {draw(2)} % 100 >= 50 THEN 'plain'
+             WHEN {draw(3)} % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, {joined("1", "least(a, b)")} AS pre, {joined("least(a, b) + 1", "greatest(a, b)")} AS mid, {joined("greatest(a, b) + 1", "n")} AS suf FROM k)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END::BIGINT AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(mid) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE t END) AS output_sha256,
+       sha256(t) AS restored_sha256 FROM p"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op6_mixing": _mixing(), "op7_decontamination": _decontamination(), "op9_quality_rules": _quality()}
+    return {"op6_mixing": _mixing(), "op7_decontamination": _decontamination(), "op9_quality_rules": _quality(), "op13_fill_in_middle": _fill_in_middle()}
 
 
 __all__ = ["GAP", "all_sql"]
