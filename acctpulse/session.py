@@ -36,10 +36,16 @@ def local_session(
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Where that is unset, a folder inside the warehouse, which driver and executors share as well.
+    Where that is unset, a session on one machine uses a folder inside its warehouse; on a cluster it is an
+    error, since the default warehouse is a folder of the driver's machine.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_acctpulse").rstrip("/")
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_acctpulse"
 
 
 #: Paths written and not yet removed, by application.

@@ -7,6 +7,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from acctpulse.operators import quantiles
 from acctpulse.operators.quantiles import exact_quantiles
 from acctpulse.plans import models, segments
 from acctpulse.registry import AS_OF
@@ -47,6 +48,37 @@ def test_sketch_much_coarser_than_the_data_stays_exact(spark):
     assert [got[p] for p in PROBS] == pytest.approx(list(np.percentile(values, [p * 100 for p in PROBS])))
 
 
+@pytest.mark.parametrize("ties", ["none", "edges", "one"])
+def test_many_passes_stay_exact(spark, ties):
+    """Sketches and brackets so small that every rank is narrowed again and again, also between heavy ties."""
+    rng = np.random.default_rng(4)
+    n = 20000
+    values = rng.normal(0, 1, n)
+    if ties == "edges":
+        values = np.where(rng.random(n) < 0.495, -9.0, np.where(rng.random(n) < 0.98, 9.0, values))
+    elif ties == "one":
+        values = np.full(n, 3.5)
+    groups = np.where(np.arange(n) % 10 == 0, "small", "large")
+    df = frame(spark, pd.DataFrame({"k": groups, "v": values})).repartition(7)
+    some = [0.0, 0.5, 0.99]
+    got = {(r.k, r.p): r.q for r in exact_quantiles(df, ["k"], ["v"], some, accuracy=128, most=100).collect()}
+    for k in ("small", "large"):
+        want = np.percentile(values[groups == k], [p * 100 for p in some])
+        assert [got[k, p] for p in some] == pytest.approx(list(want), rel=1e-12)
+
+
+@pytest.mark.parametrize("n", [1_000_000, 16_000_000])
+def test_rows_that_reach_the_window_do_not_grow(spark, n, monkeypatch):
+    """Half of all rows have one value; the rest differ. What the last step groups and sorts has the same bound at any size."""
+    met = []
+    inside = quantiles._inside
+    monkeypatch.setattr(quantiles, "_inside", lambda *a: met.append(inside(*a)) or met[0])
+    v = "CASE WHEN id % 2 = 0 THEN 0.25D ELSE pmod(xxhash64(id), 1000000007) / 1000000007D END AS v"
+    got = {r.p: r.q for r in exact_quantiles(spark.range(n).selectExpr(v), [], ["v"], [0.01, 0.5, 0.9]).collect()}
+    assert met[0].count() <= 3 * (quantiles.MOST + 2)
+    assert [got[p] for p in (0.01, 0.5, 0.9)] == pytest.approx([0.02, 0.25, 0.8], abs=0.002)
+
+
 def test_null_only_column_has_no_quantile(rows):
     df = rows("k string, v double, w double", ("a", None, 1.0))
     assert [r.metric for r in exact_quantiles(df, ["k"], ["v", "w"], [0.5]).collect()] == ["w"]
