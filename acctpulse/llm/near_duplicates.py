@@ -34,7 +34,6 @@ smallest document ids (null if all are null); an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -43,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from acctpulse.llm.batches import hashed_words, map_texts, scramble
-from acctpulse.session import materialize
+from acctpulse.session import discard, materialize
 
 K, SKETCHES, KEPT = 3, 64, 2
 SIMILARITY = 0.8
@@ -51,6 +50,8 @@ SIMILARITY = 0.8
 SHORT = 14
 #: Leaders of a bucket grow by this factor each round.
 GROWTH = 64
+#: Rounds in which a text meets one leader only.
+SINGLE = 3
 #: Longs of the bit map by which pairs that cannot be similar are left out.
 MAP = 8
 _TOP = np.uint64(2**64 - 1)
@@ -110,10 +111,15 @@ def sketches(texts: list[str]) -> np.ndarray:
     return out
 
 
-@lru_cache(None)
+#: Choices already listed, by their sizes; a plain table, so that the functions that use it travel to the tasks by value.
+_places: dict[tuple[int, int], np.ndarray] = {}
+
+
 def _kept_places(n: int, m: int) -> np.ndarray:
     """All choices of m of n places, in order."""
-    return np.array(list(combinations(range(n), m)), np.int64).reshape(-1, m)
+    if (n, m) not in _places:
+        _places[n, m] = np.array(list(combinations(range(n), m)), np.int64).reshape(-1, m)
+    return _places[n, m]
 
 
 def subsequences(words: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
@@ -257,11 +263,14 @@ def links(contents: DataFrame, docs: DataFrame, text: str = "text", doc_id: str
     ``contents`` has node, key, id, n_words, the bit map and the buckets of each text.
     """
     spark = docs.sparkSession
-    held = contents.select(F.col("node").alias("key"), "n_words", *[F.get("parity", F.lit(i)).alias(f"p{i}") for i in range(MAP)], F.explode("buckets").alias("bucket"))
+    # Only (bucket, text) is shuffled, until the buckets of a single text are gone.
+    held = contents.select(F.col("node").alias("key"), F.explode("buckets").alias("bucket"))
     shared = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     held = materialize(held.join(shared, "bucket"), "bucket_members")
+    maps = contents.select(F.col("node").alias("key"), "n_words", *[F.get("parity", F.lit(i)).alias(f"p{i}") for i in range(MAP)])
+    maps = materialize(maps.join(held.select("key").distinct(), "key", "left_semi"), "maps")
     # Words of the texts that share a bucket at all. A text's copies are spread by their ids; one of them is read.
-    needed = held.select(F.col("key").alias("node")).distinct()
+    needed = maps.select(F.col("key").alias("node"))
     wanted = contents.join(needed, "node", "left_semi").select("node", "key", F.col("id").cast("string").alias("id"))
     texts = docs.select(text_key(text).alias("key"), F.col(doc_id).cast("string").alias("id"), F.col(text).alias("nd_text"))
     found = texts.alias("t").join(
@@ -277,7 +286,7 @@ def links(contents: DataFrame, docs: DataFrame, text: str = "text", doc_id: str
     judged = spark.createDataFrame([], "lead long, key long, alike double")
     labels = spark.createDataFrame([], "key long, label long")
     chance = F.pmod(F.xxhash64("bucket", "key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    turn = 0
+    turn = -SINGLE
     while True:
         ends = judged.where("alike IS NOT NULL").select(F.explode(F.array("lead", "key")).alias("key"))
         degree = ends.groupBy("key").agg(F.count(F.lit(1)).alias("degree"))
@@ -286,30 +295,50 @@ def links(contents: DataFrame, docs: DataFrame, text: str = "text", doc_id: str
         # Buckets with texts of different classes; who has most links leads, and more texts each round. Equals rank alike
         # in all buckets, so that those of one group have the same leader.
         rank = F.struct("degree", F.xxhash64("key"), "key")
-        open_ = members.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("z"), F.max_by("key", rank).alias("best"))
+        open_ = members.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("z"), F.max(rank).alias("best"))
         members = materialize(members.join(open_.where("a != z").select("bucket", "best"), "bucket").drop("degree"), "open_members")
         if members.isEmpty():
             break
-        of = lambda t: F.lit(float(GROWTH**t if t else 0)) / F.col("size")
-        fresh = (F.col("key") == F.col("best")) | ((chance >= of(turn - 1 if turn else 0)) & (chance < of(turn)))
-        lead = members.where(fresh).select("bucket", F.col("key").alias("lead"), F.col("label").alias("of_lead"), F.col("n_words").alias("n_lead"), *[F.col(f"p{i}").alias(f"l{i}") for i in range(MAP)])
-        longer, shorter = F.greatest("n_words", "n_lead"), F.least("n_words", "n_lead")
-        most = F.floor((1 - least) * longer + 1e-9)
-        differ = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"l{i}"))) for i in range(MAP)), F.lit(0))
-        can = (longer - shorter <= most) & (differ <= 2 * most - (longer - shorter))
-        met = members.join(lead, "bucket").where((F.col("label") != F.col("of_lead")) & can)
+        if turn < 0:
+            # Each text meets the highest leader of all its buckets: a group of copies forms around few leaders, and
+            # what is in one class is not compared again.
+            top = members.where("key != best.key").groupBy("key").agg(F.max("best").alias("best"), F.first("label").alias("label"))
+            met = top.select("key", "label", F.col("best.key").alias("lead"))
+            met = met.join(labels.select(F.col("key").alias("lead"), F.col("label").alias("of_lead")), "lead", "left")
+            met = met.where(F.col("label") != F.coalesce("of_lead", "lead")).select("lead", "key")
+        else:
+            of = lambda t: F.lit(float(GROWTH**t if t else 0)) / F.col("size")
+            fresh = (F.col("key") == F.col("best.key")) | ((chance >= of(turn - 1 if turn else 0)) & (chance < of(turn)))
+            lead = members.where(fresh).select("bucket", F.col("key").alias("lead"), F.col("label").alias("of_lead"))
+            met = members.join(lead, "bucket").where(F.col("label") != F.col("of_lead"))
         pairs = met.select(F.least("lead", "key").alias("lead"), F.greatest("lead", "key").alias("key")).distinct()
         pairs = pairs.join(judged, ["lead", "key"], "left_anti")
-        new = materialize(_verify(pairs, words, least), "judged")
+        new = materialize(_verify(_possible(pairs, maps, least), words, least), "judged")
         judged = judged.unionByName(new)
-        labels = joined_labels(labels, new.where("alike IS NOT NULL").select("lead", "key"))
+        old, labels = labels, joined_labels(labels, new.where("alike IS NOT NULL").select("lead", "key"))
+        if turn > -SINGLE:
+            discard(old)
         # Every text of the largest open bucket has led.
-        if GROWTH**turn >= members.agg(F.max("size")).first()[0] and turn:
+        largest = members.agg(F.max("size")).first()[0]
+        discard(members)
+        if turn > 0 and GROWTH**turn >= largest:
             break
         turn += 1
+    for table in (held, maps, words):
+        discard(table)
     return judged.where("alike IS NOT NULL"), labels
 
 
+def _possible(pairs: DataFrame, maps: DataFrame, least: float) -> DataFrame:
+    """Pairs whose lengths and bit maps allow the similarity."""
+    of_lead = maps.select(F.col("key").alias("lead"), F.col("n_words").alias("n_lead"), *[F.col(f"p{i}").alias(f"l{i}") for i in range(MAP)])
+    longer, shorter = F.greatest("n_words", "n_lead"), F.least("n_words", "n_lead")
+    most = F.floor((1 - least) * longer + 1e-9)
+    differ = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"l{i}"))) for i in range(MAP)), F.lit(0))
+    can = (longer - shorter <= most) & (differ <= 2 * most - (longer - shorter))
+    return pairs.join(maps, "key").join(of_lead, "lead").where(can).select("lead", "key")
+
+
 def joined_labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """(key, label) after new edges (lead, key): components of what the ends were labelled before."""
     known = lambda end: labels.select(F.col("key").alias(end), F.col("label").alias(f"{end}_label"))
@@ -318,10 +347,14 @@ def joined_labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
         named.select(F.coalesce("lead_label", "lead").alias("lead"), F.coalesce("key_label", "key").alias("key")).where("lead != key").distinct(),
         "new_edges",
     )
-    merged = components(named).withColumnsRenamed({"key": "was", "label": "now"})
+    parts = components(named)
+    merged = parts.withColumnsRenamed({"key": "was", "label": "now"})
     old = labels.join(merged, labels.label == merged.was, "full")
     # A node without a label so far was its own.
-    return materialize(old.select(F.coalesce("key", "was").alias("key"), F.coalesce("now", "label").alias("label")), "labels")
+    out = materialize(old.select(F.coalesce("key", "was").alias("key"), F.coalesce("now", "label").alias("label")), "labels")
+    discard(named)
+    discard(parts)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -341,8 +374,10 @@ def components(edges: DataFrame) -> DataFrame:
         jump = labels.select(F.col("key").alias("next"), F.col("label").alias("over"))
         new = own.join(jump, "next", "left").select("key", "label", F.least("next", "over").alias("next"))
         new = materialize(new, "labels")
+        discard(labels)
         labels = new.select("key", F.col("next").alias("label"))
         if new.where("label != next").isEmpty():
+            discard(both)
             return labels
 
 
@@ -366,6 +401,7 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least:
         F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.max("buckets").alias("buckets"), F.max("n_words").alias("n_words"), F.max("parity").alias("parity")
     )
     contents = materialize(contents.withColumn("node", F.monotonically_increasing_id()), "contents")
+    discard(rows)
     edges, labels = links(contents, docs, text, doc_id, least)
     ends = edges.select(F.explode(F.array("lead", "key")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     nodes = contents.join(labels.withColumnRenamed("key", "node"), "node", "left").join(ends, "node", "left").select(
@@ -374,7 +410,9 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least:
     nodes = materialize(nodes, "nodes")
     totals = nodes.groupBy("class_key").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"))
     known = nodes.select("key", "class_key", "n_links").join(totals, "class_key")
-    return rows.select("doc_id", "key").join(known, "key").select("doc_id", "key", "class_key", "class_id", "class_size", "n_links")
+    discard(contents)
+    keys = keyed.select("doc_id", "key")
+    return keys.join(known, "key").select("doc_id", "key", "class_key", "class_id", "class_size", "n_links")
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
