@@ -76,6 +76,20 @@ def discard(table: DataFrame) -> None:
         own.remove(path)
 
 
+def written(spark: SparkSession) -> list[str]:
+    """Paths of the intermediate tables written and not yet removed."""
+    return list(_written.get(spark.sparkContext.applicationId, []))
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Remove some of them."""
+    own = _written.get(spark.sparkContext.applicationId, [])
+    for path in paths:
+        if path in own:
+            _remove(spark, path)
+            own.remove(path)
+
+
 def release(spark: SparkSession, keep: int = 0) -> None:
     """Remove the intermediate tables written so far, but for the first ``keep``.
 
