@@ -51,7 +51,7 @@ SHORT = 14
 #: Leaders of a bucket grow by this factor each round.
 GROWTH = 64
 #: Rounds in which a text meets one leader only.
-SINGLE = 3
+SINGLE = 1
 #: Longs of the bit map by which pairs that cannot be similar are left out.
 MAP = 8
 _TOP = np.uint64(2**64 - 1)
@@ -305,15 +305,17 @@ def links(contents: DataFrame, docs: DataFrame, text: str = "text", doc_id: str
             top = members.where("key != best.key").groupBy("key").agg(F.max("best").alias("best"), F.first("label").alias("label"))
             met = top.select("key", "label", F.col("best.key").alias("lead"))
             met = met.join(labels.select(F.col("key").alias("lead"), F.col("label").alias("of_lead")), "lead", "left")
-            met = met.where(F.col("label") != F.coalesce("of_lead", "lead")).select("lead", "key")
+            met = met.where(F.col("label") != F.coalesce("of_lead", "lead")).join(maps, "key")
+            met = met.join(maps.select(F.col("key").alias("lead"), *_as_lead()), "lead").where(_can(least))
         else:
             of = lambda t: F.lit(float(GROWTH**t if t else 0)) / F.col("size")
             fresh = (F.col("key") == F.col("best.key")) | ((chance >= of(turn - 1 if turn else 0)) & (chance < of(turn)))
-            lead = members.where(fresh).select("bucket", F.col("key").alias("lead"), F.col("label").alias("of_lead"))
-            met = members.join(lead, "bucket").where(F.col("label") != F.col("of_lead"))
+            wide = members.join(maps, "key")
+            lead = wide.where(fresh).select("bucket", F.col("key").alias("lead"), F.col("label").alias("of_lead"), *_as_lead())
+            met = wide.join(lead, "bucket").where((F.col("label") != F.col("of_lead")) & _can(least))
         pairs = met.select(F.least("lead", "key").alias("lead"), F.greatest("lead", "key").alias("key")).distinct()
         pairs = pairs.join(judged, ["lead", "key"], "left_anti")
-        new = materialize(_verify(_possible(pairs, maps, least), words, least), "judged")
+        new = materialize(_verify(pairs, words, least), "judged")
         judged = judged.unionByName(new)
         old, labels = labels, joined_labels(labels, new.where("alike IS NOT NULL").select("lead", "key"))
         if turn > -SINGLE:
@@ -329,14 +331,17 @@ def links(contents: DataFrame, docs: DataFrame, text: str = "text", doc_id: str
     return judged.where("alike IS NOT NULL"), labels
 
 
-def _possible(pairs: DataFrame, maps: DataFrame, least: float) -> DataFrame:
-    """Pairs whose lengths and bit maps allow the similarity."""
-    of_lead = maps.select(F.col("key").alias("lead"), F.col("n_words").alias("n_lead"), *[F.col(f"p{i}").alias(f"l{i}") for i in range(MAP)])
+def _as_lead() -> list[Column]:
+    """Length and bit map of a leader."""
+    return [F.col("n_words").alias("n_lead"), *[F.col(f"p{i}").alias(f"l{i}") for i in range(MAP)]]
+
+
+def _can(least: float) -> Column:
+    """Lengths and bit maps of a text and a leader allow the similarity."""
     longer, shorter = F.greatest("n_words", "n_lead"), F.least("n_words", "n_lead")
     most = F.floor((1 - least) * longer + 1e-9)
     differ = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"l{i}"))) for i in range(MAP)), F.lit(0))
-    can = (longer - shorter <= most) & (differ <= 2 * most - (longer - shorter))
-    return pairs.join(maps, "key").join(of_lead, "lead").where(can).select("lead", "key")
+    return (longer - shorter <= most) & (differ <= 2 * most - (longer - shorter))
 
 
 def joined_labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
