@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding with a rank queue.
 
-A pre-token is a linked list of symbols. Every neighbouring pair that merges
+Pre-tokens are linked lists of symbols. Every neighbouring pair that merges
 waits in the bucket of its rank; a bitmap of two levels marks the buckets that
 are not empty, and the lowest set bit names the rank that is next. A bucket
 gives its positions from the left. Merging two symbols unlinks the right one
@@ -11,8 +11,8 @@ about n steps, so one of a million bytes is no special case.
 Texts are cut into pre-tokens by array operations. Each task keeps the tokens
 of the pre-tokens it has met (at most REMEMBERED, then it starts anew), since
 words repeat. The vocabulary is read once on the driver (a file of fixed size)
-and travels with the tasks. Rows never move; memory is bounded by a batch (two
-million characters, or one longer text).
+and travels with the tasks. Rows never move; memory is bounded by a batch (BATCH characters, or one longer text).
+The pre-tokens of a batch that are new share one queue: see merge_many.
 
 Defined results: a null or empty text has no tokens and decodes to no bytes;
 special strings in a text are ordinary text; repeated rows are encoded one by
@@ -23,6 +23,7 @@ empty table gives no rows; an input column named as a returned one is replaced.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from heapq import heappop, heappush
@@ -31,15 +32,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from acctpulse.llm.batches import hash_runs, map_kept, map_texts, quote
+from acctpulse.llm.batches import hash_runs, map_kept, map_texts, pieces, quote
 from acctpulse.llm.token_counts import SPACE, SPACES, UNSEEN, Vocabulary, _classes, pre_tokens
 
 #: Pre-tokens whose tokens a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
+#: Characters that are encoded at once.
+BATCH = 500_000
 #: Bits of one word of the bitmap; its square bounds the number of ranks.
 WORD = 512
+BITS = [1 << i for i in range(WORD)]
+#: Positions of a rank below which they are merged one by one.
+SMALL = 12
+NEVER = 2**62
 #: Ids that one step of decoding handles; a longer list is a step of its own.
-STEP = 2_000_000
+STEP = 500_000
 
 
 @dataclass
@@ -91,67 +98,197 @@ def merge_all(m: Merges, piece: bytes) -> list[int]:
     known = m.whole.get(piece)
     if known is not None:
         return [known]
-    first, ranks, merged = m.first, m.ranks, m.merged
-    ids = [first[b] for b in piece]
+    ranks, merged, bits = m.ranks.get, m.merged, BITS
+    ids = [m.first[b] for b in piece]
     n = len(ids)
-    if n < 2:
-        return ids
+    # Rank of the pair that begins at each symbol, None where it has none or the symbol is gone.
+    own = [ranks(a << 32 | b) for a, b in zip(ids, ids[1:])]
+    own.append(None)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    waiting: dict[int, list[int]] = {}
+    waiting: dict = {}  # by rank: a position, or a heap of several
     words: dict[int, int] = {}
     top = 0
-    for i in range(n - 1):
-        rank = ranks.get(ids[i] << 32 | ids[i + 1])
+    for i, rank in enumerate(own):
         if rank is not None:
-            bucket = waiting.get(rank)
-            if bucket is None:
-                waiting[rank] = [i]
-                w = rank // WORD
-                words[w] = words.get(w, 0) | 1 << rank % WORD
-                top |= 1 << w
+            if rank in waiting:
+                bucket = waiting[rank]
+                if type(bucket) is int:
+                    waiting[rank] = [bucket, i]
+                else:
+                    bucket.append(i)  # ascending positions are a heap as they are
             else:
-                bucket.append(i)  # ascending positions are a heap as they are
+                waiting[rank] = i
+                w = rank // WORD
+                if w in words:
+                    words[w] |= bits[rank % WORD]
+                else:
+                    words[w] = bits[rank % WORD]
+                    top |= bits[w]
     while top:
         w = (top & -top).bit_length() - 1
         word = words[w]
         rank = w * WORD + (word & -word).bit_length() - 1
-        bucket = waiting[rank]
-        i = heappop(bucket)
-        if not bucket:
+        i = waiting[rank]
+        if type(i) is not int:
+            bucket = i
+            i = heappop(bucket)
+            if len(bucket) == 1:
+                waiting[rank] = bucket[0]
+        else:
             del waiting[rank]
-            words[w] = word & (word - 1)
-            if not words[w]:
+            word &= word - 1
+            if word:
+                words[w] = word
+            else:
+                del words[w]
                 top &= top - 1
-        left, j = ids[i], after[i]
-        if left < 0 or j == n or ranks.get(left << 32 | ids[j]) != rank:
+        if own[i] != rank:
             continue  # stale
-        new = merged[rank]
-        ids[i], ids[j] = new, -1
+        j = after[i]
+        ids[i] = new = merged[rank]
+        ids[j] = -1
+        own[j] = own[i] = None
         k = after[i] = after[j]
+        fresh = []
         h = before[i]
-        for at, rank in (
-            (h, ranks.get(ids[h] << 32 | new) if h >= 0 else None),
-            (i, ranks.get(new << 32 | ids[k]) if k < n else None),
-        ):
+        if h >= 0:
+            rank = own[h] = ranks(ids[h] << 32 | new)
             if rank is not None:
-                bucket = waiting.get(rank)
-                if bucket is None:
-                    waiting[rank] = [at]
-                    w = rank // WORD
-                    words[w] = words.get(w, 0) | 1 << rank % WORD
-                    top |= 1 << w
-                else:
-                    heappush(bucket, at)
+                fresh.append((rank, h))
         if k < n:
             before[k] = i
+            rank = own[i] = ranks(new << 32 | ids[k])
+            if rank is not None:
+                fresh.append((rank, i))
+        for rank, at in fresh:
+            if rank in waiting:
+                bucket = waiting[rank]
+                if type(bucket) is int:
+                    waiting[rank] = [bucket, at] if bucket < at else [at, bucket]
+                else:
+                    heappush(bucket, at)
+            else:
+                waiting[rank] = at
+                w = rank // WORD
+                if w in words:
+                    words[w] |= bits[rank % WORD]
+                else:
+                    words[w] = bits[rank % WORD]
+                    top |= bits[w]
     return [x for x in ids if x >= 0]
 
 
+def merge_many(m: Merges, fresh: Sequence[bytes]) -> list[list[int]]:
+    """Ids of many pre-tokens, in one linked list with one rank queue.
+
+    A bucket holds the positions of its rank in all pre-tokens; a large one is
+    merged by array operations, a small one position by position. Pre-tokens do
+    not touch each other, so this is what each would do on its own, unless a
+    merge makes a pair of a lower rank, which would have gone before the rest of the
+    bucket: such a pre-token is merged again on its own.
+    """
+    size = np.array([len(p) for p in fresh])
+    text = np.frombuffer(b"".join(fresh), np.uint8)
+    n = len(text)
+    ends = np.cumsum(size)
+    starts = ends - size
+    # One more symbol stands for what is before and after a pre-token.
+    ids = np.append(np.array(m.first, np.int64)[text], -1)
+    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    after[ends - 1] = before[starts] = after[n] = before[n] = n
+    keys = np.fromiter(m.ranks, np.int64, len(m.ranks))
+    order = np.argsort(keys)
+    keys, ranked = keys[order], np.fromiter(m.ranks.values(), np.int64, len(m.ranks))[order]
+
+    def rank_of(q: np.ndarray) -> np.ndarray:
+        right = ids[after[q]]
+        key = ids[q] << 32 | right
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where((keys[at] == key) & (right >= 0), ranked[at], NEVER)
+
+    own = np.append(rank_of(np.arange(n)), NEVER)
+    by_rank = np.argsort(own[:n], kind="stable")
+    by_rank = by_rank[: int((own[:n] < NEVER).sum())]
+    found, at = np.unique(own[by_rank], return_index=True)
+    waiting = {r: p.tolist() for r, p in zip(found.tolist(), np.split(by_rank, at[1:]))} if len(found) else {}
+    words: dict[int, int] = {}
+    for rank in waiting:
+        words[rank // WORD] = words.get(rank // WORD, 0) | BITS[rank % WORD]
+    top = sum(BITS[w] for w in words)
+    again: list[int] = []
+    ids_, after_, before_, own_ = (memoryview(v) for v in (ids, after, before, own))
+    get, merged, bits = m.ranks.get, m.merged, BITS
+    while top:
+        w = (top & -top).bit_length() - 1
+        word = words[w]
+        rank = w * WORD + (word & -word).bit_length() - 1
+        bucket = waiting.pop(rank)
+        word &= word - 1
+        words[w] = word
+        if not word:
+            top &= top - 1
+        new, queued = merged[rank], []
+        if len(bucket) < SMALL:
+            bucket.sort()
+            for i in bucket:
+                if own_[i] != rank:
+                    continue  # stale
+                j = after_[i]
+                k = after_[j]
+                ids_[i], ids_[j], own_[j], own_[i] = new, -1, NEVER, NEVER
+                after_[i] = k
+                h = before_[i]
+                if h != n:
+                    r = own_[h] = get(ids_[h] << 32 | new, NEVER)
+                    if r != NEVER:
+                        queued.append((r, h))
+                if k != n:
+                    before_[k] = i
+                    r = own_[i] = get(new << 32 | ids_[k], NEVER)
+                    if r != NEVER:
+                        queued.append((r, i))
+        else:
+            p = np.sort(np.array(bucket))
+            p = p[own[p] == rank]
+            # Where pairs overlap, every other one merges, from the left.
+            follows = np.append(False, p[1:] == after[p[:-1]])
+            if follows.any():
+                first = np.maximum.accumulate(np.where(follows, 0, np.arange(len(p))))
+                p = p[(np.arange(len(p)) - first) % 2 == 0]
+            j = after[p]
+            k = after[j]
+            ids[p], ids[j], own[j] = new, -1, NEVER
+            after[p] = k
+            before[k] = p
+            h = before[p]
+            q = np.unique(np.concatenate((p, h[h != n])))
+            r = own[q] = rank_of(q)
+            some = r < NEVER
+            queued = list(zip(r[some].tolist(), q[some].tolist()))
+        for r, i in queued:
+            if r in waiting:
+                waiting[r].append(i)
+            else:
+                waiting[r] = [i]
+                w = r // WORD
+                words[w] = words.get(w, 0) | bits[r % WORD]
+                top |= bits[w]
+            if r < rank:
+                again.append(i)
+    left = np.flatnonzero(ids[:n] >= 0)
+    cut = np.searchsorted(left, ends).tolist()
+    flat = ids[left].tolist()
+    out = [flat[a:b] for a, b in zip([0, *cut], cut)]
+    for i in np.unique(np.searchsorted(ends, again, side="right")).tolist() if again else ():
+        out[i] = merge_all(m, fresh[i])
+    return out
+
+
 def encoder(m: Merges) -> Callable[[Sequence[str]], tuple[np.ndarray, np.ndarray]]:
     """A function from texts to the ids of all, and the offset of each text's first (one more at the end)."""
     classes = np.full(0x110000, UNSEEN, np.uint8)
     classes[SPACES] = SPACE
-    known: dict[bytes, np.ndarray] = {}
+    known: dict[bytes, bytes] = {}  # ids as 32-bit numbers
 
     def encode(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         some = [i for i, t in enumerate(texts) if t]
@@ -174,17 +311,19 @@ def encoder(m: Merges) -> Callable[[Sequence[str]], tuple[np.ndarray, np.ndarray
         inside = np.repeat(np.where(odd, 0, starts[like]) - starts, lengths) + np.arange(len(data))
         alone = np.flatnonzero(odd | (np.add.reduceat(data[inside] != data, starts) > 0))
         same[alone] = len(sample) + np.arange(len(alone))
-        found = []
-        for at in np.concatenate((sample, alone)).tolist():
-            piece = raw[starts[at] : ends[at]]
-            ids = known.get(piece)
-            if ids is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                ids = known[piece] = np.array(merge_all(m, piece), np.int32)
-            found.append(ids)
-        size = np.array([len(x) for x in found])
-        table, at = np.concatenate(found), np.cumsum(size) - size
+        chosen = [raw[starts[at] : ends[at]] for at in np.concatenate((sample, alone)).tolist()]
+        if len(known) >= REMEMBERED:
+            known.clear()
+        fresh = [p for p in dict.fromkeys(chosen) if p not in known]
+        for p in fresh:
+            if p in m.whole:
+                known[p] = array("i", [m.whole[p]]).tobytes()
+        fresh = [p for p in fresh if p not in known]
+        if fresh:
+            known.update((p, array("i", x).tobytes()) for p, x in zip(fresh, merge_many(m, fresh)))
+        found = [known[p] for p in chosen]
+        size = np.array([len(x) for x in found]) // 4
+        table, at = np.frombuffer(b"".join(found), np.int32), np.cumsum(size) - size
         count = size[same]
         upto = np.cumsum(count)
         ids = table[np.repeat(at[same] - (upto - count), count) + np.arange(upto[-1])]
@@ -223,7 +362,9 @@ def encode(docs: DataFrame, merges: Merges, keep: Sequence[str] | None = None, t
         work = encoder(merges)
 
         def rows(texts: list[str]) -> list[pa.Array]:
-            ids, at = work(texts)
+            parts = [work(texts[lo:hi]) for lo, hi in pieces(texts, BATCH)]
+            ids = np.concatenate([np.zeros(0, np.int32), *(i for i, _ in parts)])
+            at = np.concatenate(([0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *(np.diff(a) for _, a in parts)]))))
             return [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))]
 
         return rows

@@ -72,9 +72,11 @@ def test_overlapping_pairs_of_one_rank():
         ids = {t: i for i, t in enumerate(tokens)}
         ranks = {ids[t[:k]] << 32 | ids[t[k:]]: i for t, i in ids.items() for k in range(1, len(t)) if t[:k] in ids and t[k:] in ids}
         m = byte_bpe.Merges(list(range(256)), ranks, {i: i for i in ids.values()}, {i: t for t, i in ids.items()})
-        for _ in range(10):
-            piece = bytes(rng.choices(b"ab", k=rng.randint(1, 40)))
-            assert byte_bpe.merge_all(m, piece) == naive(m, piece)
+        pieces = [bytes(rng.choices(b"ab", k=rng.randint(1, 40))) for _ in range(10)]
+        want = [naive(m, p) for p in pieces]
+        assert [byte_bpe.merge_all(m, p) for p in pieces] == want
+        # Large buckets are merged by arrays, also where a merge makes a pair of a lower rank.
+        assert byte_bpe.merge_many(m, pieces * 5) == want * 5
 
 
 def test_stale_entries_of_other_ranks(merges):
