@@ -36,9 +36,9 @@ from acctpulse.llm.batches import hash_runs, map_kept, map_texts, pieces, quote
 from acctpulse.llm.token_counts import SPACE, SPACES, UNSEEN, Vocabulary, _classes, pre_tokens
 
 #: Pre-tokens whose tokens a task remembers.
-REMEMBERED = 150_000
+REMEMBERED = 200_000
 #: Characters that are encoded at once.
-BATCH = 500_000
+BATCH = 1_000_000
 #: Bits of one word of the bitmap; its square bounds the number of ranks.
 WORD = 512
 BITS = [1 << i for i in range(WORD)]
@@ -178,7 +178,14 @@ def merge_all(m: Merges, piece: bytes) -> list[int]:
     return [x for x in ids if x >= 0]
 
 
-def merge_many(m: Merges, fresh: Sequence[bytes]) -> list[list[int]]:
+def sorted_pairs(m: Merges) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs in order, and their ranks."""
+    keys = np.fromiter(m.ranks, np.int64, len(m.ranks))
+    order = np.argsort(keys)
+    return keys[order], np.fromiter(m.ranks.values(), np.int64, len(m.ranks))[order]
+
+
+def merge_many(m: Merges, fresh: Sequence[bytes], pairs: tuple[np.ndarray, np.ndarray]) -> list[list[int]]:
     """Ids of many pre-tokens, in one linked list with one rank queue.
 
     A bucket holds the positions of its rank in all pre-tokens; a large one is
@@ -196,9 +203,7 @@ def merge_many(m: Merges, fresh: Sequence[bytes]) -> list[list[int]]:
     ids = np.append(np.array(m.first, np.int64)[text], -1)
     after, before = np.arange(1, n + 2), np.arange(-1, n)
     after[ends - 1] = before[starts] = after[n] = before[n] = n
-    keys = np.fromiter(m.ranks, np.int64, len(m.ranks))
-    order = np.argsort(keys)
-    keys, ranked = keys[order], np.fromiter(m.ranks.values(), np.int64, len(m.ranks))[order]
+    keys, ranked = pairs
 
     def rank_of(q: np.ndarray) -> np.ndarray:
         right = ids[after[q]]
@@ -288,6 +293,7 @@ def encoder(m: Merges) -> Callable[[Sequence[str]], tuple[np.ndarray, np.ndarray
     """A function from texts to the ids of all, and the offset of each text's first (one more at the end)."""
     classes = np.full(0x110000, UNSEEN, np.uint8)
     classes[SPACES] = SPACE
+    pairs = sorted_pairs(m)
     known: dict[bytes, bytes] = {}  # ids as 32-bit numbers
 
     def encode(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -308,7 +314,7 @@ def encoder(m: Merges) -> Callable[[Sequence[str]], tuple[np.ndarray, np.ndarray
         _, sample, same = np.unique(hash_runs(data, starts, ends), return_index=True, return_inverse=True)
         like = sample[same]
         odd = lengths != lengths[like]
-        inside = np.repeat(np.where(odd, 0, starts[like]) - starts, lengths) + np.arange(len(data))
+        inside = np.repeat((np.where(odd, 0, starts[like]) - starts).astype(np.int32), lengths) + np.arange(len(data), dtype=np.int32)
         alone = np.flatnonzero(odd | (np.add.reduceat(data[inside] != data, starts) > 0))
         same[alone] = len(sample) + np.arange(len(alone))
         chosen = [raw[starts[at] : ends[at]] for at in np.concatenate((sample, alone)).tolist()]
@@ -320,7 +326,7 @@ def encoder(m: Merges) -> Callable[[Sequence[str]], tuple[np.ndarray, np.ndarray
                 known[p] = array("i", [m.whole[p]]).tobytes()
         fresh = [p for p in fresh if p not in known]
         if fresh:
-            known.update((p, array("i", x).tobytes()) for p, x in zip(fresh, merge_many(m, fresh)))
+            known.update((p, array("i", x).tobytes()) for p, x in zip(fresh, merge_many(m, fresh, pairs)))
         found = [known[p] for p in chosen]
         size = np.array([len(x) for x in found]) // 4
         table, at = np.frombuffer(b"".join(found), np.int32), np.cumsum(size) - size
