@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from acctpulse.llm import decontamination, licenses, mixing, near_duplicates, quality_model, quality_rules, repeats, secret_scan, token_counts, toxicity
+from acctpulse.llm import alignment, byte_bpe, decontamination, fill_in_middle, licenses, mixing, near_duplicates, quality_model, quality_rules, repeats, secret_scan, token_counts, toxicity
 
 CLASHING = "key id words bucket lead label size start n item_id similarity w score quality toxic lb_y epoch key_1 batch value text_key".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING)
@@ -66,6 +66,11 @@ OPERATORS = {
     "mixing": lambda d, labels, items: mixing.mix(d.withColumn("mx_size", mixing.size_of()), "mx_size"),
     "toxicity": lambda d, labels, items: toxicity.score(d, toxicity.train(d, labels)),
     "rules": lambda d, labels, items: quality_rules.judge(d),
+    "encode": lambda d, labels, items: byte_bpe.encode(d, byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))),
+    "align": lambda d, labels, items: alignment.link_counts(
+        d, alignment.read_pair(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    ),
+    "middle": lambda d, labels, items: fill_in_middle.transform(d),
     "tokens": lambda d, labels, items: token_counts.count_tokens(d, public_tokenizers.path("byte_bpe_50k.json")),
 }
 
