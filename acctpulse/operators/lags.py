@@ -24,9 +24,11 @@ def lag_features(
     Instead of one join per value and lag, spine and source rows are stacked
     and RANGE frames that span exactly one date pick the lags: one shuffle by
     account for any number of sources. A window partition holds one row per
-    week of the account from the spine and from each source.
+    week of the account from the spine and from each source. Spine rows without
+    an account meet no source row; they are spread by their content.
     """
-    stacked = spine.withColumn("_is_spine", F.lit(True))
+    loose = F.when(F.col(ACCOUNT).isNull(), F.xxhash64(*[F.col(f"`{c}`") for c in spine.columns]))
+    stacked = spine.withColumns({"_is_spine": F.lit(True), "_loose": loose})
     wanted: list[tuple[str, int]] = []
     for weekly, values in sources:
         clash = (set(spine.columns) | {v for v, _ in wanted}) & set(values)
@@ -47,7 +49,7 @@ def lag_features(
 
 
 def _weeks_back(lag: int):
-    return Window.partitionBy(ACCOUNT).orderBy("_day_no").rangeBetween(-7 * lag, -7 * lag)
+    return Window.partitionBy(ACCOUNT, "_loose").orderBy("_day_no").rangeBetween(-7 * lag, -7 * lag)
 
 
 def lag_join(spine: DataFrame, weekly: DataFrame, value: str, lags: Sequence[int]) -> DataFrame:

@@ -19,8 +19,9 @@ from acctpulse.functions import (
     week_close_after,
     week_close_before,
 )
+from acctpulse.operators.assembly import lag_lists
 from acctpulse.operators.effective import weekly_presence
-from acctpulse.operators.lags import lag_features, lag_join, lag_name, with_ratios
+from acctpulse.operators.lags import lag_features, lag_name, with_ratios
 from acctpulse.operators.latest import latest_slice, newest, top_row
 from acctpulse.operators.reshape import distinct_list, presence_flags
 from acctpulse.operators.rolling import rolling_avg
@@ -33,6 +34,8 @@ OPEN_END = date(9999, 12, 31)
 # Fixed values.
 CHURN_CHANNELS = ("SALES_LED", "Cancelled Account")
 DOWNGRADE_CLASSES = ("EXISTING BUSINESS - DOWNGRADE", "LATE RENEWAL - DOWNGRADE")
+#: Labels that say that a category is unknown.
+PLACEHOLDERS = {"temperature": ("NOT APPLICABLE",), "sentiment_rating": ("NOT UPDATED", "Unknown")}
 SHORT_LAGS = (0, 1, 2, 4, 8, 12)
 LONG_LAGS = (0, 4, 8, 12, 24)
 
@@ -339,6 +342,12 @@ def weekly_families(
     )
 
 
+def weekly_capability_sets(families: DataFrame) -> DataFrame:
+    """Number of capabilities and presence of each family, by one grouping of the distinct rows."""
+    flags = [F.max(F.when(F.col("family") == v, 1).otherwise(0)).alias(n) for n, v in FAMILY_FLAGS.items()]
+    return families.groupBy(*KEY).agg(F.count("capability").alias("weekly_prod_caps_count"), *flags)
+
+
 def family_list(families: DataFrame) -> DataFrame:
     return distinct_list(families, KEY, "family", "families")
 
@@ -359,12 +368,22 @@ def weekly_category(panel: DataFrame, column: str, *placeholders: str) -> DataFr
     )
 
 
+def weekly_snapshot(panel: DataFrame) -> DataFrame:
+    """Run rate, temperature and sentiment of the Sunday snapshots, by one grouping."""
+    return (
+        _sunday_rows(panel)
+        .groupBy(F.col("effective_account_id").alias("account_id"), F.col("report_dt").alias("close_week"))
+        .agg(F.max("run_rate").alias("bcm_rr"), *[F.min(c).alias(c) for c in PLACEHOLDERS])
+        .withColumns({c: or_na(c, *none) for c, none in PLACEHOLDERS.items()})
+    )
+
+
 def weekly_temperature(panel: DataFrame) -> DataFrame:
-    return weekly_category(panel, "temperature", "NOT APPLICABLE")
+    return weekly_category(panel, "temperature", *PLACEHOLDERS["temperature"])
 
 
 def weekly_sentiment(panel: DataFrame) -> DataFrame:
-    return weekly_category(panel, "sentiment_rating", "NOT UPDATED", "Unknown")
+    return weekly_category(panel, "sentiment_rating", *PLACEHOLDERS["sentiment_rating"])
 
 
 def weekly_flags(
@@ -478,23 +497,37 @@ def _zeros(df: DataFrame, values: Sequence[str]) -> DataFrame:
 
 
 def with_flags(spine: DataFrame, flags: DataFrame, names: Sequence[str] = SUBSCRIPTION_FLAGS) -> DataFrame:
-    joined = spine.join(flags, KEY, "left")
-    return joined.withColumns({n: flag01(n) for n in names})
+    return _flags01(lag_lists(spine, [], [(flags, names, (0,))]), names)
+
+
+def _flags01(df: DataFrame, names: Sequence[str] = SUBSCRIPTION_FLAGS) -> DataFrame:
+    return df.withColumns({n: flag01(n) for n in names})
 
 
 def with_logs(spine: DataFrame, logs: DataFrame) -> DataFrame:
+    return _log_ratios(lag_lists(spine, [], [(logs, ("apm_logs_gb",), LONG_LAGS)]))
+
+
+def _log_ratios(df: DataFrame) -> DataFrame:
     """Ratios use the values as found, the value columns read 0 where missing."""
-    joined = with_ratios(lag_join(spine, logs, "apm_logs_gb", LONG_LAGS), LOGS_RATIOS, div0)
     names = [lag_name("apm_logs_gb", k) for k in LONG_LAGS]
-    return joined.withColumns({n: F.coalesce(n, F.lit(0.0)) for n in names})
+    return with_ratios(df, LOGS_RATIOS, div0).withColumns({n: F.coalesce(n, F.lit(0.0)) for n in names})
+
+
+def competitor_names(counters: Sequence[str]) -> list[str]:
+    return [f"is_comp_agent_{c.lower()}" for c in counters]
 
 
 def with_competitors(
     spine: DataFrame, flags: DataFrame, counters: Sequence[str] = COMPETITOR_COUNTERS
 ) -> DataFrame:
-    names = [f"is_comp_agent_{c.lower()}" for c in counters]
-    joined = spine.join(flags, KEY, "left").withColumns({n: F.coalesce(n, F.lit(0)) for n in names})
-    return joined.withColumn("weekly_comps_count", reduce(lambda a, b: a + b, [F.col(n) for n in names]))
+    names = competitor_names(counters)
+    return _competitor_count(lag_features(spine, (flags, dict.fromkeys(names, (0,)))), names)
+
+
+def _competitor_count(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    filled = df.withColumns({n: F.coalesce(n, F.lit(0)) for n in names})
+    return filled.withColumn("weekly_comps_count", reduce(lambda a, b: a + b, [F.col(n) for n in names]))
 
 
 @dataclass(frozen=True)
@@ -518,35 +551,41 @@ class ChurnSources:
 
 
 def churn_features(s: ChurnSources, floor: date = FLOOR) -> DataFrame:
-    """All feature sets on the spine.
+    """All feature sets on the spine, in one lag pass: one shuffle by account, no join.
 
-    Sources that may repeat a week are joined, so that they fan out as joins
-    do; this happens first, while the spine is narrow. Sources with one row per
-    account and week then share a single lag pass, one shuffle by account.
+    Sources of one origin are grouped once. Those that may repeat a week (flags, logs) pass as lists and are
+    unfolded at the end, where they fan out as joins do.
     """
     spine = weekly_spine(s.panel, s.changes, floor)
-    competitors = competitor_flags(s.competitor_regions, s.hierarchy, floor, s.counters)
-    spine = with_flags(spine, weekly_flags(s.flags_daily, floor))
-    spine = with_competitors(spine, competitors, s.counters)
-    spine = with_logs(spine, weekly_logs(s.logs))
-
-    volume = weekly_rolling_max(rolling_consumption(s.consumption))
     families = weekly_families(s.capability_consumption, floor, s.extra_capabilities)
+    names = competitor_names(s.counters)
     presence = {
         "is_change_tracking": weekly_presence(s.activity_a, s.hierarchy),
         "is_advance_query": weekly_presence(s.activity_b, s.hierarchy),
     }
-    out = lag_features(
-        spine,
-        (weekly_capabilities(s.capability_consumption, floor), {"weekly_prod_caps_count": SHORT_LAGS}),
+    singles = [
+        (
+            weekly_capability_sets(families),
+            {"weekly_prod_caps_count": SHORT_LAGS, **dict.fromkeys(FAMILY_FLAGS, (0,))},
+        ),
         (weekly_active_users(s.feature_usage, s.panel, floor), {"wau": SHORT_LAGS}),
-        (weekly_run_rate(s.panel), {"bcm_rr": LONG_LAGS}),
-        (volume, {"rolling_7_day_avg_gb": LONG_LAGS, "rolling_30_day_avg_gb": LONG_LAGS}),
-        (family_flags(families), dict.fromkeys(FAMILY_FLAGS, (0,))),
-        (weekly_temperature(s.panel), {"temperature": LONG_LAGS}),
-        (weekly_sentiment(s.panel), {"sentiment_rating": LONG_LAGS}),
+        (weekly_snapshot(s.panel), dict.fromkeys(("bcm_rr", *PLACEHOLDERS), LONG_LAGS)),
+        (
+            weekly_rolling_max(rolling_consumption(s.consumption)),
+            {"rolling_7_day_avg_gb": LONG_LAGS, "rolling_30_day_avg_gb": LONG_LAGS},
+        ),
+        (
+            competitor_flags(s.competitor_regions, s.hierarchy, floor, s.counters),
+            dict.fromkeys(names, (0,)),
+        ),
         *[(weeks.withColumn(n, F.lit(1)), {n: LONG_LAGS}) for n, weeks in presence.items()],
-    )
+    ]
+    repeating = [
+        (weekly_flags(s.flags_daily, floor), SUBSCRIPTION_FLAGS, (0,)),
+        (weekly_logs(s.logs), ("apm_logs_gb",), LONG_LAGS),
+    ]
+    out = lag_lists(spine, singles, repeating)
+    out = _log_ratios(_competitor_count(_flags01(out), names))
     ratios = [CAPS_RATIOS, WAU_RATIOS, RUN_RATE_RATIOS, ROLLING_7_RATIOS, ROLLING_30_RATIOS]
     out = with_ratios(out, {k: v for r in ratios for k, v in r.items()}, div0)
     out = out.withColumns({n: F.coalesce(n, F.lit(0)) for n in FAMILY_FLAGS})

@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acctpulse.functions import dec2
+from acctpulse.operators.assembly import stack_join
 from acctpulse.operators.latest import month_end_or, newest
 from acctpulse.plans import billing, finance, support, usage
+from acctpulse.session import materialize
 
 
 @dataclass(frozen=True)
@@ -42,11 +44,15 @@ def account_360(
 ) -> DataFrame:
     """All branches on the activation rows.
 
-    Every branch is aggregated to (account, date) or (account, month) before it
-    is joined, so the joins move calendar-bounded rows, never raw facts.
+    Every branch is aggregated to (account, date) or (account, month) before
+    assembly, so that moves calendar-bounded rows, never raw facts. Branches
+    of one key are stacked, one shuffle per key instead of two per branch;
+    repeated rows fall together in the branches, while they are narrow.
     """
-    thresholds = usage.capability_threshold(usage.capability_reach(s.feature_usage, as_of, months))
-    daily = usage.daily_active_usage(s.feature_usage, s.account_flags, s.account_metrics, as_of, months)
+    # One row per month and capability; both the thresholds and the daily counts read it.
+    reach = materialize(usage.capability_reach(s.feature_usage, as_of, months), "capability_reach")
+    thresholds = usage.capability_threshold(reach)
+    daily = usage.daily_active_usage(s.feature_usage, s.account_flags, s.account_metrics, as_of, months, reach)
     base = usage.user_activation(s.panel, as_of, months).drop("mtd_amount")
 
     stickiness = usage.product_stickiness(s.feature_flags, s.features, as_of, months).withColumn(
@@ -148,19 +154,14 @@ def account_360(
     )
 
     month_key, day_key = ["account_id", "report_month"], ["account_id", "report_dt"]
-    return (
-        base.select(*BASE_COLUMNS)
-        .withColumn("user_activation_percentage", dec2("user_activation_percentage"))
-        .join(rolled, day_key, "left")
-        .join(money, day_key, "left")
-        .join(stickiness, month_key, "left")
-        .join(risk, month_key, "left")
-        .join(sentiment, month_key, "left")
-        .join(invoices, month_key, "left")
-        .join(competitors, month_key, "left")
-        .join(cases, ["crm_account_id", "report_month"], "left")
-        .dropDuplicates()
+    activated = base.select(*BASE_COLUMNS).withColumn(
+        "user_activation_percentage", dec2("user_activation_percentage")
     )
+    activated = activated.dropDuplicates()
+    # A customer system's account may stand for many accounts, so this one is a join, whose skew is split at run time.
+    by_day = stack_join(activated, day_key, rolled, money)
+    by_month = stack_join(by_day, month_key, stickiness, risk, sentiment, invoices, competitors)
+    return by_month.join(cases, ["crm_account_id", "report_month"], "left")
 
 
 BASE_COLUMNS = (

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acctpulse.functions import minute_diff, month_start, safe_div
+from acctpulse.operators.assembly import stack_join
 
 CASE_FLOOR = date(2023, 1, 1)
 
@@ -149,10 +150,5 @@ def support_metrics(
         "account_id", F.col("solved_month").alias("case_month"), "avg_csat_score"
     )
     response = first_response_time(cases, as_of, floor).select(*key, "mthly_fttr_50")
-    return (
-        case_resolution(cases, floor)
-        .select(*key, "resolution_rate", "open_tickets")
-        .join(priority, key, "left")
-        .join(csat, key, "left")
-        .join(response, key, "left")
-    )
+    resolution = case_resolution(cases, floor).select(*key, "resolution_rate", "open_tickets")
+    return stack_join(resolution, key, priority, csat, response, distinct=False)

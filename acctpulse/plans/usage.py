@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from acctpulse.functions import (
@@ -176,17 +176,36 @@ def _platform_usage(usage: DataFrame, as_of: date, months: int) -> DataFrame:
 
 
 def capability_reach(usage: DataFrame, as_of: date, months: int = HORIZON_MONTHS) -> DataFrame:
-    """Per month and capability: share of the month's accounts that use it."""
-    pairs = (
+    """Per month and capability: share of the month's accounts that use it.
+
+    The fact is read once and reduced to the set of capabilities of each month
+    and account, at most as long as there are capabilities. Each set counts its
+    account for its capabilities and, by one more entry, for the month.
+    """
+    sets = (
         _platform_usage(usage, as_of, months)
-        .select(month_start("date").alias("month"), "capability", "account_id")
-        .dropDuplicates()
+        .select(month_start("date").alias("month"), "account_id", "capability")
+        .groupBy("month", "account_id")
+        .agg(F.collect_set(F.struct(F.lit(False).alias("whole"), "capability")).alias("used"))
+    )
+    whole = F.struct(F.lit(True).alias("whole"), F.lit(None).cast("string").alias("capability"))
+    counted = (
+        sets.select("month", "account_id", F.explode(F.array_append("used", whole)).alias("u"))
+        .groupBy("month", "u.whole", "u.capability")
+        .agg(F.count("account_id").alias("account_count"))
     )
-    used = pairs.groupBy("month", "capability").agg(F.count("account_id").alias("account_count"))
-    accounts = pairs.select("month", "account_id").dropDuplicates()
-    totals = accounts.groupBy("month").agg(F.count("account_id").alias("total_accounts"))
-    return used.join(totals, "month", "left").withColumn(
-        "usage_percentage", safe_div(F.col("account_count") * F.lit(100.0), F.col("total_accounts"))
+    # A window over the capabilities of one month.
+    total = F.max(F.when(F.col("whole"), F.col("account_count"))).over(Window.partitionBy("month"))
+    return (
+        counted.withColumn("total_accounts", F.when(F.col("month").isNotNull(), total))
+        .filter(~F.col("whole"))
+        .select(
+            "month",
+            "capability",
+            "account_count",
+            "total_accounts",
+            safe_div(F.col("account_count") * F.lit(100.0), F.col("total_accounts")).alias("usage_percentage"),
+        )
     )
 
 
@@ -207,15 +226,17 @@ def daily_active_usage(
     account_metrics: DataFrame,
     as_of: date,
     months: int = HORIZON_MONTHS,
+    reach: DataFrame | None = None,
 ) -> DataFrame:
     """Distinct users and distinct threshold capabilities per account and day.
 
+    ``reach`` is ``capability_reach`` of the same usage, for callers that have
+    it as a table; else it is computed.
     Eligibility depends on account and day alone, so it is applied to the
     aggregated rows as a semi join, which also cannot multiply them.
     """
-    popular = threshold_capabilities(capability_reach(usage, as_of, months)).withColumn(
-        "meets_threshold", F.lit(True)
-    )
+    reach = capability_reach(usage, as_of, months) if reach is None else reach
+    popular = threshold_capabilities(reach).withColumn("meets_threshold", F.lit(True))
     # Usage repeats a user and a capability many times a day; only distinct rows are joined and counted.
     active = (
         _platform_usage(usage, as_of, months)

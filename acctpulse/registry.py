@@ -103,10 +103,13 @@ ANALYSES["daily_active_usage"] = lambda spark, d: _daily(Inputs(spark, d))
 
 @analysis("stickiness_utilization")
 def _(i):
-    thresholds = usage.capability_threshold(
-        usage.capability_reach(i.feature_usage_daily(), AS_OF, MONTHS)
+    # The fact is read twice: once for the reach, a small table, and once for the daily counts.
+    used = i.feature_usage_daily()
+    reach = materialize(usage.capability_reach(used, AS_OF, MONTHS), "capability_reach")
+    daily = usage.daily_active_usage(
+        used, i.account_flags_daily(), i.account_metrics_daily(), AS_OF, MONTHS, reach
     )
-    return usage.stickiness_utilization(i.account_daily(), _daily(i), thresholds, AS_OF, MONTHS)
+    return usage.stickiness_utilization(i.account_daily(), daily, usage.capability_threshold(reach), AS_OF, MONTHS)
 
 
 @analysis("term_to_date")
