@@ -1,11 +1,14 @@
 """Quality rules with thresholds that adapt to language and source.
 
 Every document gets a few whole-number rates (symbols, marks, repeated lines,
-repeated words, word length). A mergeable quantile sketch of each rate is built
+word length). A mergeable quantile sketch of each rate is built
 per language and source: a histogram whose buckets have a bounded relative
 width, so that sketches of parts add up to the sketch of the whole, whatever
-the order, and a rerun gives the same thresholds. Fences around the median
-replace fixed cutoffs; joining them back filters the documents.
+the order, and a rerun gives the same thresholds. Fences replace fixed cutoffs:
+an upper quantile of the group plus a multiple of its distance from the median
+(below the median likewise). A source whose own quantile lies in junk is bounded
+by the fence of its language, at twice the distance. Joining the fences back
+filters the documents.
 
 Built-in expressions only. Counting inside a document never leaves its row, so
 a hot source is spread over all tasks; sketches are pre-aggregated per task and
@@ -31,21 +34,21 @@ WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEATED = 20  # per cent of the words
 
-#: Rates and the least distance of a fence from the median. All are thousandths of a word or line, word length hundredths
-#: of a character. ``both``: a fence below the median as well.
+#: Rates: the quantile (per cent) that fences start from, how many of its distances from the median they lie beyond it, the
+#: least distance, for groups where quantile and median coincide, and whether there is a fence below the median as well.
+#: All are thousandths of a word or line, word length hundredths of a character.
 RATES = {
-    "symbol_rate": (150, False),
-    "mark_rate": (300, False),
-    "line_rate": (450, False),
-    "repeat_rate": (250, False),
-    "word_length": (400, True),
+    "symbol_rate": (75, 8, 100, False),
+    "mark_rate": (75, 8, 200, False),
+    "line_rate": (99, 2, 50, False),
+    "word_length": (90, 8, 50, True),
 }
-#: Fences lie so many quartile distances from the median.
-REACH = 3
-#: Groups with fewer documents use the merged sketch of their language, and that of all where it is small too.
-MIN_GROUP = 50
+#: A group's quantile counts if so many documents lie beyond it; else that of its language does, else that of all.
+MIN_TAIL = 10
+#: A source's fence lies at most so many distances of its language's fence beyond the language's quantile.
+BOUND = 2
 #: Sketch buckets keep so many leading bits, so values are off by 1/2**(BITS-1) at most.
-BITS = 6
+BITS = 9
 
 
 def _repeated_words(words: Column) -> Column:
@@ -119,7 +122,6 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
             per(F.col("qr_s"), n, 1000).alias("symbol_rate"),
             per(F.col("qr_x"), n, 1000).alias("mark_rate"),
             per(F.col("qr_l.dup"), n_lines, 1000).alias("line_rate"),
-            per(F.col("qr_w.repeated"), n, 1000).alias("repeat_rate"),
             per(F.col("qr_w.chars"), n, 100).alias("word_length"),
         ),
     ).drop("qr_w", "qr_l", "qr_s", "qr_x")
@@ -142,42 +144,53 @@ def sketch(measured: DataFrame, lang: str = "lang", source: str = "source") -> D
     )
 
 
-def _fences(sketches: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """One row per key with its number of documents and a struct of fences, from merged sketches."""
+def _quantiles(sketches: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """One row per key with its number of documents and a struct of quantiles per rate, from merged sketches."""
     w = Window.partitionBy(*keys, "rate")
     merged = sketches.groupBy(*keys, "rate", "at").agg(F.sum("n").alias("n"))
     ranked = merged.withColumns(
         {"total": F.sum("n").over(w), "upto": F.sum("n").over(w.orderBy("at").rowsBetween(Window.unboundedPreceding, 0))}
     )
-    # The smallest bucket that at least p quarters of the documents do not exceed.
-    quartile = lambda p: F.min(F.when(F.col("upto") * 4 >= F.col("total") * p, F.col("at")))
-    q = ranked.groupBy(*keys, "rate").agg(
-        F.first("total").alias("total"), quartile(1).alias("q1"), quartile(2).alias("q2"), quartile(3).alias("q3")
-    )
-    ends = []
-    for rate, (least, both) in RATES.items():
-        mine = lambda c, rate=rate: F.max(F.when(F.col("rate") == rate, c))
-        reach = lambda d, least=least: F.greatest(F.lit(least).cast("long"), d * REACH)
-        ends.append(mine(F.col("q2") + reach(F.col("q3") - F.col("q2"))).alias(f"{rate}_max"))
-        if both:
-            ends.append(mine(F.col("q2") - reach(F.col("q2") - F.col("q1"))).alias(f"{rate}_min"))
-    return q.groupBy(*keys).agg(F.max("total").alias(f"{name}_n"), F.struct(*ends).alias(name))
+
+    def at(rate: str, per_cent: int) -> Column:
+        """The smallest bucket that at least so many per cent of the documents do not exceed."""
+        reached = (F.col("rate") == rate) & (F.col("upto") * 100 >= F.col("total") * per_cent)
+        return F.min(F.when(reached, F.col("at")))
+
+    found = []
+    for rate, (p, *_) in RATES.items():
+        three = {"lo": 100 - p, "mid": 50, "hi": p}
+        found.append(F.struct(*[at(rate, q).alias(n) for n, q in three.items()]).alias(rate))
+    return ranked.groupBy(*keys).agg(F.max("total").alias(f"{name}_n"), F.struct(*found).alias(name))
 
 
 def thresholds(sketches: DataFrame) -> DataFrame:
     """(qr_lang, qr_source, qr_f): the fences that hold for each group, its own or those of merged sketches."""
-    own = _fences(sketches, ["qr_lang", "qr_source"], "own").alias("o")
-    lang = _fences(sketches, ["qr_lang"], "lang").alias("l")
-    everyone = _fences(sketches.withColumn("qr_all", F.lit(1)), ["qr_all"], "every").select("every").alias("e")
-    chosen = F.when(F.col("own_n") >= MIN_GROUP, F.col("own")).when(F.col("lang_n") >= MIN_GROUP, F.col("lang"))
+    own = _quantiles(sketches, ["qr_lang", "qr_source"], "own").alias("o")
+    lang = _quantiles(sketches, ["qr_lang"], "lang").alias("l")
+    everyone = _quantiles(sketches.withColumn("qr_all", F.lit(1)), ["qr_all"], "every").select("every")
     rows = own.join(lang, F.col("o.qr_lang").eqNullSafe(F.col("l.qr_lang"))).select("o.*", "lang_n", "lang")
-    return rows.select("qr_lang", "qr_source", F.coalesce(chosen, everyone.scalar()).alias("qr_f"))
+    rows = rows.withColumn("every", everyone.scalar())
+    ends = []
+    for rate, (p, reach, least, both) in RATES.items():
+
+        def fence(of: str, sign: int, times: int = 1, rate=rate, reach=reach, least=least) -> Column:
+            start, mid = F.col(f"{of}.{rate}.{'hi' if sign > 0 else 'lo'}"), F.col(f"{of}.{rate}.mid")
+            away = F.greatest(F.lit(least).cast("long"), F.abs(start - mid) * reach)
+            return start + away * (sign * times)
+
+        known = lambda of, p=p: F.col(f"{of}_n") * (100 - p) >= MIN_TAIL * 100
+        for end, sign, inner in (("max", 1, F.least), ("min", -1, F.greatest))[: 1 + both]:
+            mine = F.when(known("own"), inner(fence("own", sign), fence("lang", sign, BOUND)))
+            mine = mine.when(known("lang"), fence("lang", sign)).otherwise(fence("every", sign))
+            ends.append(mine.alias(f"{rate}_{end}"))
+    return rows.select("qr_lang", "qr_source", F.struct(*ends).alias("qr_f"))
 
 
 def verdict() -> Column:
     """Base rules passed and every rate inside its fences."""
     ok = ~F.col("qr_m.base_failed")
-    for rate, (_, both) in RATES.items():
+    for rate, (*_, both) in RATES.items():
         ok = ok & (F.col(f"qr_m.{rate}") <= F.col(f"qr_f.{rate}_max"))
         if both:
             ok = ok & (F.col(f"qr_m.{rate}") >= F.col(f"qr_f.{rate}_min"))

@@ -9,17 +9,19 @@ _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 
 
 def _quality(docs: str = "documents", then: str = "") -> str:
-    """Counts by unnested words, lines and windows; quartiles by counting documents at or below each bucket."""
+    """Counts by unnested words, lines and windows; quantiles by counting documents at or below each bucket."""
     rates = list(quality_rules.RATES)
-    fences, inside = [], ["NOT base_failed"]
-    for r, (least, both) in quality_rules.RATES.items():
-        at = lambda q, r=r: f"max(q{q}) FILTER (rate = '{r}')"
-        reach = quality_rules.REACH
-        fences.append(f"{at(2)} + greatest({least}, {reach} * ({at(3)} - {at(2)})) AS {r}_max")
-        inside.append(f"{r} <= {r}_max")
-        if both:
-            fences.append(f"{at(2)} - greatest({least}, {reach} * ({at(2)} - {at(1)})) AS {r}_min")
-            inside.append(f"{r} >= {r}_min")
+    levels, ends, inside = [], [], ["NOT base_failed"]
+    for r, (p, reach, least, both) in quality_rules.RATES.items():
+        levels.append(f"('{r}', {p}, {reach}, {least})")
+        enough = f"(100 - {p}) >= {100 * quality_rules.MIN_TAIL}"
+        for end, inner in (("max", "least"), ("min", "greatest"))[: 1 + both]:
+            of = lambda level, c, r=r, end=end: f"max({end}{c}) FILTER (rate = '{r}' AND level = {level})"
+            ends.append(
+                f"CASE WHEN max(n) FILTER (level = 1) * {enough} THEN {inner}({of(1, '1')}, {of(2, 'b')})"
+                f" WHEN max(n) FILTER (level = 2) * {enough} THEN {of(2, '1')} ELSE {of(3, '1')} END AS {r}_{end}"
+            )
+            inside.append(f"{r} {'<=' if end == 'max' else '>='} {r}_{end}")
     bits = quality_rules.BITS
     return f"""
 WITH d AS (SELECT row_number() OVER () AS k, *, {_WORDS} AS ws FROM {docs}),
@@ -38,7 +40,7 @@ c AS (SELECT d.k, doc_id, lang, source, len(ws)::BIGINT AS n_words,
       FROM d LEFT JOIN hit USING (k) LEFT JOIN ln USING (k)),
 m AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
         1000 * n_symbols // greatest(n_words, 1) AS symbol_rate, 1000 * marks // greatest(n_words, 1) AS mark_rate,
-        1000 * n_dup_lines // lines AS line_rate, 1000 * n_repeat_words // greatest(n_words, 1) AS repeat_rate,
+        1000 * n_dup_lines // lines AS line_rate,
         100 * word_chars // greatest(n_words, 1) AS word_length FROM c),
 long AS (SELECT lang, source, rate, v, greatest(length(bin(v)) - {bits}, 0) AS sh
          FROM (UNPIVOT (SELECT lang, source, {', '.join(rates)} FROM m WHERE NOT base_failed) ON {', '.join(rates)} INTO NAME rate VALUE v)),
@@ -46,13 +48,14 @@ val AS (SELECT lang, source, rate, (v >> sh) << sh AS b FROM long),
 lev AS (SELECT 1 AS level, * FROM val UNION ALL SELECT 2, lang, NULL, rate, b FROM val UNION ALL SELECT 3, NULL, NULL, rate, b FROM val),
 cum AS (SELECT *, count(*) OVER (PARTITION BY level, lang, source, rate) AS n,
           count(*) OVER (PARTITION BY level, lang, source, rate ORDER BY b) AS upto FROM lev),
-q AS (SELECT level, lang, source, rate, max(n) AS n, min(b) FILTER (4 * upto >= n) AS q1,
-        min(b) FILTER (4 * upto >= 2 * n) AS q2, min(b) FILTER (4 * upto >= 3 * n) AS q3 FROM cum GROUP BY level, lang, source, rate),
-f AS (SELECT level, lang, source, max(n) AS n, {', '.join(fences)} FROM q GROUP BY level, lang, source),
-pick AS (SELECT g.lang, g.source, CASE WHEN g.n >= {quality_rules.MIN_GROUP} THEN 1 WHEN l.n >= {quality_rules.MIN_GROUP} THEN 2 ELSE 3 END AS level
-         FROM f g JOIN f l ON g.level = 1 AND l.level = 2 AND g.lang IS NOT DISTINCT FROM l.lang),
-t AS (SELECT p.lang, p.source, f.* EXCLUDE (level, lang, source, n) FROM pick p JOIN f ON f.level = p.level
-        AND (p.level = 3 OR f.lang IS NOT DISTINCT FROM p.lang) AND (p.level > 1 OR f.source IS NOT DISTINCT FROM p.source)),
+rule(rate, p, reach, least) AS (VALUES {', '.join(levels)}),
+q AS (SELECT level, lang, source, rate, any_value(reach) AS reach, any_value(least) AS gap, max(n) AS n, min(b) FILTER (100 * upto >= (100 - p) * n) AS lo,
+        min(b) FILTER (100 * upto >= 50 * n) AS mid, min(b) FILTER (100 * upto >= p * n) AS hi FROM cum JOIN rule USING (rate) GROUP BY level, lang, source, rate),
+f AS (SELECT level, lang, source, rate, n, hi + greatest(gap, reach * (hi - mid)) AS max1, hi + {quality_rules.BOUND} * greatest(gap, reach * (hi - mid)) AS maxb,
+        lo - greatest(gap, reach * (mid - lo)) AS min1, lo - {quality_rules.BOUND} * greatest(gap, reach * (mid - lo)) AS minb FROM q),
+t AS (SELECT g.lang, g.source, {', '.join(ends)}
+      FROM (SELECT DISTINCT lang, source FROM f WHERE level = 1) g JOIN f ON f.level = 3 OR (f.lang IS NOT DISTINCT FROM g.lang
+        AND (f.level = 2 OR f.source IS NOT DISTINCT FROM g.source)) GROUP BY g.lang, g.source),
 judged AS (SELECT m.*, coalesce({' AND '.join(inside)}, false) AS kept
       FROM m LEFT JOIN t ON m.lang IS NOT DISTINCT FROM t.lang AND m.source IS NOT DISTINCT FROM t.source)
 {then or "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged"}"""
