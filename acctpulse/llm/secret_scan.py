@@ -7,6 +7,12 @@ list until nothing new turns up; a layer whose content was met at the same place
 before is not opened again, so cycles end. Every layer keeps, per character, the
 part of the text that it came from, so findings are spans of the text.
 
+A base64 run may go on over lines of one width, and may follow other letters of
+its alphabet, so all four alignments are tried. Its bytes are searched for
+compressed streams wherever they start, those of what comes out as well, until
+none is left; streams that follow each other directly make one layer. Bytes are
+read as UTF-8 or UTF-16 where they are that, else one character a byte.
+
 One map over the rows; nothing is shuffled. A task holds one piece of texts and
 the layers of one text.
 
@@ -19,7 +25,6 @@ does not go unnoticed.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import re
@@ -42,6 +47,9 @@ ACCESS_LEAST = 16
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: Shortest base64 run that is tried; it can hold 15 bytes.
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+NEXT_LINE = re.compile(r"\r?\n[ \t]*([A-Za-z0-9+/_-]+={0,2})(?=[ \t]*\r?$)", re.M)
+#: How compressed streams start: gzip, bzip2, zstandard, zlib.
+STREAM = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\x28\xb5\x2f\xfd|\x78[\x01\x5e\x9c\xda]")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|(?:\\u[0-9A-Fa-f]{4})+|\\x[0-9A-Fa-f]{2}|&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
 MAX_LAYER = 1 << 26
@@ -120,48 +128,124 @@ def _in_place(text: str, pattern: re.Pattern, undo: Callable) -> tuple[str, np.n
     return "".join(parts), np.concatenate(starts), np.concatenate(ends)
 
 
-def _expand(data: bytes) -> bytes | None:
-    """What a compressed block holds, or None if it is none."""
+def _stream(data: memoryview) -> tuple[bytes, int] | None:
+    """What the compressed stream at the start of the bytes holds and its length, or None if there is none."""
     try:
-        if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] == 0x78 and (data[0] * 256 + data[1]) % 31 == 0):
-            engine = zlib.decompressobj(zlib.MAX_WBITS | 32)
-            out = engine.decompress(data, MAX_LAYER)
-            more = engine.unconsumed_tail
+        if data[:4] == b"\x28\xb5\x2f\xfd":
+            engine = zstandard.ZstdDecompressor().decompressobj()
+            with zstandard.ZstdDecompressor().stream_reader(data) as r:
+                out, more = r.read(MAX_LAYER), r.read(1)
+            if not more:
+                engine.decompress(data)
+            left = len(engine.unused_data)
         elif data[:3] == b"BZh":
             engine = bz2.BZ2Decompressor()
             out = engine.decompress(data, MAX_LAYER)
-            more = not engine.eof and not engine.needs_input
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(data) as r:
-                out = r.read(MAX_LAYER)
-                more = r.read(1)
+            more, left = not engine.eof and not engine.needs_input, len(engine.unused_data)
         else:
-            return None
+            engine = zlib.decompressobj(zlib.MAX_WBITS | 32)
+            out = engine.decompress(data, MAX_LAYER)
+            more, left = engine.unconsumed_tail, len(engine.unused_data)
+            # Two bytes are a weak sign, so such a stream has to come to its end.
+            if data[0] == 0x78 and not engine.eof and not more:
+                return None
     except (zlib.error, OSError, EOFError, ValueError, zstandard.ZstdError):
         return None
     if more:
         raise Refused
+    return (out, len(data) - left) if out else None
+
+
+def _streams(data: bytes) -> tuple[list[bytes], int]:
+    """The contents of all compressed streams in the bytes, and how many were refused."""
+    out: list[bytes] = []
+    at, end, refused, view = 0, -1, 0, memoryview(data)
+    while m := STREAM.search(data, at):
+        at = m.start()
+        try:
+            got = _stream(view[at:])
+        except Refused:
+            got, refused = None, refused + 1
+        if got is None:
+            at += 1
+            continue
+        if at == end and len(out[-1]) + len(got[0]) <= MAX_LAYER:
+            out[-1] += got[0]
+        else:
+            out.append(got[0])
+        end = at = at + max(got[1], 1)
+    return out, refused
+
+
+def _decoded(data: bytes) -> tuple[str, np.ndarray, bool]:
+    """The bytes as text, the bytes of each character, and whether they are text at all."""
+    codes, half = ["utf-8"], len(data) // 4
+    if data[:2] == b"\xff\xfe" or data[1::2].count(0) > half:
+        codes.append("utf-16-le")
+    if data[:2] == b"\xfe\xff" or data[::2].count(0) > half:
+        codes.append("utf-16-be")
+    for code in codes:
+        try:
+            text = data.decode(code)
+        except UnicodeDecodeError:
+            continue
+        odd = sum(not (c.isprintable() or c in "\n\r\t\ufeff") for c in text)
+        if text and odd * 20 <= len(text):
+            return text, np.array([len(c.encode(code)) for c in text]), True
+    # Zeros between characters are left out, so wide characters among other bytes are read too.
+    kept = np.flatnonzero(np.frombuffer(data, np.uint8)) if data.count(0) > half else np.arange(len(data))
+    text = bytes(data[i] for i in kept).decode("latin-1") if len(kept) < len(data) else data.decode("latin-1")
+    width = np.diff(kept, append=len(data))
+    width[:1] += kept[:1]
+    return text, width, False
+
+
+def _runs(content: str) -> list[tuple[str, np.ndarray]]:
+    """Base64 runs and the place of each character: single ones, and those that go on over lines of one width."""
+    out, upto = [], 0
+    for m in BASE64.finditer(content):
+        out.append((m[0], np.arange(*m.span())))
+        if m.start() < upto:
+            continue
+        parts, places, width = [m[0]], [out[-1][1]], len(m[0])
+        upto = m.end()
+        while not parts[-1].endswith("=") and len(parts[-1]) == width and (n := NEXT_LINE.match(content, upto)) and len(n[1]) <= width:
+            parts.append(n[1])
+            places.append(np.arange(*n.span(1)))
+            upto = n.end()
+        if len(parts) > 1:
+            out.append(("".join(parts), np.concatenate(places)))
     return out
 
 
-def _readable(data: bytes) -> str | None:
-    """The bytes as text, if they are UTF-8 and almost only printable."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    odd = sum(not (c.isprintable() or c in "\n\r\t") for c in text)
-    return text if text and odd * 20 <= len(text) else None
-
-
-def _base64(run: str) -> bytes | None:
+def _base64(run: str) -> bytes:
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return None
+    body = body[: len(body) - (len(body) % 4 == 1)]
+    return base64.b64decode(body + "=" * (-len(body) % 4))
+
+
+def _layers(run: str) -> tuple[list[tuple[str, int, np.ndarray | None]], int]:
+    """Texts in a base64 run: (text, first character of the run that counts, bytes per character or None if compressed)."""
+    out, refused = [], 0
+    for skip in range(4):
+        data = _base64(run[skip:])
+        work: list[tuple[bytes, bool]] = [(data, True)]
+        met, sure = {hashlib.blake2b(data).digest()}, False
+        while work:
+            data, plain = work.pop()
+            inner, lost = _streams(data)
+            refused += lost
+            for x in inner:
+                if (h := hashlib.blake2b(x).digest()) not in met:
+                    met.add(h)
+                    work.append((x, False))
+            text, width, is_text = _decoded(data)
+            sure = sure or is_text or bool(inner)
+            if is_text or BASE64.search(text) or find(text):
+                out.append((text, skip, width if plain else None))
+        if sure:
+            break
+    return out, refused
 
 
 def scan(text: str) -> tuple[list[Span], list[Span], int]:
@@ -182,32 +266,22 @@ def scan(text: str) -> tuple[list[Span], list[Span], int]:
         content, starts, ends = work.pop()
         if starts is not None:
             spans.update((k, int(starts[a:b].min()), int(ends[a:b].max())) for k, a, b in find(content))
-        of = lambda a, b, starts=starts, ends=ends: (a, b) if starts is None else (starts[a], ends[b])
         for sign, pattern, undo in (("%", PERCENT, _from_percent), ("\\", ESCAPE, _from_escape), ("&#", ESCAPE, _from_escape)):
             if sign in content and (new := _in_place(content, pattern, undo)) and new[0] != content:
                 a, b = (new[1], new[2]) if starts is None else (starts[new[1]], ends[new[2] - 1])
                 put(new[0], a, b)
-        for m in BASE64.finditer(content):
-            data = _base64(m[0])
-            if data is None:
-                continue
-            try:
-                inner = _expand(data)
-            except Refused:
-                refused += 1
-                continue
-            layer = _readable(data if inner is None else inner)
-            if layer is None:
-                continue
-            if inner is None:
-                width = np.array([len(c.encode()) for c in layer])
-                last = np.cumsum(width)
-                a = m.start() + (last - width) * 4 // 3
-                b = np.minimum(m.start() + -(-last * 4 // 3), m.end())
-            else:
-                a, b = np.full(len(layer), m.start()), np.full(len(layer), m.end())
-            a, b = of(a, b) if starts is None else (starts[a], ends[b - 1])
-            put(layer, a, b)
+        for run, places in _runs(content):
+            layers, lost = _layers(run)
+            refused += lost
+            first, last = (places, places + 1) if starts is None else (starts[places], ends[places])
+            for layer, skip, width in layers:
+                if width is None:
+                    a, b = np.full(len(layer), first.min()), np.full(len(layer), last.max())
+                else:
+                    upto = np.cumsum(width)
+                    a = first[skip + (upto - width) * 4 // 3]
+                    b = last[np.minimum(skip + -(-upto * 4 // 3), len(run)) - 1]
+                put(layer, a, b)
     order = sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
     return base, order, refused
 

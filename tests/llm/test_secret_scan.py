@@ -62,6 +62,53 @@ def test_layers_map_back():
     assert S.redact(f"a {KEY} b token: {'q' * 12}.") == "a [SECRET] b [SECRET]"
 
 
+def found(text):
+    return {k for k, _, _ in S.scan(text)[1]}
+
+
+def test_fixpoint_over_bytes():
+    b64 = lambda b: base64.b64encode(b).decode()
+    rng = random.Random(3)
+    secret = f"the key {KEY} and more".encode()
+    noise = rng.randbytes(400)
+    packed = gzip.compress(secret)
+    for data in (
+        gzip.compress(gzip.compress(secret)),
+        bz2.compress(zstandard.compress(zlib.compress(secret))),
+        gzip.compress(b"nothing here") + packed,
+        packed + b"tail" + gzip.compress(noise),
+        zstandard.compress(noise) + zstandard.compress(secret),
+        gzip.compress(secret[:12]) + gzip.compress(secret[12:]),
+        secret.decode().encode("utf-16"),
+        secret.decode().encode("utf-16-be"),
+        noise + secret + noise,
+        noise + packed,
+    ):
+        run = b64(data)
+        assert "access" in found(f"see {run} there"), data[:20]
+        for before in ("x", "a/", "abc/", "ab_-"):
+            assert "access" in found(f"see {before}{run}"), (before, data[:20])
+
+
+def test_runs_over_lines():
+    secret = f"intro words and then password = {'h' * 20} end, the key {KEY}".encode()
+    for width in (64, 76):
+        for data in (secret * 3, gzip.compress(random.Random(1).randbytes(300) + secret)):
+            run = base64.b64encode(data).decode()
+            for glue in ("\n", "\r\n", "\n  "):
+                text = "-----\n" + glue.join(run[i : i + width] for i in range(0, len(run), width)) + "\nplain words follow"
+                base, spans, refused = S.scan(text)
+                assert not base and not refused and {k for k, _, _ in spans} >= {"access", "assign"}
+                assert all(6 <= a < b <= len(text) - 19 for _, a, b in spans)
+
+
+def test_spans_of_a_misaligned_run_cover_its_secret():
+    plain = b"some leading text "
+    run = base64.b64encode(plain + KEY.encode() + b" trailing").decode()
+    (_, a, b), = [s for s in S.scan("zz/" + run)[1] if s[0] == "access"]
+    assert a == 3 + len(plain) * 4 // 3 and b == 3 + -(-(len(plain) + len(KEY)) * 4 // 3)
+
+
 def test_ends_and_bombs(monkeypatch):
     assert S.scan("")[1] == [] and S.scan("%25" * 50)[1] == []
     long = "%" + "25" * 12 + "41"
