@@ -1,28 +1,30 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Word pairs are counted per class over all labelled documents outside the held-out
-folds. A class's probability of a word after another interpolates its
-discounted pair counts with its discounted word counts, and those with a
-distribution that both classes share: in how many contexts the word occurs,
-counted up to SATURATION, since it stands for rare expressions and not for the
-frequent ones of one class. Rare expressions, whose counts the discount takes
-away, thus get the same probability from both classes. A document's evidence is the difference of its
-log-likelihoods per word: over the whole text, its most toxic passage and its
-most telling words. A logistic on these, fitted on a fold that is in no count,
-makes it a score.
-
-Counting is a shuffle of pre-aggregated pairs and grows with the labelled text.
-What travels to the tasks is bounded: the VOCABULARY most frequent words and
-PAIRS most frequent pairs (those above a count that histograms of counts give);
-other words are one common word, as in any closed-vocabulary model.
+folds. A class's probability of a word after another interpolates its discounted
+pair counts with its discounted continuation counts (after how many different
+words a word stands in the class), and those with a distribution that both
+classes share: after how many different words it stands in either. Discounts are
+the modified Kneser-Ney estimates from the counts of counts, always below the
+count, so rare pairs keep weight and what is taken backs off to the shared counts.
+A document's evidence is the difference of its log-likelihoods per word: over the
+whole text, and by words alone of its most toxic passage and its most telling
+words. A logistic on these, fitted on a fold that is in no count, makes it a score.
+
+Counting is a shuffle of pre-aggregated pairs; all words and pairs count, whatever
+their number. The most frequent ones, up to SENT_WORDS and SENT_PAIRS, travel to
+the tasks. Where there are more, texts list the words and pairs they miss; those
+meet the rest of the tables by a shuffle and return to their texts, and the scores are
+the same as if all had travelled.
 
 Defined results: texts without a word have evidence 0; null is empty; without
-two classes every score is the share of toxic labels (0.5 without any label).
+two classes every score is the share of toxic labels (0.5 without any label); words
+and pairs of equal counts travel all or none; among equally telling words the first counts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,53 +32,61 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from acctpulse.llm.batches import hashed_words, map_texts, pieces, scramble
+from acctpulse.llm.batches import hashed_words, map_kept, map_texts, pieces, quote, scramble
 from acctpulse.llm.labels import fold, join_labels, sample
+from acctpulse.llm.words import text_of
 from acctpulse.session import materialize
 
-VOCABULARY, PAIRS = 1 << 18, 1 << 18
-#: Discounts of a word's and of a pair's count of 1, 2, ... and more. Pairs seen up to three times, as in a few copies of one
-#: text, are no evidence of their own.
-WORD_DISCOUNTS = (1.0, 1.4, 1.6)
-PAIR_DISCOUNTS = (1.0, 2.0, 3.0)
+#: Words (64 bytes each) and pairs (16 bytes each) that travel to the tasks at most.
+SENT_WORDS, SENT_PAIRS = 1 << 20, 1 << 24
 #: The fold that calibrates the score, and the rows used for it at most.
 CALIBRATION, MOST_ROWS = 1, 20_000
 #: Words of the passage with the most evidence; numbers of most telling words.
 PASSAGE = 5
 TOPS = (1, 3, 6)
 FACTS = 3 + len(TOPS)
-#: Contexts of a word that the shared distribution counts at most.
-SATURATION = 4
 #: Pairs that a task holds before it passes them on.
 HELD = 1_000_000
-_BITS = 31
-_MASK = np.uint64((1 << _BITS) - 1)
+#: Stands before a text's first word; not 0, which would give its pairs the keys of words.
+START = np.int64(0x5851F42D4C957F2D)
+#: What is known of a word; of a pair, the first two: how often it occurs by class.
+SUMS = ("k0", "k1", "ahead", "t0", "t1", "d0", "d1")
 
 
 def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of words and of the words before them (0 at the start of a text), and the texts' offsets."""
+    """Hashes of words and of the words before them (START at the start of a text), and the texts' offsets."""
     words, at = hashed_words(texts)
-    w = (words & _MASK).astype(np.int64)
-    w[w == 0] = 1
-    before = np.append(0, w[:-1]) if len(w) else w
-    before[at[:-1][at[:-1] < len(w)]] = 0
+    w = words.view(np.int64)
+    before = np.append(START, w[:-1]) if len(w) else w
+    before[at[:-1][at[:-1] < len(w)]] = START
     return w, before, at
 
 
+def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A pair's key: one word's hash turned by a bit, and the other's over it."""
+    u = v.view(np.uint64)
+    return ((u << np.uint64(1)) | (u >> np.uint64(63))).view(np.int64) ^ w
+
+
+def _first_of(pair: Column, w: Column) -> Column:
+    """The word before, from a pair's key and its second word."""
+    turned = pair.bitwiseXOR(w)
+    return F.shiftrightunsigned(turned, 1).bitwiseOR(F.shiftleft(turned, 63))
+
+
 def count_pairs(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(pair, n0, n1): how often each pair of words occurs in rows with lb_y 0 and 1."""
+    """(pair, w, n0, n1): how often each pair of words, w the second, occurs in rows with lb_y 0 and 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-            keys, of = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-            sums = np.zeros((len(keys), 2), np.int64)
-            np.add.at(sums, of, np.concatenate([s for _, s in parts]))
-            return keys, sums
+        def merged(parts: Sequence[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+            keys, where, of = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
+            sums = [np.bincount(of, np.concatenate([p[i] for p in parts]), len(keys)).astype(np.int64) for i in (2, 3)]
+            return keys, np.concatenate([p[1] for p in parts])[where], *sums
 
-        def passed(keys: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums[:, 0]), pa.array(sums[:, 1])], names=["pair", "n0", "n1"])
+        def passed(columns: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["pair", "w", "n0", "n1"])
 
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             texts = [t or "" for t in batch.column(0).to_pylist()]
             toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -85,48 +95,54 @@ def count_pairs(docs: DataFrame, text: str = "text") -> DataFrame:
                 if not len(w):
                     continue
                 y = np.repeat(toxic[lo:hi], np.diff(at))
-                keys, of = np.unique((v << _BITS) | w, return_inverse=True)
-                ones = np.bincount(of, y, len(keys)).astype(np.int64)
-                held = [merged([*held, (keys, np.stack([np.bincount(of, minlength=len(keys)) - ones, ones], 1))])]
+                held = [merged([*held, merged([(_pair(v, w), w, 1 - y, y)])])]
                 if len(held[0][0]) > HELD:
-                    yield passed(*held.pop())
+                    yield passed(held.pop())
         for rest in held:
-            yield passed(*rest)
+            yield passed(rest)
+
+    each = docs.select(F.col(quote(text)), F.col("lb_y")).mapInArrow(run, "pair long, w long, n0 long, n1 long")
+    return each.groupBy("pair", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
-    each = docs.select(F.col(text), F.col("lb_y")).mapInArrow(run, "pair long, n0 long, n1 long")
-    return each.groupBy("pair").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
+def estimated(times: Sequence[int]) -> tuple[float, float, float]:
+    """Discounts of counts 1, 2 and more, from how many have a count of 1, 2, 3 and 4; always between 0 and the count."""
+    n1, n2, n3, n4 = (max(float(x), 0.5) for x in times)
+    y = n1 / (n1 + 2 * n2)
+    raw = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3)
+    return tuple(min(max(d, 0.1), i + 0.9) for i, d in enumerate(raw))
 
-def summarise(pairs: DataFrame) -> DataFrame:
-    """Per word (key below 2**31) and per pair that the discounts leave something of (key above 2**62): sums for the model.
 
-    c0, c1: occurrences by class; t0, t1 and d0, d1: occurrences with a word after
-    it and what the discounts take of them, by class; ahead: different words
-    before it in either class.
+def _discounts(rows: DataFrame, columns: tuple[str, str]) -> tuple[list[list[int]], list[tuple[float, float, float]]]:
+    """By class, how many rows have a count of 1 to 4 and the discounts that follow."""
+    ones = [F.sum((F.col(c) == i).cast("long")).alias(f"{c}_{i}") for c in columns for i in range(1, 5)]
+    found = rows.agg(*ones).first()
+    times = [[found[f"{c}_{i}"] or 0 for i in range(1, 5)] for c in columns]
+    return times, [estimated(t) for t in times]
+
+
+def word_sums(pairs: DataFrame, taken: Sequence[tuple[float, ...]]) -> DataFrame:
+    """Per word (key) the SUMS.
+
+    k0, k1, ahead: different words before it by class and in either; t0, t1 and d0, d1: occurrences with a word after
+    it and what the discounts take of them, by class.
     """
-    v, w = F.expr(f"shiftright(pair, {_BITS})"), F.col("pair").bitwiseAND(F.lit((1 << _BITS) - 1))
     zero, nothing = F.lit(0).cast("long"), F.lit(0.0)
-    steps = F.array(F.lit(0.0), *[F.lit(d) for d in PAIR_DISCOUNTS])
-    taken = lambda c: F.get(steps, F.least(F.col(c), F.lit(len(PAIR_DISCOUNTS))).cast("int"))
+    gone = [F.get(F.array(F.lit(0.0), *[F.lit(d) for d in taken[c]]), F.least(F.col(f"n{c}"), F.lit(3)).cast("int")) for c in (0, 1)]
+    stands = [(F.col(f"n{c}") > 0).cast("long") for c in (0, 1)]
 
     def row(key: Column, *sums: Column) -> Column:
-        return F.struct(key.alias("key"), *[s.alias(n) for s, n in zip(sums, ("c0", "c1", "ahead", "t0", "t1", "d0", "d1"))])
+        return F.struct(key.alias("key"), *[s.alias(n) for s, n in zip(sums, SUMS)])
 
     roles = F.array(
-        row(w, F.col("n0"), F.col("n1"), F.lit(1).cast("long"), zero, zero, nothing, nothing),
-        row(v, zero, zero, zero, F.col("n0"), F.col("n1"), taken("n0"), taken("n1")),
-        F.when(
-            (F.col("n0") > PAIR_DISCOUNTS[-1]) | (F.col("n1") > PAIR_DISCOUNTS[-1]),
-            row(F.col("pair") + F.lit(1 << 62), F.col("n0"), F.col("n1"), zero, zero, zero, nothing, nothing),
-        ),
+        row(F.col("w"), *stands, F.lit(1).cast("long"), zero, zero, nothing, nothing),
+        row(_first_of(F.col("pair"), F.col("w")), zero, zero, zero, F.col("n0"), F.col("n1"), *gone),
     )
-    each = pairs.select(F.explode(roles).alias("r")).where("r IS NOT NULL").select("r.*")
-    return each.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("c0", "c1", "ahead", "t0", "t1", "d0", "d1")])
+    return pairs.select(F.inline(roles)).groupBy("key").agg(*[F.sum(c).alias(c) for c in SUMS])
 
 
-def _most_frequent(rows: DataFrame, most: int) -> DataFrame:
-    """The rows with at least so many occurrences that no more than ``most`` have as many."""
-    n = F.col("c0") + F.col("c1")
+def _least_sent(rows: DataFrame, n: Column, most: int) -> int:
+    """The least count so that no more than ``most`` rows have as many."""
     by_count = rows.groupBy(F.least(n, F.lit(1_000_000)).alias("n")).count().orderBy(F.desc("n")).collect()
     least, total = 1_000_001, 0
     for r in by_count:
@@ -134,88 +150,123 @@ def _most_frequent(rows: DataFrame, most: int) -> DataFrame:
         if total > most:
             break
         least = r["n"]
-    return rows.where(n >= least)
+    return least
+
+
+def _arrays(rows: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and the other columns, one row per key."""
+    table = rows.select("key", *columns).toArrow()
+    key = table.column("key").to_numpy()
+    order = np.argsort(key)
+    return key[order], np.stack([table.column(c).to_numpy()[order] for c in columns], 1)
 
 
-def _discounted(n: np.ndarray, discounts: tuple[float, ...]) -> np.ndarray:
-    return n - np.array([0.0, *discounts])[np.minimum(n, len(discounts)).astype(int)]
+def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of the wanted in sorted keys, -1 where there is none."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
 
 
 @dataclass
 class Model:
+    total: np.ndarray  # continuation counts by class, over all words
+    left: np.ndarray  # share of them that the discounts take, by class
+    contexts: float  # of the shared distribution: contexts and words, and one unknown
+    word_taken: np.ndarray  # (2, 4) discounts of a continuation count, by class
+    pair_taken: np.ndarray  # (2, 4) of a pair's count
     words: np.ndarray  # sorted hashes
-    single: np.ndarray  # (words + 1, 2) probability by class; the last is any other word
-    backoff: np.ndarray  # (words + 1, 2) weight of ``single`` after the word
-    pairs: np.ndarray  # sorted
-    double: np.ndarray  # (pairs + 1, 2) discounted probability by class; the last is any other pair
-
-    def evidence(self, w: np.ndarray, v: np.ndarray) -> np.ndarray:
-        """Log-likelihood of each word after the one before, toxic minus ordinary."""
-
-        def find(table: np.ndarray, key: np.ndarray) -> np.ndarray:
-            if not len(table):
-                return np.zeros(len(key), np.int64)
-            at = np.minimum(np.searchsorted(table, key), len(table) - 1)
-            return np.where(table[at] == key, at, len(table))
-
-        i = find(self.words, w)
-        j = find(self.words, v)
-        p = self.backoff[j] * self.single[i]
-        both = np.flatnonzero((i < len(self.words)) & (j < len(self.words)))
-        p[both] += self.double[find(self.pairs, (v[both] << _BITS) | w[both])]
-        return np.log(p[:, 1] / p[:, 0])
-
-
-def build(summary: DataFrame) -> Model | None:
-    """The model from a (written) summary; None without words of both classes."""
-    words = summary.where(F.col("key") < (1 << 62))
-    contexts = F.sum(F.least("ahead", F.lit(SATURATION))).alias("contexts")
-    all_ = words.agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"), contexts, F.count(F.lit(1)).alias("types")).first()
-    if not all_["c0"] or not all_["c1"]:
-        return None
-    table = _most_frequent(words, VOCABULARY).toArrow()
-    table = {c: table.column(c).to_numpy() for c in table.column_names}
-    order = np.argsort(table["key"])
-    t = {c: x[order].astype(float) for c, x in table.items()}
-    keys = table["key"][order]
-    total = np.array([all_["c0"], all_["c1"]], float)
-    shared = (np.minimum(t["ahead"], SATURATION) + 1) / (all_["contexts"] + all_["types"] + 1)
-    rest = max(1 - shared.sum(), 1e-9)
-    single = np.zeros((len(keys) + 1, 2))
-    backoff = np.ones((len(keys) + 1, 2))
-    for c in (0, 1):
-        n = t[f"c{c}"]
-        kept = _discounted(n, WORD_DISCOUNTS)
-        other = max(total[c] - n.sum(), 0.0)  # occurrences of words outside the vocabulary
-        free = max(1 - (kept.sum() + other) / total[c], 1e-9)
-        single[:-1, c] = kept / total[c] + free * shared
-        single[-1, c] = other / total[c] + free * rest
-        after = t[f"t{c}"]
-        backoff[:-1, c] = np.where(after > 0, t[f"d{c}"] / np.maximum(after, 1), 1.0)
-    found = _most_frequent(summary.where(F.col("key") >= (1 << 62)), PAIRS).select("key", "c0", "c1").toArrow()
-    pair = found.column("key").to_numpy() - (1 << 62)
-    order = np.argsort(pair)
-    pair = pair[order]
-    double = np.zeros((len(pair) + 1, 2))
-    at = np.searchsorted(keys, pair >> _BITS)
-    known = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == pair >> _BITS)
-    for c in (0, 1):
-        n = found.column(f"c{c}").to_numpy()[order].astype(float)
-        after = np.where(known, t[f"t{c}"][np.minimum(at, len(keys) - 1)], 0)
-        double[:-1, c] = np.where(after > 0, _discounted(n, PAIR_DISCOUNTS) / np.maximum(after, 1), 0)
-    return Model(keys, single, backoff, pair, double)
+    sums: np.ndarray  # (words, SUMS)
+    pairs: np.ndarray  # sorted keys
+    counts: np.ndarray  # (pairs, 2)
+
+    def missing(self, texts: list[str]) -> list[np.ndarray]:
+        """Per text, the different words and pairs that are not among those sent."""
+        w, v, at = _tokens(texts)
+        pair = _pair(v, w)
+        lost_v, lost_w, lost_p = _find(self.words, v) < 0, _find(self.words, w) < 0, _find(self.pairs, pair) < 0
+        # Words before are words of the text as well, but for the start of a text.
+        return [np.unique(np.concatenate([v[a : a + 1][lost_v[a : a + 1]], w[a:b][lost_w[a:b]], pair[a:b][lost_p[a:b]]])) for a, b in zip(at[:-1], at[1:])]
+
+    def evidence(self, w: np.ndarray, v: np.ndarray, more: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Log-likelihood of each word, toxic minus ordinary: after the one before, and by itself. ``more``: sorted keys
+        and SUMS of words and pairs that were not sent."""
+
+        def known(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+            wanted, of = np.unique(wanted, return_inverse=True)
+            at = _find(keys, wanted)
+            out = np.zeros((len(wanted), values.shape[1]))
+            out[at >= 0] = values[at[at >= 0]]
+            if more is not None:
+                there = _find(more[0], wanted)
+                use = (at < 0) & (there >= 0)
+                out[use] = more[1][there[use], : values.shape[1]]
+            return out[of]
+
+        own, before, both = known(self.words, self.sums, w), known(self.words, self.sums, v), known(self.pairs, self.counts, _pair(v, w))
+        shared = (own[:, 2] + 1) / self.contexts
+        p, alone = [], []
+        for c in (0, 1):
+            k, n, after = own[:, c], both[:, c], before[:, 3 + c]
+            single = (k - self.word_taken[c][np.minimum(k, 3).astype(int)]) / self.total[c] + self.left[c] * shared
+            back = np.where(after > 0, before[:, 5 + c] / np.maximum(after, 1), 1.0)
+            p.append((n - self.pair_taken[c][np.minimum(n, 3).astype(int)]) / np.maximum(after, 1) + back * single)
+            alone.append(single)
+        return np.log(p[1] / p[0]), np.log(alone[1] / alone[0])
 
 
-def _facts(model: Model, texts: list[str]) -> np.ndarray:
+@dataclass
+class Tables:
+    """What is known of words and pairs that were not sent: (key, SUMS), null where a pair has none."""
+
+    rest: DataFrame | None
+
+
+def build(pairs: DataFrame) -> tuple[Model | None, Tables]:
+    """The model from (written) pairs, and what it does not hold itself; None without words of both classes."""
+    _, taken = _discounts(pairs, ("n0", "n1"))
+    words = materialize(word_sums(pairs, taken), "word_sums")
+    times, word_taken = _discounts(words, ("k0", "k1"))
+    sums = [F.sum(c).alias(c) for c in ("k0", "k1", "ahead")]
+    some = [F.sum((F.col(c) > 0).cast("long")).alias(f"some_{c}") for c in ("k0", "k1")]
+    all_ = words.agg(*sums, *some, F.count(F.lit(1)).alias("types")).first()
+    if not all_["k0"] or not all_["k1"]:
+        return None, Tables(None)
+    total = np.array([all_["k0"], all_["k1"]], float)
+    left = []
+    for c in (0, 1):
+        n1, n2 = times[c][:2]
+        d1, d2, d3 = word_taken[c]
+        left.append((d1 * n1 + d2 * n2 + d3 * (all_[f"some_k{c}"] - n1 - n2)) / total[c])
+    n_word, n_pair = F.col("ahead") + F.col("t0") + F.col("t1"), F.col("n0") + F.col("n1")
+    least_word, least_pair = _least_sent(words, n_word, SENT_WORDS), _least_sent(pairs, n_pair, SENT_PAIRS)
+    keyed = pairs.withColumnRenamed("pair", "key")
+    held, sent = _arrays(words.where(n_word >= least_word), SUMS)
+    pair_keys, counts = _arrays(keyed.where(n_pair >= least_pair), ("n0", "n1"))
+    if counts.max(initial=0) < 1 << 31:
+        counts = counts.astype(np.int32)
+    steps = lambda ds: np.array([[0.0, *d] for d in ds])
+    contexts = float(all_["ahead"] + all_["types"] + 1)
+    model = Model(total, np.array(left), contexts, steps(word_taken), steps(taken), held, sent, pair_keys, counts)
+    rare_words = words.where(n_word < least_word).select("key", *[F.col(c).cast("double").alias(c) for c in SUMS])
+    rare_pairs = keyed.where(n_pair < least_pair).select("key", *[F.col(c).cast("double").alias(k) for c, k in zip(("n0", "n1"), SUMS)])
+    all_sent = len(held) == all_["types"] and len(pair_keys) == pairs.count()
+    return model, Tables(None if all_sent else rare_words.unionByName(rare_pairs, allowMissingColumns=True))
+
+
+def _facts(model: Model, texts: list[str], more: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """Per text: evidence per word of the whole text, of its best PASSAGE words in a row and of its most telling different
-    words (TOPS of them), and the log of its words."""
+    words (TOPS of them), and the log of its words. What is picked for telling most is judged by words themselves, since
+    among many pairs seen once some always tell much."""
     w, v, at = _tokens(texts)
     n = np.diff(at)
-    e = model.evidence(w, v)
+    whole, e = model.evidence(w, v, more)
+    total = np.concatenate(([0.0], np.cumsum(whole)))
     run = np.concatenate(([0.0], np.cumsum(e)))
     lo, hi = at[:-1], at[1:]
-    mean = (run[hi] - run[lo]) / np.maximum(n, 1)
-    best = mean.copy()
+    mean = (total[hi] - total[lo]) / np.maximum(n, 1)
+    best = (run[hi] - run[lo]) / np.maximum(n, 1)
     long = np.flatnonzero(n >= PASSAGE)
     if len(long):
         inside = np.append(run[PASSAGE:] - run[:-PASSAGE], -np.inf)
@@ -251,34 +302,74 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 @dataclass
 class Scorer:
     model: Model | None
+    tables: Tables
     weights: np.ndarray
 
-    def __call__(self, texts: list[str]) -> np.ndarray:
-        facts = _facts(self.model, texts) if self.model else np.zeros((len(texts), FACTS))
-        return 1 / (1 + np.exp(-np.clip(facts @ self.weights[:-1] + self.weights[-1], -30, 30)))
+
+def measure(docs: DataFrame, model: Model | None, tables: Tables, keep: Sequence[str], text: str = "text") -> DataFrame:
+    """The columns ``keep`` of every row with the facts of its text, tx_0, tx_1, ..."""
+    ddl = ", ".join(f"tx_{i} double" for i in range(FACTS))
+    if model is None:
+        return map_texts(docs, keep, ddl, lambda: lambda ts: list(np.zeros((FACTS, len(ts)))), text)
+    if tables.rest is None:
+        return map_texts(docs, keep, ddl, lambda: lambda ts: list(_facts(model, ts).T), text)
+
+    def lost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        for batch in batches:
+            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            new = [i for i, k in enumerate(names) if k not in seen and not seen.add(k)]  # copies once a task
+            for lo, hi in pieces([texts[i] for i in new]):
+                each = model.missing([texts[i] for i in new[lo:hi]])
+                of = pa.array([names[i] for i in new[lo:hi]]).take(pa.array(np.repeat(np.arange(len(each)), [len(x) for x in each])))
+                yield pa.RecordBatch.from_arrays([of, pa.array(np.concatenate(each))], names=["text_key", "key"])
+
+    of_text = F.md5(text_of(quote(text)))
+    wanted = docs.select(of_text.alias("text_key"), text_of(quote(text)).alias("t")).mapInArrow(lost, "text_key string, key long").distinct()
+    found = wanted.join(tables.rest, "key").select("text_key", F.struct("key", F.array(*[F.coalesce(c, F.lit(0.0)) for c in SUMS]).alias("s")).alias("r"))
+    lists = materialize(found.groupBy("text_key").agg(F.collect_list("r").alias("rs")), "rare")
+    names = [f"k{i}" for i in range(len(keep))]
+    wide = docs.select(*[docs[quote(c)].alias(k) for c, k in zip(keep, names)], text_of(quote(text)).alias("t"), of_text.alias("text_key"))
+    wide = wide.join(lists, "text_key", "left")
+    inputs = [wide["t"], wide["rs.key"], F.flatten(wide["rs.s"])]
+
+    def run(batches: Iterator[tuple[list[pa.Array], list[pa.Array]]]) -> Iterator[list[pa.Array]]:
+        for kept, (column, keys, sums) in batches:
+            texts = column.to_pylist()
+            for lo, hi in pieces(texts):
+                k = keys.slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                x = sums.slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, len(SUMS))
+                k, first = np.unique(k, return_index=True)
+                yield [c.slice(lo, hi - lo) for c in kept] + [pa.array(f) for f in _facts(model, texts[lo:hi], (k, x[first])).T]
+
+    return map_kept(wide, names, inputs, ddl, run).toDF(*keep, *[f"tx_{i}" for i in range(FACTS)])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", doc_id: str = "doc_id") -> Scorer:
     """Count, build the model and calibrate it."""
     known = join_labels(docs.select(doc_id, text), labels, label, doc_id)
-    summary = materialize(summarise(count_pairs(known.where(fold(doc_id) != CALIBRATION), text)), "pair_sums")
-    model = build(summary)
+    model, tables = build(materialize(count_pairs(known.where(fold(doc_id) != CALIBRATION), text), "pairs"))
     if model is None:
         share = labels.where(fold(doc_id) != 0).agg(F.avg((F.col(label) > 0).cast("double"))).first()[0]
         share = min(max(0.5 if share is None else share, 1e-3), 1 - 1e-3)
-        return Scorer(None, np.array([*[0.0] * FACTS, np.log(share / (1 - share))]))
-    names = [f"x{i}" for i in range(FACTS)]
-    tuning = known.where(fold(doc_id) == CALIBRATION)
-    ddl = ", ".join(f"{c} double" for c in names)
-    each = map_texts(tuning, [doc_id, "lb_y"], ddl, lambda: lambda ts: list(_facts(model, ts).T), text)
-    facts = sample(each, MOST_ROWS, doc_id).toArrow()  # sampled once the rows are narrow
+        return Scorer(None, tables, np.array([*[0.0] * FACTS, np.log(share / (1 - share))]))
+    tuning = materialize(measure(known.where(fold(doc_id) == CALIBRATION), model, tables, [doc_id, "lb_y"], text), "tuning")
+    facts = sample(tuning, MOST_ROWS, doc_id).toArrow()  # sampled once the rows are narrow
     y = facts.column("lb_y").to_numpy().astype(float)
-    x = np.stack([facts.column(c).to_numpy() for c in names], 1)
+    x = np.stack([facts.column(f"tx_{i}").to_numpy() for i in range(FACTS)], 1)
     if y.min(initial=1) == y.max(initial=0):  # nothing to calibrate on: evidence per word as it is
-        return Scorer(model, np.array([1.0, *[0.0] * FACTS]))
-    return Scorer(model, _logistic(x, y))
+        return Scorer(model, tables, np.array([1.0, *[0.0] * FACTS]))
+    return Scorer(model, tables, _logistic(x, y))
 
 
 def score(docs: DataFrame, scorer: Scorer, keep: list[str] | None = None, text: str = "text") -> DataFrame:
-    """The columns ``keep`` (all, if not given) of every row with ``tx_score``."""
-    return map_texts(docs, docs.columns if keep is None else keep, "tx_score double", lambda: lambda ts: [scorer(ts)], text)
+    """The columns ``keep`` (all, if not given) of every row with ``tx_score``, which replaces a column of that name."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c != "tx_score"]
+    names = [f"c{i}" for i in range(len(keep))]
+    neutral = docs.select(*[docs[quote(c)].alias(n) for c, n in zip(keep, names)], docs[quote(text)].alias("text"))
+    facts = measure(neutral, scorer.model, scorer.tables, names)
+    z = F.lit(float(scorer.weights[-1]))
+    for i, b in enumerate(scorer.weights[:-1]):
+        z = z + F.col(f"tx_{i}") * F.lit(float(b))
+    z = F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))
+    return facts.select(*names, (1 / (1 + F.exp(-z))).alias("tx_score")).toDF(*keep, "tx_score")
