@@ -29,15 +29,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from acctpulse.llm.batches import hashed_words, map_kept, map_texts, pieces, quote, scramble
 from acctpulse.llm.labels import fold, join_labels, sample
 from acctpulse.llm.words import text_of
-from acctpulse.session import materialize
+from acctpulse.session import discard, materialize
 
-#: Words (64 bytes each) and pairs (16 bytes each) that travel to the tasks at most.
+#: Words (64 bytes each in a task) and pairs (16 bytes each) that travel to the tasks at most; packed on the way.
 SENT_WORDS, SENT_PAIRS = 1 << 20, 1 << 24
 #: The fold that calibrates the score, and the rows used for it at most.
 CALIBRATION, MOST_ROWS = 1, 20_000
@@ -156,9 +157,10 @@ def _least_sent(rows: DataFrame, n: Column, most: int) -> int:
 def _arrays(rows: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys and the other columns, one row per key."""
     table = rows.select("key", *columns).toArrow()
-    key = table.column("key").to_numpy()
+    key, *rest = (table.column(c).to_numpy() for c in ("key", *columns))
+    del table
     order = np.argsort(key)
-    return key[order], np.stack([table.column(c).to_numpy()[order] for c in columns], 1)
+    return key[order], np.stack([c[order] for c in rest], 1)
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -169,6 +171,20 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
+def _packed(keys: np.ndarray, values: np.ndarray) -> tuple:
+    """Sorted keys by their differences and values by column, byte by byte, so that what travels takes a third."""
+    steps = np.diff(keys.view(np.uint64), prepend=np.uint64(0))
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    return squeeze(steps.view(np.uint8).reshape(-1, 8).T.tobytes()), squeeze(values.T.tobytes()), values.dtype.str, values.shape
+
+
+def _unpacked(steps: bytes, columns: bytes, kind: str, shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    expand = zstandard.ZstdDecompressor().decompress
+    each = np.frombuffer(expand(steps), np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel()
+    values = np.frombuffer(expand(columns), np.dtype(kind)).reshape(shape[1], shape[0]).T
+    return np.cumsum(each, out=each).view(np.int64), values
+
+
 @dataclass
 class Model:
     total: np.ndarray  # continuation counts by class, over all words
@@ -181,6 +197,15 @@ class Model:
     pairs: np.ndarray  # sorted keys
     counts: np.ndarray  # (pairs, 2)
 
+    def __getstate__(self) -> dict:
+        state = dict(self.__dict__, words=_packed(self.words, self.sums), pairs=_packed(self.pairs, self.counts))
+        return {k: v for k, v in state.items() if k not in ("sums", "counts")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.words, self.sums = _unpacked(*state["words"])
+        self.pairs, self.counts = _unpacked(*state["pairs"])
+
     def missing(self, texts: list[str]) -> list[np.ndarray]:
         """Per text, the different words and pairs that are not among those sent."""
         w, v, at = _tokens(texts)
@@ -241,18 +266,21 @@ def build(pairs: DataFrame) -> tuple[Model | None, Tables]:
         left.append((d1 * n1 + d2 * n2 + d3 * (all_[f"some_k{c}"] - n1 - n2)) / total[c])
     n_word, n_pair = F.col("ahead") + F.col("t0") + F.col("t1"), F.col("n0") + F.col("n1")
     least_word, least_pair = _least_sent(words, n_word, SENT_WORDS), _least_sent(pairs, n_pair, SENT_PAIRS)
-    keyed = pairs.withColumnRenamed("pair", "key")
+    most = pairs.agg(F.max(F.greatest("n0", "n1"))).first()[0]
+    narrow = "int" if most < 1 << 31 else "long"
+    keyed = pairs.select(F.col("pair").alias("key"), F.col("n0").cast(narrow).alias("n0"), F.col("n1").cast(narrow).alias("n1"))
     held, sent = _arrays(words.where(n_word >= least_word), SUMS)
     pair_keys, counts = _arrays(keyed.where(n_pair >= least_pair), ("n0", "n1"))
-    if counts.max(initial=0) < 1 << 31:
-        counts = counts.astype(np.int32)
     steps = lambda ds: np.array([[0.0, *d] for d in ds])
     contexts = float(all_["ahead"] + all_["types"] + 1)
     model = Model(total, np.array(left), contexts, steps(word_taken), steps(taken), held, sent, pair_keys, counts)
+    all_sent = len(held) == all_["types"] and len(pair_keys) == pairs.count()
+    if all_sent:
+        discard(words)
+        return model, Tables(None)
     rare_words = words.where(n_word < least_word).select("key", *[F.col(c).cast("double").alias(c) for c in SUMS])
     rare_pairs = keyed.where(n_pair < least_pair).select("key", *[F.col(c).cast("double").alias(k) for c, k in zip(("n0", "n1"), SUMS)])
-    all_sent = len(held) == all_["types"] and len(pair_keys) == pairs.count()
-    return model, Tables(None if all_sent else rare_words.unionByName(rare_pairs, allowMissingColumns=True))
+    return model, Tables(rare_words.unionByName(rare_pairs, allowMissingColumns=True))
 
 
 def _facts(model: Model, texts: list[str], more: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
@@ -348,7 +376,10 @@ def measure(docs: DataFrame, model: Model | None, tables: Tables, keep: Sequence
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", doc_id: str = "doc_id") -> Scorer:
     """Count, build the model and calibrate it."""
     known = join_labels(docs.select(doc_id, text), labels, label, doc_id)
-    model, tables = build(materialize(count_pairs(known.where(fold(doc_id) != CALIBRATION), text), "pairs"))
+    pairs = materialize(count_pairs(known.where(fold(doc_id) != CALIBRATION), text), "pairs")
+    model, tables = build(pairs)
+    if tables.rest is None:
+        discard(pairs)
     if model is None:
         share = labels.where(fold(doc_id) != 0).agg(F.avg((F.col(label) > 0).cast("double"))).first()[0]
         share = min(max(0.5 if share is None else share, 1e-3), 1 - 1e-3)

@@ -1,6 +1,7 @@
 """The language models against sums over dictionaries, and words and pairs that are not sent against those that are."""
 
 import math
+import pickle
 import random
 import re
 from collections import Counter
@@ -103,3 +104,13 @@ def test_scores_do_not_depend_on_what_is_sent(spark, data, monkeypatch):
 def test_discounts_stay_below_the_count():
     for times in ([0, 0, 0, 0], [10, 0, 0, 0], [5, 50, 500, 5000], [1000, 300, 100, 50]):
         assert all(0 < d < i + 1 for i, d in enumerate(T.estimated(times)))
+
+
+def test_models_travel_whole():
+    rng = np.random.default_rng(1)
+    for many in (0, 1, 1000):
+        keys = lambda: np.unique(rng.integers(-(2**63), 2**63 - 1, many))
+        w, p = keys(), keys()
+        one = T.Model(*[np.zeros(2)] * 2, 5.0, *[np.zeros((2, 4))] * 2, w, rng.random((len(w), 7)), p, rng.integers(0, 9, (len(p), 2)).astype(np.int32))
+        two = pickle.loads(pickle.dumps(one))
+        assert all(np.array_equal(getattr(one, c), getattr(two, c)) for c in one.__dict__)
