@@ -40,6 +40,8 @@ from acctpulse.session import discard, materialize
 
 #: Words (64 bytes each in a task) and pairs (16 bytes each) that travel to the tasks at most; packed on the way.
 SENT_WORDS, SENT_PAIRS = 1 << 20, 1 << 24
+#: Pairs that the driver holds unpacked at a time, about.
+SLICE = 1 << 21
 #: The fold that calibrates the score, and the rows used for it at most.
 CALIBRATION, MOST_ROWS = 1, 20_000
 #: Words of the passage with the most evidence; numbers of most telling words.
@@ -142,16 +144,15 @@ def word_sums(pairs: DataFrame, taken: Sequence[tuple[float, ...]]) -> DataFrame
     return pairs.select(F.inline(roles)).groupBy("key").agg(*[F.sum(c).alias(c) for c in SUMS])
 
 
-def _least_sent(rows: DataFrame, n: Column, most: int) -> int:
-    """The least count so that no more than ``most`` rows have as many."""
+def _least_sent(rows: DataFrame, n: Column, most: int) -> tuple[int, int]:
+    """The least count so that no more than ``most`` rows have as many, and how many have."""
     by_count = rows.groupBy(F.least(n, F.lit(1_000_000)).alias("n")).count().orderBy(F.desc("n")).collect()
     least, total = 1_000_001, 0
     for r in by_count:
-        total += r["count"]
-        if total > most:
+        if total + r["count"] > most:
             break
-        least = r["n"]
-    return least
+        least, total = r["n"], total + r["count"]
+    return least, total
 
 
 def _arrays(rows: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -194,17 +195,17 @@ class Model:
     pair_taken: np.ndarray  # (2, 4) of a pair's count
     words: np.ndarray  # sorted hashes
     sums: np.ndarray  # (words, SUMS)
-    pairs: np.ndarray  # sorted keys
-    counts: np.ndarray  # (pairs, 2)
+    slices: list[tuple]  # pairs by ascending keys, packed; sorted keys and (pairs, 2) counts where the model arrives
 
     def __getstate__(self) -> dict:
-        state = dict(self.__dict__, words=_packed(self.words, self.sums), pairs=_packed(self.pairs, self.counts))
-        return {k: v for k, v in state.items() if k not in ("sums", "counts")}
+        state = dict(self.__dict__, words=_packed(self.words, self.sums))
+        return {k: v for k, v in state.items() if k not in ("sums", "pairs", "counts")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self.words, self.sums = _unpacked(*state["words"])
-        self.pairs, self.counts = _unpacked(*state["pairs"])
+        keys, counts = zip(*[_unpacked(*s) for s in self.slices])
+        self.pairs, self.counts = np.concatenate(keys), np.concatenate(counts)
 
     def missing(self, texts: list[str]) -> list[np.ndarray]:
         """Per text, the different words and pairs that are not among those sent."""
@@ -265,16 +266,20 @@ def build(pairs: DataFrame) -> tuple[Model | None, Tables]:
         d1, d2, d3 = word_taken[c]
         left.append((d1 * n1 + d2 * n2 + d3 * (all_[f"some_k{c}"] - n1 - n2)) / total[c])
     n_word, n_pair = F.col("ahead") + F.col("t0") + F.col("t1"), F.col("n0") + F.col("n1")
-    least_word, least_pair = _least_sent(words, n_word, SENT_WORDS), _least_sent(pairs, n_pair, SENT_PAIRS)
+    (least_word, _), (least_pair, sent_pairs) = _least_sent(words, n_word, SENT_WORDS), _least_sent(pairs, n_pair, SENT_PAIRS)
     most = pairs.agg(F.max(F.greatest("n0", "n1"))).first()[0]
     narrow = "int" if most < 1 << 31 else "long"
     keyed = pairs.select(F.col("pair").alias("key"), F.col("n0").cast(narrow).alias("n0"), F.col("n1").cast(narrow).alias("n1"))
     held, sent = _arrays(words.where(n_word >= least_word), SUMS)
-    pair_keys, counts = _arrays(keyed.where(n_pair >= least_pair), ("n0", "n1"))
+    ends = [int(x) for x in np.linspace(-(2**63), 2**63, sent_pairs // SLICE + 2)]
+    slices = []
+    for lo, hi in zip(ends, ends[1:]):
+        part = keyed.where((n_pair >= least_pair) & F.col("key").between(lo, hi - 1))
+        slices.append(_packed(*_arrays(part, ("n0", "n1"))))
     steps = lambda ds: np.array([[0.0, *d] for d in ds])
     contexts = float(all_["ahead"] + all_["types"] + 1)
-    model = Model(total, np.array(left), contexts, steps(word_taken), steps(taken), held, sent, pair_keys, counts)
-    all_sent = len(held) == all_["types"] and len(pair_keys) == pairs.count()
+    model = Model(total, np.array(left), contexts, steps(word_taken), steps(taken), held, sent, slices)
+    all_sent = len(held) == all_["types"] and sent_pairs == pairs.count()
     if all_sent:
         discard(words)
         return model, Tables(None)

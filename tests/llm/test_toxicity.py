@@ -71,6 +71,7 @@ def test_evidence_equals_dictionaries(spark, monkeypatch, sent):
     if sent is not None:
         monkeypatch.setattr(T, "SENT_WORDS", sent)
         monkeypatch.setattr(T, "SENT_PAIRS", sent)
+    monkeypatch.setattr(T, "SLICE", 100)
     rows = texts_of(1, 120)
     pairs = T.count_pairs(spark.createDataFrame(rows, "doc_id long, text string, lb_y int"))
     model, tables = T.build(T.materialize(pairs, "pairs"))
@@ -111,6 +112,9 @@ def test_models_travel_whole():
     for many in (0, 1, 1000):
         keys = lambda: np.unique(rng.integers(-(2**63), 2**63 - 1, many))
         w, p = keys(), keys()
-        one = T.Model(*[np.zeros(2)] * 2, 5.0, *[np.zeros((2, 4))] * 2, w, rng.random((len(w), 7)), p, rng.integers(0, 9, (len(p), 2)).astype(np.int32))
-        two = pickle.loads(pickle.dumps(one))
-        assert all(np.array_equal(getattr(one, c), getattr(two, c)) for c in one.__dict__)
+        sums, counts = rng.random((len(w), 7)), rng.integers(0, 9, (len(p), 2)).astype(np.int32)
+        cut = len(p) // 3
+        slices = [T._packed(p[:cut], counts[:cut]), T._packed(p[cut:], counts[cut:])]
+        model = pickle.loads(pickle.dumps(T.Model(*[np.zeros(2)] * 2, 5.0, *[np.zeros((2, 4))] * 2, w, sums, slices)))
+        for ours, theirs in ((model.words, w), (model.sums, sums), (model.pairs, p), (model.counts, counts)):
+            assert np.array_equal(ours, theirs)
