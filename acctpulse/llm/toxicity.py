@@ -204,8 +204,13 @@ class Model:
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self.words, self.sums = _unpacked(*state["words"])
-        keys, counts = zip(*[_unpacked(*s) for s in self.slices])
-        self.pairs, self.counts = np.concatenate(keys), np.concatenate(counts)
+        sizes = [shape[0] for *_, shape in self.slices]
+        self.pairs, self.counts = np.empty(sum(sizes), np.int64), np.empty((sum(sizes), 2), np.dtype(self.slices[0][2]))
+        at = 0
+        for size, packed in zip(sizes, self.slices):  # one after the other: a task holds one slice twice, not all
+            self.pairs[at : at + size], self.counts[at : at + size] = _unpacked(*packed)
+            at += size
+        self.slices = []
 
     def missing(self, texts: list[str]) -> list[np.ndarray]:
         """Per text, the different words and pairs that are not among those sent."""
