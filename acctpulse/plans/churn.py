@@ -26,6 +26,7 @@ from acctpulse.operators.latest import latest_slice, newest, top_row
 from acctpulse.operators.reshape import distinct_list, presence_flags
 from acctpulse.operators.rolling import rolling_avg
 from acctpulse.plans.billing import COMPETITOR_COUNTERS
+from acctpulse.session import spread
 
 KEY = ["account_id", "close_week"]
 FLOOR = date(2023, 8, 1)
@@ -415,16 +416,14 @@ def competitor_flags(
 
     Regions are combined as a set. The hierarchy join carries no dates, so each
     version of an account counts; weekly sums are taken before it, which leaves
-    the same totals with far fewer rows.
+    the same totals with far fewer rows. Set and sums share one shuffle by
+    account and week, over partitions that grow in number with the input.
     """
-    combined = reduce(
+    stacked = reduce(
         lambda a, b: a.unionByName(b), [r.select("account_id", "date", *counters) for r in regions]
-    ).dropDuplicates()
-    weekly = (
-        combined.filter(F.col("date") >= F.lit(floor))
-        .groupBy("account_id", week_close_after("date").alias("close_week"))
-        .agg(*[F.sum(c).alias(c) for c in counters])
     )
+    dated = stacked.filter(F.col("date") >= F.lit(floor)).withColumn("close_week", week_close_after("date"))
+    weekly = spread(dated, *KEY).dropDuplicates().groupBy(*KEY).agg(*[F.sum(c).alias(c) for c in counters])
     h = hierarchy.select("account_id", "billing_account_id")
     return (
         weekly.join(h, "account_id", "left")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acctpulse.functions import month_start, week_close_after
+from acctpulse.session import spread
 from acctpulse.sources.tables import read_table
 
 OPEN_END = date(9999, 12, 31)
@@ -331,9 +332,12 @@ class Inputs:
         """Daily counters of one region."""
         lines = self.table("lineitem").filter(F.col("l_linestatus") == line_status)
         t = F.col("p_type")
+        typed = lines.join(self.table("part"), F.col("l_partkey") == F.col("p_partkey")).select(
+            F.col("l_suppkey").alias("account_id"), F.to_date("l_shipdate").alias("date"), "p_type"
+        )
         return (
-            lines.join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
-            .groupBy(F.col("l_suppkey").alias("account_id"), F.to_date("l_shipdate").alias("date"))
+            spread(typed, "account_id", "date")
+            .groupBy("account_id", "date")
             .agg(
                 F.sum(F.when(t == "ECONOMY", 1).otherwise(0)).alias("comp_a"),
                 F.sum(F.when(t == "SMALL", 1).otherwise(0)).alias("comp_b"),

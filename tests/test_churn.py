@@ -3,6 +3,7 @@ from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
+from acctpulse import session
 from acctpulse.operators.effective import weekly_presence
 from acctpulse.operators.lags import lag_features, lag_join
 from acctpulse.plans import churn
@@ -173,3 +174,23 @@ def test_last_active_day(rows):
         (7, "Cancelled Account", day(9), day(7)),
         (7, "SALES_LED", day(9), day(7)),
     ]
+
+
+def test_competitor_partitions_grow_with_the_input(spark, tmp_path, monkeypatch):
+    day = [date(2001, 1, 1 + k % 28) for k in range(200)]
+    lines = [(k, k % 40, k % 9, "OF"[k % 2], day[k]) for k in range(200)]
+    spark.createDataFrame(
+        lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linestatus string, l_shipdate date"
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    kinds = [(k, ("ECONOMY", "SMALL", "PROMO", "LARGE")[k % 4]) for k in range(40)]
+    spark.createDataFrame(kinds, "p_partkey long, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(session, "SPREAD_MB", 1e-4)
+    found = Inputs(spark, str(tmp_path)).competitors("O")
+    assert found.rdd.getNumPartitions() > least
+    want = {(s, d) for _, _, s, region, d in lines if region == "O"}
+    assert {(r.account_id, r.date) for r in found.collect()} == want and found.count() == len(want)
+    hierarchy = spark.createDataFrame([(k, 100 + k % 2) for k in range(9)], "account_id long, billing_account_id long")
+    flags = churn.competitor_flags([found, found], hierarchy, date(2000, 1, 1), ("comp_a", "comp_b", "comp_c"))
+    once = churn.competitor_flags([found], hierarchy, date(2000, 1, 1), ("comp_a", "comp_b", "comp_c"))
+    assert sorted(flags.collect()) == sorted(once.collect()) and once.count() > 0
