@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from acctpulse.session import spread
+
 ACCOUNT, WEEK = "account_id", "close_week"
 
 
@@ -23,23 +25,24 @@ def lag_features(
     A source is (weekly rows, {value: lags}) with one row per account and week.
     Instead of one join per value and lag, spine and source rows are stacked
     and RANGE frames that span exactly one date pick the lags: one shuffle by
-    account for any number of sources. A window partition holds one row per
+    account for any number of sources, over partitions that grow in number with
+    the input. A window partition holds one row per
     week of the account from the spine and from each source. Spine rows without
     an account meet no source row; they are spread by their content.
     """
     loose = F.when(F.col(ACCOUNT).isNull(), F.xxhash64(*[F.col(f"`{c}`") for c in spine.columns]))
-    stacked = spine.withColumns({"_is_spine": F.lit(True), "_loose": loose})
+    stacked = spine.withColumns({"_is_spine": F.lit(True), "_loose": loose, "_day_no": F.unix_date(WEEK)})
     wanted: list[tuple[str, int]] = []
     for weekly, values in sources:
         clash = (set(spine.columns) | {v for v, _ in wanted}) & set(values)
         if clash:
             raise ValueError(f"column names used twice: {sorted(clash)}")
         wanted += [(v, k) for v, lags in values.items() for k in lags]
-        # rows without an account or week could match no spine row
-        rows = weekly.select(ACCOUNT, WEEK, *values).dropna(subset=[ACCOUNT, WEEK])
+        # rows without an account or week could match no spine row; without the week itself, they are not
+        # known to be grouped as others are, so that a task of the union holds one source only
+        rows = weekly.dropna(subset=[ACCOUNT, WEEK]).select(ACCOUNT, F.unix_date(WEEK).alias("_day_no"), *values)
         stacked = stacked.unionByName(rows.withColumn("_is_spine", F.lit(False)), allowMissingColumns=True)
-    stacked = stacked.withColumn("_day_no", F.unix_date(WEEK))
-    marked = stacked.select(
+    marked = spread(stacked, ACCOUNT, "_loose").select(
         "*", *[F.max(v).over(_weeks_back(k)).alias(f"_at_{lag_name(v, k)}") for v, k in wanted]
     )
     return marked.filter("_is_spine").select(

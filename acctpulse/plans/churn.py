@@ -297,14 +297,14 @@ def weekly_run_rate(panel: DataFrame) -> DataFrame:
 
 
 def rolling_consumption(consumption: DataFrame, metric: str = "GigabytesIngested") -> DataFrame:
-    """Daily volume with its 7-row and 30-row averages."""
+    """Daily volume with its 7-row and 30-row averages, over partitions that grow in number with the input."""
     daily = (
         consumption.filter(F.col("metric") == metric)
         .groupBy(_billed_account(), F.col("usage_date").alias("report_dt"))
         .agg(F.sum("gb").alias("daily_consumption_gb"))
     )
     return rolling_avg(
-        daily,
+        spread(daily, "account_id"),
         ["account_id"],
         "report_dt",
         {
