@@ -9,11 +9,10 @@ are verified as well: two sets as similar as SIMILARITY cannot differ in all of
 them, also where a document is shorter than the item (prefix filter). What is found is verified by the exact weighted similarity
 of five-word shingles, each weighted by how often it occurs.
 
-Only windows that can reach the similarity are fingerprinted: such a window
-holds a shingle of an item of its length, at the offset where it stands in the
-item, give or take what was inserted or left out. The shingles of all items,
-with length and offset but not the item, propose the windows; which item a
-window is, fingerprints and first shingles decide. Windows are fingerprinted and verified once per
+Every window that can reach the similarity is fingerprinted, wherever it starts:
+such a window shares SIMILARITY of the shingles of an item of its length, so it
+holds at least so many that some item of that length has. Which item a window is,
+fingerprints and first shingles decide. Windows are fingerprinted and verified once per
 distinct wording, so a passage that many documents share costs one verification.
 
 Built-in expressions only. The shingles of the benchmark are broadcast behind a
@@ -109,8 +108,23 @@ def first_shingles(shingles: Column) -> Column:
     return F.slice(F.sort_array(F.transform(shingles, lambda x: F.xxhash64(x))), 1, m - common + 1)
 
 
+def _starts(at: Column, n: Column, last: Column) -> Column:
+    """Starts up to ``last`` of all windows of n words that hold SIMILARITY of n words' shingles, by the sorted positions of known ones."""
+    needed = F.ceil(F.lit(SIMILARITY) * (n - SHINGLE + 1) - 1e-9).cast("int")
+
+    def span(i: Column) -> Column:
+        # The windows that hold the i-th and as many after it as are needed; those before it have been named.
+        low = F.greatest(F.get(at, i + needed - 1) - (n - SHINGLE), F.coalesce(F.get(at, i - 1) + 1, F.lit(0)), F.lit(0))
+        high = F.least(F.get(at, i), last)
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    spans = F.flatten(F.transform(F.sequence(F.lit(0), F.size(at) - needed), span))
+    return F.when(F.size(at) >= needed, spans).otherwise(F.array().cast("array<int>"))
+
+
 def proposed(docs: DataFrame, items: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(doc_id, key, start, n, wording): item-sized windows of documents that hold a shingle of an item of that size."""
+    """(doc_id, key, start, n, aligned, wording, print): item-sized windows of documents that can be as similar as SIMILARITY;
+    aligned: a shingle stands where an item of that size has it; print: md5 of the wording."""
     seeds = materialize(
         items.select("n", F.posexplode(_shingle_hashes(F.col("words"))).alias("offset", "seed")).distinct(), "seeds"
     )
@@ -119,49 +133,61 @@ def proposed(docs: DataFrame, items: DataFrame, text: str, doc_id: str) -> DataF
     few = seeds.count() <= MOST_SENT
     hits = rows.select("key", "d.len", F.posexplode("d.hashes").alias("at", "seed")).join(F.broadcast(seeds) if few else seeds, "seed")
     start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("offset"), F.col("len") - F.col("n"))).cast("int")
-    windows = hits.select("key", F.struct(start.alias("start"), "n").alias("w")).distinct()
+    held = hits.select("key", "n", "len", "at", start.alias("start")).groupBy("key", "n", "len")
+    held = held.agg(F.sort_array(F.collect_set("at")).alias("at"), F.collect_set("start").alias("aligned"))
+    places = held.select("key", "n", "aligned", _starts(F.col("at"), F.col("n"), F.greatest(F.lit(0), F.col("len") - F.col("n"))).alias("starts"))
+
+    def marked(starts: Column, aligned: bool) -> Column:
+        return F.transform(starts, lambda s: F.struct(s.alias("start"), F.col("n").alias("n"), F.lit(aligned).alias("aligned")))
+
+    ws = F.concat(marked(F.array_intersect("starts", "aligned"), True), marked(F.array_except("starts", "aligned"), False))
+    windows = places.where(F.size("starts") > 0).select("key", ws.alias("ws"))
     # A text's windows are as many as its words at most; texts meet them once.
-    windows = materialize(windows.groupBy("key").agg(F.collect_list("w").alias("ws")), "window_places")
+    windows = materialize(windows.groupBy("key").agg(F.flatten(F.collect_list("ws")).alias("ws")), "window_places")
+    # Texts without a window drop out before they are shuffled.
+    keys = windows.select("key")
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.md5(text_of(text)).alias("key"), F.col(text).alias("dc_text"))
+    texts = texts.join(F.broadcast(keys) if windows.count() <= MOST_SENT else keys, "key", "left_semi").dropDuplicates(["doc_id", "key"])
     cut = let(
         words_of("dc_text"),
-        lambda t: F.transform("ws", lambda w: F.struct(w["start"].alias("start"), w["n"].alias("n"), F.array_join(F.slice(t, w["start"] + 1, w["n"]), " ").alias("wording"))),
+        lambda t: F.transform("ws", lambda w: F.struct(w["start"].alias("start"), w["n"].alias("n"), w["aligned"].alias("aligned"), F.array_join(F.slice(t, w["start"] + 1, w["n"]), " ").alias("wording"))),
     )
-    return texts.join(windows, "key").select("doc_id", "key", F.inline(cut)).distinct()
+    return texts.join(windows, "key").select("doc_id", "key", F.inline(cut)).withColumn("print", F.md5("wording"))
 
 
 def leaks(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id"
 ) -> DataFrame:
     """One row per document (id and text) and item that it holds: doc_id, key, item_id, similarity, start (of the best
-    window, in words), n (its words), n_windows (windows as similar as SIMILARITY)."""
+    window, in words; of equals an aligned one), n (its words), n_windows (aligned windows as similar as SIMILARITY), n_similar (all such windows)."""
     items = benchmark.select(F.col(item_id).alias("item_id"), words_of(item_text).alias("words")).withColumn("n", F.size("words"))
     items = materialize(items.where(F.col("n") >= SHINGLE), "items")
     found = materialize(proposed(docs, items, text, doc_id), "windows")
     # Each distinct wording once.
-    wordings = found.select("n", "wording").distinct().withColumn("w", F.split("wording", " "))
-    wordings = materialize(wordings.select("n", "wording", simhash(F.col("w")).alias("fp"), weighted_shingles(F.col("w")).alias("s")), "wordings")
+    wordings = found.select("n", "print", "wording").distinct()
+    wordings = materialize(wordings.select("n", "print", "wording", simhash(F.split("wording", " ")).alias("fp")), "wordings")
+    shingles = weighted_shingles(F.split("wording", " ")).alias("s")
     prints = items.select("n", "item_id", simhash(F.col("words")).alias("fp"), weighted_shingles(F.col("words")).alias("s"))
     prints = materialize(prints, "prints")
-    left = wordings.select("n", "wording", "fp", "s", F.explode(parts(F.col("fp"))).alias("p")).select("n", "p.*", "wording", "fp", "s")
+    left = wordings.select("n", "print", "wording", "fp", F.explode(parts(F.col("fp"))).alias("p")).select("n", "p.*", "print", "wording", "fp")
     right = prints.select("n", "item_id", "fp", "s", F.explode(parts(F.col("fp"))).alias("p")).select(
         "n", "p.*", "item_id", F.col("fp").alias("item_fp"), F.col("s").alias("item_s")
     )
     near = left.join(right, ["n", "k", "v"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-    near = near.select("n", "wording", "s", "item_id", "item_s")
-    first = wordings.select("n", "wording", "s", F.explode(first_shingles(F.col("s"))).alias("v"))
+    near = near.select("n", "print", shingles, "item_id", "item_s")
+    first = wordings.select("n", "print", shingles).select("n", "print", "s", F.explode(first_shingles(F.col("s"))).alias("v"))
     item_first = prints.select("n", "item_id", F.col("s").alias("item_s"), F.explode(first_shingles(F.col("s"))).alias("v"))
     near = near.unionByName(first.join(item_first, ["n", "v"]).select(*near.columns))
     common = F.size(F.array_intersect("s", "item_s"))
     alike = common / (F.size("s") + F.size("item_s") - common).cast("double")
-    sure = near.select("wording", "n", "item_id", alike.alias("similarity")).where(F.col("similarity") >= SIMILARITY).distinct()
+    sure = near.select("print", "n", "item_id", alike.alias("similarity")).where(F.col("similarity") >= SIMILARITY).distinct()
     sure = materialize(sure, "sure")
-    hits = found.join(sure, ["wording", "n"])
-    best = F.max(F.struct("similarity", (-F.col("start")).alias("minus"), "n"))
+    hits = found.drop("wording").join(sure, ["print", "n"])
+    best = F.max(F.struct("similarity", "aligned", (-F.col("start")).alias("minus"), "n"))
     return (
         hits.groupBy("doc_id", "key", "item_id")
-        .agg(best.alias("best"), F.count(F.lit(1)).alias("n_windows"))
-        .select("doc_id", "key", "item_id", "best.similarity", (-F.col("best.minus")).alias("start"), "best.n", "n_windows")
+        .agg(best.alias("best"), F.count_if("aligned").alias("n_windows"), F.count(F.lit(1)).alias("n_similar"))
+        .select("doc_id", "key", "item_id", "best.similarity", (-F.col("best.minus")).alias("start"), "best.n", "n_windows", "n_similar")
     )
 
 

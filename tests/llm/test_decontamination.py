@@ -40,3 +40,19 @@ def test_shingles_are_labelled_as_a_multiset(spark):
             expected.append(f"{gram}#{seen[gram]}")
             seen[gram] += 1
         assert sorted(labelled) == sorted(expected)
+
+
+def test_windows_at_every_start_are_looked_at(rows):
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    item = [word() for _ in range(100)]
+    # Three words changed at either end and six put in between: the best window starts where no shingle has its place.
+    doc = [*(word() for _ in range(10)), *item[3:50], *(word() for _ in range(6)), *item[50:97], *(word() for _ in range(10))]
+    grams = lambda x: {tuple(x[i : i + 5]) for i in range(len(x) - 4)}
+    alike = lambda a, b: len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+    scores = [alike(doc[s : s + 100], item) for s in range(len(doc) - 99)]
+    aligned = {10 - 3, 10 - 3 + 6}
+    assert max(scores) >= decontamination.SIMILARITY > max(scores[s] for s in aligned)
+    (found,) = decontamination.leaks(rows("doc_id long, text string", (1, " ".join(doc))), rows("item_id long, text string", (2, " ".join(item)))).collect()
+    good = [s for s, x in enumerate(scores) if x >= decontamination.SIMILARITY]
+    assert (found.similarity, found.start, found.n_windows, found.n_similar) == (max(scores), scores.index(max(scores)), 0, len(good))
