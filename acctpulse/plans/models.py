@@ -22,6 +22,8 @@ from acctpulse.plans.segments import SEGMENTS, complete_cases
 from acctpulse.session import materialize
 
 OLS_SCHEMA = "segment_name string, term string, coefficient double, p_value double, r_squared double, n long"
+#: Memory of a task for the statistics of the nodes that one pass over the rows splits.
+NODE_MB = 512
 VIF_SCHEMA = "segment_name string, feature string, vif double"
 
 
@@ -213,6 +215,8 @@ def rf_importance(
             featureSubsetStrategy="all",
             maxDepth=max_depth,
             seed=seed,
+            cacheNodeIds=True,
+            maxMemoryInMB=NODE_MB,
         )
         importance = forest.fit(assembled.filter(F.col(segment) == name)).featureImportances.toArray()
         found += [(name, c, float(v)) for c, v in zip(names, importance)]

@@ -201,3 +201,11 @@ def test_names_and_coercion(rows):
     assert segments.metric_names(["A_HSCORE", "B", "C_HSCORE"]) == ["A", "C"]
     got = segments.coerce_numeric(rows("x string", ("1.5",), ("n/a",), (None,)), ["x"]).collect()
     assert [r.x for r in got] == [1.5, None, None]
+
+
+def test_deep_forests_do_not_travel_with_every_pass(rows, monkeypatch):
+    made, plain = [], models.RandomForestRegressor
+    monkeypatch.setattr(models, "RandomForestRegressor", lambda **given: made.append(plain(**given)) or made[-1])
+    df = rows("segment_name string, a double, y double", ("x", 1.0, 1.0), ("x", 2.0, 3.0))
+    assert models.rf_importance(df, ["a"], "y", segments=["x"], trees=2, max_depth=2).count() == 1
+    assert [f.getCacheNodeIds() for f in made] == [True]
