@@ -30,7 +30,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acctpulse.llm.batches import hashed_words, map_kept, map_texts, pieces, quote, scramble
@@ -38,10 +39,11 @@ from acctpulse.llm.labels import fold, join_labels, sample
 from acctpulse.llm.words import text_of
 from acctpulse.session import discard, materialize
 
-#: Words (64 bytes each in a task) and pairs (16 bytes each) that travel to the tasks at most; packed on the way.
-SENT_WORDS, SENT_PAIRS = 1 << 20, 1 << 24
-#: Pairs that the driver holds unpacked at a time, about.
-SLICE = 1 << 21
+#: Words and pairs that travel to the tasks at most. In a task each takes 8 bytes and 2 or 4 for the row of its numbers
+#: (equal rows are held once); on the way they are packed.
+SENT_WORDS, SENT_PAIRS = 1 << 21, 1 << 24
+#: Pairs (or four times as many as words) that the driver holds unpacked at a time, about.
+SLICE = 1 << 20
 #: The fold that calibrates the score, and the rows used for it at most.
 CALIBRATION, MOST_ROWS = 1, 20_000
 #: Words of the passage with the most evidence; numbers of most telling words.
@@ -50,6 +52,8 @@ TOPS = (1, 3, 6)
 FACTS = 3 + len(TOPS)
 #: Pairs that a task holds before it passes them on.
 HELD = 1_000_000
+#: Characters that are judged at once.
+BATCH = 1_000_000
 #: Stands before a text's first word; not 0, which would give its pairs the keys of words.
 START = np.int64(0x5851F42D4C957F2D)
 #: What is known of a word; of a pair, the first two: how often it occurs by class.
@@ -71,14 +75,17 @@ def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return ((u << np.uint64(1)) | (u >> np.uint64(63))).view(np.int64) ^ w
 
 
-def _first_of(pair: Column, w: Column) -> Column:
-    """The word before, from a pair's key and its second word."""
-    turned = pair.bitwiseXOR(w)
-    return F.shiftrightunsigned(turned, 1).bitwiseOR(F.shiftleft(turned, 63))
+def _key_of(v: Column, w: Column) -> Column:
+    """The same of columns."""
+    return F.shiftleft(v, 1).bitwiseOR(F.shiftrightunsigned(v, 63)).bitwiseXOR(w)
 
 
 def count_pairs(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(pair, w, n0, n1): how often each pair of words, w the second, occurs in rows with lb_y 0 and 1."""
+    """(w, v, n0, n1): how often each word w stands after v in rows with lb_y 0 and 1.
+
+    Pairs are dealt by w (and two bits of v, so that a frequent word is not one task's) and in its order: repeated
+    words pack well, and a word's pairs meet in few tasks when they are summed up.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def merged(parts: Sequence[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
@@ -87,7 +94,11 @@ def count_pairs(docs: DataFrame, text: str = "text") -> DataFrame:
             return keys, np.concatenate([p[1] for p in parts])[where], *sums
 
         def passed(columns: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["pair", "w", "n0", "n1"])
+            pair, w, n0, n1 = columns
+            order = np.argsort(w)
+            turned = (pair ^ w).view(np.uint64)
+            v = ((turned >> np.uint64(1)) | (turned << np.uint64(63))).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(c[order]) for c in (w, v, n0, n1)], names=["w", "v", "n0", "n1"])
 
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
@@ -104,8 +115,9 @@ def count_pairs(docs: DataFrame, text: str = "text") -> DataFrame:
         for rest in held:
             yield passed(rest)
 
-    each = docs.select(F.col(quote(text)), F.col("lb_y")).mapInArrow(run, "pair long, w long, n0 long, n1 long")
-    return each.groupBy("pair", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    each = docs.select(F.col(quote(text)), F.col("lb_y")).mapInArrow(run, "w long, v long, n0 long, n1 long")
+    dealt = each.withColumn("part", F.col("v").bitwiseAND(3)).repartition("w", "part")
+    return dealt.groupBy("w", "part", "v").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).drop("part")
 
 
 def estimated(times: Sequence[int]) -> tuple[float, float, float]:
@@ -139,7 +151,7 @@ def word_sums(pairs: DataFrame, taken: Sequence[tuple[float, ...]]) -> DataFrame
 
     roles = F.array(
         row(F.col("w"), *stands, F.lit(1).cast("long"), zero, zero, nothing, nothing),
-        row(_first_of(F.col("pair"), F.col("w")), zero, zero, zero, F.col("n0"), F.col("n1"), *gone),
+        row(F.col("v"), zero, zero, zero, F.col("n0"), F.col("n1"), *gone),
     )
     return pairs.select(F.inline(roles)).groupBy("key").agg(*[F.sum(c).alias(c) for c in SUMS])
 
@@ -164,6 +176,12 @@ def _arrays(rows: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.nda
     return key[order], np.stack([c[order] for c in rest], 1)
 
 
+def _slices(table: DataFrame, columns: Sequence[str], rows: int, most: int) -> list[tuple]:
+    """All rows, packed in ranges of keys of about ``most`` rows: the driver holds one unpacked."""
+    ends = [int(x) for x in np.linspace(-(2**63), 2**63, rows // most + 2)]
+    return [_packed(*_arrays(table.where(F.col("key").between(lo, hi - 1)), columns)) for lo, hi in zip(ends, ends[1:])]
+
+
 def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Places of the wanted in sorted keys, -1 where there is none."""
     if not len(keys):
@@ -172,18 +190,63 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-def _packed(keys: np.ndarray, values: np.ndarray) -> tuple:
-    """Sorted keys by their differences and values by column, byte by byte, so that what travels takes a third."""
+@dataclass
+class Rows:
+    """Rows of numbers; equal ones, as most words and pairs have, are held once."""
+
+    table: np.ndarray
+    codes: np.ndarray
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        return len(self.codes), self.table.shape[1]
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return self.table[self.codes[at]]
+
+    def __array__(self, dtype: np.dtype | None = None, copy: bool | None = None) -> np.ndarray:
+        return self.table[self.codes].astype(dtype or self.table.dtype, copy=False)
+
+
+def _coded(values: np.ndarray) -> Rows:
+    """The distinct rows, and the place of each row among them."""
+    code = np.zeros(len(values), np.int64)
+    for column in values.T:
+        different, own = np.unique(column, return_inverse=True)
+        _, first, code = np.unique(code * max(len(different), 1) + own, return_index=True, return_inverse=True)
+    return Rows(values[first], code.astype(np.uint16 if len(first) < 1 << 16 else np.uint32))
+
+
+def _packed(keys: np.ndarray, values: np.ndarray | Rows) -> tuple:
+    """Sorted keys by their differences, byte by byte, and values as distinct rows, so that what travels takes a third.
+    At the end the numbers of keys and of distinct rows."""
     steps = np.diff(keys.view(np.uint64), prepend=np.uint64(0))
     squeeze = zstandard.ZstdCompressor(level=1).compress
-    return squeeze(steps.view(np.uint8).reshape(-1, 8).T.tobytes()), squeeze(values.T.tobytes()), values.dtype.str, values.shape
+    rows = values if isinstance(values, Rows) else _coded(values)
+    parts = steps.view(np.uint8).reshape(-1, 8).T, rows.codes, rows.table.T
+    return *(squeeze(p.tobytes()) for p in parts), rows.codes.dtype.str, rows.table.dtype.str, rows.shape[1], len(keys), len(rows.table)
 
 
-def _unpacked(steps: bytes, columns: bytes, kind: str, shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+def _unpacked(steps: bytes, codes: bytes, table: bytes, code: str, kind: str, width: int, n: int, different: int) -> tuple[np.ndarray, Rows]:
     expand = zstandard.ZstdDecompressor().decompress
     each = np.frombuffer(expand(steps), np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel()
-    values = np.frombuffer(expand(columns), np.dtype(kind)).reshape(shape[1], shape[0]).T
-    return np.cumsum(each, out=each).view(np.int64), values
+    rows = np.frombuffer(expand(table), np.dtype(kind)).reshape(width, different).T.copy()
+    return np.cumsum(each, out=each).view(np.int64), Rows(rows, np.frombuffer(expand(codes), np.dtype(code)))
+
+
+def _stacked(slices: list[tuple]) -> tuple[np.ndarray, Rows]:
+    """Keys and rows of packed slices, which are taken from the list one after the other: one is held twice, not all."""
+    sizes, different = ([packed[i] for packed in slices] for i in (-2, -1))
+    keys, codes = np.empty(sum(sizes), np.int64), np.empty(sum(sizes), np.uint16 if sum(different) < 1 << 16 else np.uint32)
+    tables = []
+    at = before = 0
+    slices.reverse()
+    for size, some in zip(sizes, different):
+        keys[at : at + size], rows = _unpacked(*slices.pop())
+        np.add(rows.codes, before, out=codes[at : at + size], dtype=codes.dtype, casting="unsafe")
+        tables.append(rows.table)
+        at, before = at + size, before + some
+    return keys, Rows(np.concatenate(tables), codes)
 
 
 @dataclass
@@ -194,23 +257,24 @@ class Model:
     word_taken: np.ndarray  # (2, 4) discounts of a continuation count, by class
     pair_taken: np.ndarray  # (2, 4) of a pair's count
     words: np.ndarray  # sorted hashes
-    sums: np.ndarray  # (words, SUMS)
+    sums: np.ndarray | Rows  # (words, SUMS)
     slices: list[tuple]  # pairs by ascending keys, packed; sorted keys and (pairs, 2) counts where the model arrives
 
     def __getstate__(self) -> dict:
         state = dict(self.__dict__, words=_packed(self.words, self.sums))
-        return {k: v for k, v in state.items() if k not in ("sums", "pairs", "counts")}
+        return {k: v for k, v in state.items() if k not in ("sums", "pairs", "counts", "sent")}
+
+    def travel(self, spark: SparkSession) -> Broadcast:
+        """What :func:`_arrived` makes a model of, sent once for all jobs; the driver lets go of its words and pairs."""
+        if "sent" not in self.__dict__:
+            self.sent = spark.sparkContext.broadcast(self.__getstate__())
+            self.words, self.sums, self.slices = self.words[:0].copy(), Rows(np.zeros((0, len(SUMS))), np.zeros(0, np.uint16)), []
+        return self.sent
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self.words, self.sums = _unpacked(*state["words"])
-        sizes = [shape[0] for *_, shape in self.slices]
-        self.pairs, self.counts = np.empty(sum(sizes), np.int64), np.empty((sum(sizes), 2), np.dtype(self.slices[0][2]))
-        at = 0
-        for size, packed in zip(sizes, self.slices):  # one after the other: a task holds one slice twice, not all
-            self.pairs[at : at + size], self.counts[at : at + size] = _unpacked(*packed)
-            at += size
-        self.slices = []
+        self.pairs, self.counts = _stacked(self.slices)
 
     def missing(self, texts: list[str]) -> list[np.ndarray]:
         """Per text, the different words and pairs that are not among those sent."""
@@ -247,6 +311,17 @@ class Model:
         return np.log(p[1] / p[0]), np.log(alone[1] / alone[0])
 
 
+def _arrived(sent: Broadcast) -> Model:
+    """The model in a task. A worker unpacks it once, for its later tasks too, and lets go of what travelled."""
+    state = sent.value
+    if "model" not in state:
+        model = object.__new__(Model)
+        model.__setstate__(dict(state))
+        state.clear()
+        state["model"] = model
+    return state["model"]
+
+
 @dataclass
 class Tables:
     """What is known of words and pairs that were not sent: (key, SUMS), null where a pair has none."""
@@ -271,19 +346,15 @@ def build(pairs: DataFrame) -> tuple[Model | None, Tables]:
         d1, d2, d3 = word_taken[c]
         left.append((d1 * n1 + d2 * n2 + d3 * (all_[f"some_k{c}"] - n1 - n2)) / total[c])
     n_word, n_pair = F.col("ahead") + F.col("t0") + F.col("t1"), F.col("n0") + F.col("n1")
-    (least_word, _), (least_pair, sent_pairs) = _least_sent(words, n_word, SENT_WORDS), _least_sent(pairs, n_pair, SENT_PAIRS)
+    (least_word, sent_words), (least_pair, sent_pairs) = _least_sent(words, n_word, SENT_WORDS), _least_sent(pairs, n_pair, SENT_PAIRS)
     most = pairs.agg(F.max(F.greatest("n0", "n1"))).first()[0]
     narrow = "int" if most < 1 << 31 else "long"
-    keyed = pairs.select(F.col("pair").alias("key"), F.col("n0").cast(narrow).alias("n0"), F.col("n1").cast(narrow).alias("n1"))
-    held, sent = _arrays(words.where(n_word >= least_word), SUMS)
-    ends = [int(x) for x in np.linspace(-(2**63), 2**63, sent_pairs // SLICE + 2)]
-    slices = []
-    for lo, hi in zip(ends, ends[1:]):
-        part = keyed.where((n_pair >= least_pair) & F.col("key").between(lo, hi - 1))
-        slices.append(_packed(*_arrays(part, ("n0", "n1"))))
+    keyed = pairs.select(_key_of(F.col("v"), F.col("w")).alias("key"), F.col("n0").cast(narrow).alias("n0"), F.col("n1").cast(narrow).alias("n1"))
+    held, sums = _stacked(_slices(words.where(n_word >= least_word), SUMS, sent_words, SLICE // 4))
+    slices = _slices(keyed.where(n_pair >= least_pair), ("n0", "n1"), sent_pairs, SLICE)
     steps = lambda ds: np.array([[0.0, *d] for d in ds])
     contexts = float(all_["ahead"] + all_["types"] + 1)
-    model = Model(total, np.array(left), contexts, steps(word_taken), steps(taken), held, sent, slices)
+    model = Model(total, np.array(left), contexts, steps(word_taken), steps(taken), held, sums, slices)
     all_sent = len(held) == all_["types"] and sent_pairs == pairs.count()
     if all_sent:
         discard(words)
@@ -323,6 +394,10 @@ def _facts(model: Model, texts: list[str], more: tuple[np.ndarray, np.ndarray] |
     return np.stack([mean, best, *tops, np.log1p(n)], 1)
 
 
+def _facts_of(model: Model, texts: list[str]) -> np.ndarray:
+    return np.concatenate([_facts(model, texts[lo:hi]) for lo, hi in pieces(texts, BATCH)])
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Coefficients, the last one constant, by Newton steps with a small ridge."""
     a = np.hstack([x, np.ones((len(x), 1))])
@@ -349,21 +424,22 @@ def measure(docs: DataFrame, model: Model | None, tables: Tables, keep: Sequence
     ddl = ", ".join(f"tx_{i} double" for i in range(FACTS))
     if model is None:
         return map_texts(docs, keep, ddl, lambda: lambda ts: list(np.zeros((FACTS, len(ts)))), text)
+    sent = model.travel(docs.sparkSession)
     if tables.rest is None:
-        return map_texts(docs, keep, ddl, lambda: lambda ts: list(_facts(model, ts).T), text)
+        return map_texts(docs, keep, ddl, lambda: lambda ts: list(_facts_of(_arrived(sent), ts).T), text)
 
     def lost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[str] = set()
+        seen: set[bytes] = set()
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             new = [i for i, k in enumerate(names) if k not in seen and not seen.add(k)]  # copies once a task
             for lo, hi in pieces([texts[i] for i in new]):
-                each = model.missing([texts[i] for i in new[lo:hi]])
-                of = pa.array([names[i] for i in new[lo:hi]]).take(pa.array(np.repeat(np.arange(len(each)), [len(x) for x in each])))
+                each = _arrived(sent).missing([texts[i] for i in new[lo:hi]])
+                of = pa.array([names[i] for i in new[lo:hi]], pa.binary()).take(pa.array(np.repeat(np.arange(len(each)), [len(x) for x in each])))
                 yield pa.RecordBatch.from_arrays([of, pa.array(np.concatenate(each))], names=["text_key", "key"])
 
-    of_text = F.md5(text_of(quote(text)))
-    wanted = docs.select(of_text.alias("text_key"), text_of(quote(text)).alias("t")).mapInArrow(lost, "text_key string, key long").distinct()
+    of_text = F.unhex(F.md5(text_of(quote(text))))
+    wanted = docs.select(of_text.alias("text_key"), text_of(quote(text)).alias("t")).mapInArrow(lost, "text_key binary, key long").distinct()
     found = wanted.join(tables.rest, "key").select("text_key", F.struct("key", F.array(*[F.coalesce(c, F.lit(0.0)) for c in SUMS]).alias("s")).alias("r"))
     lists = materialize(found.groupBy("text_key").agg(F.collect_list("r").alias("rs")), "rare")
     names = [f"k{i}" for i in range(len(keep))]
@@ -378,7 +454,7 @@ def measure(docs: DataFrame, model: Model | None, tables: Tables, keep: Sequence
                 k = keys.slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 x = sums.slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, len(SUMS))
                 k, first = np.unique(k, return_index=True)
-                yield [c.slice(lo, hi - lo) for c in kept] + [pa.array(f) for f in _facts(model, texts[lo:hi], (k, x[first])).T]
+                yield [c.slice(lo, hi - lo) for c in kept] + [pa.array(f) for f in _facts(_arrived(sent), texts[lo:hi], (k, x[first])).T]
 
     return map_kept(wide, names, inputs, ddl, run).toDF(*keep, *[f"tx_{i}" for i in range(FACTS)])
 

@@ -118,3 +118,27 @@ def test_models_travel_whole():
         model = pickle.loads(pickle.dumps(T.Model(*[np.zeros(2)] * 2, 5.0, *[np.zeros((2, 4))] * 2, w, sums, slices)))
         for ours, theirs in ((model.words, w), (model.sums, sums), (model.pairs, p), (model.counts, counts)):
             assert np.array_equal(ours, theirs)
+
+
+def test_equal_numbers_take_no_room_in_a_task():
+    """A million words and pairs of few different numbers: keys and short codes, not 64 and 16 bytes each."""
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(-(2**63), 2**63 - 1, 300_000))
+    sums, counts = rng.integers(0, 3, (len(keys), 7)) / 4, rng.integers(0, 300, (len(keys), 2)).astype(np.int32)
+    slices = [T._packed(keys[:100_000], counts[:100_000]), T._packed(keys[100_000:], counts[100_000:])]
+    model = pickle.loads(pickle.dumps(T.Model(*[np.zeros(2)] * 2, 5.0, *[np.zeros((2, 4))] * 2, keys, sums, slices)))
+    assert np.array_equal(model.sums, sums) and np.array_equal(model.counts, counts) and np.array_equal(model.pairs, keys)
+    size = lambda rows: rows.codes.nbytes + rows.table.nbytes
+    assert size(model.sums) <= 3 * len(keys) and size(model.counts) <= 10 * len(keys) and not model.slices
+
+
+def test_pairs_of_a_word_meet_in_few_tasks(spark):
+    """Copies of a text in many tasks: each word's pairs are in at most four partitions, so that sums move little."""
+    rows = [(i, " ".join(f"w{(i * 7 + k) % 40}" for k in range(30)), i % 2) for i in range(60)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        pairs = T.count_pairs(spark.createDataFrame(rows, "doc_id long, text string, lb_y int").repartition(6))
+        parts = pairs.selectExpr("w", "spark_partition_id() AS p").groupBy("w").agg({"p": "approx_count_distinct"}).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(parts) == 40 and max(r[1] for r in parts) <= 4
