@@ -179,10 +179,11 @@ def merge_all(m: Merges, piece: bytes) -> list[int]:
 
 
 def sorted_pairs(m: Merges) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs in order, and their ranks."""
+    """The pairs in order, and their ranks; at the end one beyond all pairs, without a rank."""
     keys = np.fromiter(m.ranks, np.int64, len(m.ranks))
     order = np.argsort(keys)
-    return keys[order], np.fromiter(m.ranks.values(), np.int64, len(m.ranks))[order]
+    ranks = np.fromiter(m.ranks.values(), np.int64, len(m.ranks))[order]
+    return np.append(keys[order], 2**63 - 1), np.append(ranks, NEVER)
 
 
 def merge_many(m: Merges, fresh: Sequence[bytes], pairs: tuple[np.ndarray, np.ndarray]) -> list[list[int]]:
@@ -206,10 +207,9 @@ def merge_many(m: Merges, fresh: Sequence[bytes], pairs: tuple[np.ndarray, np.nd
     keys, ranked = pairs
 
     def rank_of(q: np.ndarray) -> np.ndarray:
-        right = ids[after[q]]
-        key = ids[q] << 32 | right
-        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        return np.where((keys[at] == key) & (right >= 0), ranked[at], NEVER)
+        key = ids[q] << 32 | ids[after[q]]  # -1, so no pair, where nothing follows
+        at = keys.searchsorted(key)
+        return np.where(keys[at] == key, ranked[at], NEVER)
 
     own = np.append(rank_of(np.arange(n)), NEVER)
     by_rank = np.argsort(own[:n], kind="stable")
@@ -256,20 +256,23 @@ def merge_many(m: Merges, fresh: Sequence[bytes], pairs: tuple[np.ndarray, np.nd
             p = np.sort(np.array(bucket))
             p = p[own[p] == rank]
             # Where pairs overlap, every other one merges, from the left.
-            follows = np.append(False, p[1:] == after[p[:-1]])
+            j = after[p]
+            follows = p[1:] == j[:-1]
             if follows.any():
+                follows = np.append(False, follows)
                 first = np.maximum.accumulate(np.where(follows, 0, np.arange(len(p))))
                 p = p[(np.arange(len(p)) - first) % 2 == 0]
-            j = after[p]
+                j = after[p]
             k = after[j]
             ids[p], ids[j], own[j] = new, -1, NEVER
             after[p] = k
             before[k] = p
             h = before[p]
-            q = np.unique(np.concatenate((p, h[h != n])))
+            own[p] = -1  # symbols that merge next to each other are not looked at twice
+            q = np.concatenate((p, h[(h != n) & (own[h] >= 0)]))
             r = own[q] = rank_of(q)
             some = r < NEVER
-            queued = list(zip(r[some].tolist(), q[some].tolist()))
+            queued = zip(r[some].tolist(), q[some].tolist())
         for r, i in queued:
             if r in waiting:
                 waiting[r].append(i)
