@@ -31,6 +31,7 @@ import hashlib
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -104,7 +105,7 @@ def aligner(pair: Pair) -> Callable[[Sequence[str]], Aligned]:
         a, at_a = left([" " + t if t else "" for t in texts])
         lists = right.encode([t or "" for t in texts], num_threads=1) if texts else []
         at_b = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int64)
-        b = np.fromiter((i for x in lists for i in x), np.int64, at_b[-1])
+        b = np.fromiter(chain.from_iterable(lists), np.int64, at_b[-1])
         a = a.astype(np.int64)
         (data_a, off_a), (data_b, off_b) = spell(pair.a, a), spell(pair.b, b)
         good = np.zeros(len(texts), bool)
@@ -209,18 +210,17 @@ def written(x: Aligned) -> list[bytes]:
     sign = np.full(len(ids), ord(","), np.uint8)
     sign[place_a[np.cumsum(n_a) - 1]] = ord("|")
     sign[place_b[np.cumsum(n_b) - 1]] = ord(";")
-    digits = 1 + sum((ids >= 10**k).astype(np.int64) for k in range(1, 10))
-    ends = np.cumsum(digits + 1)
-    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
-    out[ends - 1] = sign
-    rest, k = ids, 0
-    while True:
-        at = np.flatnonzero(digits > k)
-        if not len(at):
-            break
-        out[ends[at] - 2 - k] = 48 + rest[at] % 10
-        rest, k = rest // 10, k + 1
-    upto = np.concatenate(([0], ends))[x.at_a + x.at_b]
+    # The decimal form of every id up to the largest, zeros in front left out, and room for the sign.
+    top = int(ids.max()) if len(ids) else 0
+    width = len(str(top))
+    scale = 10 ** np.arange(width - 1, -1, -1)
+    value = np.arange(top + 1)[:, None]
+    shown = np.where((value >= scale) | (scale == 1), 48 + value // scale % 10, 0)
+    form = np.concatenate((shown, np.zeros_like(value)), 1).astype(np.uint8)
+    wide = form[ids]
+    wide[:, width] = sign
+    out = wide[wide > 0]
+    upto = np.concatenate(([0], np.cumsum((form > 0).sum(1)[ids] + 1)))[x.at_a + x.at_b]
     # The last sign of a text is left out.
     return [out[lo : hi - 1].tobytes() if hi > lo else b"" for lo, hi in zip(upto[:-1], upto[1:])]
 
