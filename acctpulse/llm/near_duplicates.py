@@ -14,7 +14,7 @@ Candidates are confirmed by aligning their words inside a band of the diagonals
 that a similarity of SIMILARITY leaves.
 
 Copies of one text are one node. The texts of a bucket are compared to leaders:
-first to one, the text with most links so far, then to ever more of them, until
+first to one, the text with most links so far, then to a few and ever more of them, until
 the bucket's texts are all in one class or each has been a leader. Only texts of
 different classes are compared, so that a group of near copies costs few rounds,
 and no link that decides a class is missed inside a bucket. Lengths and bit maps of
@@ -48,8 +48,9 @@ K, SKETCHES, KEPT = 3, 64, 2
 SIMILARITY = 0.8
 #: Words up to which texts are matched by subsequences.
 SHORT = 14
-#: Leaders of a bucket grow by this factor each round.
-GROWTH = 64
+#: Leaders of a bucket beside its best one, by round; then so many times more each round. Few at first: where texts
+#: are alike, most join a class by these, and only the others meet the many.
+LEADERS, GROWTH = (0, 4, 32), 64
 #: Rounds in which a text meets one leader only.
 SINGLE = 1
 #: Longs of the bit map by which pairs that cannot be similar are left out.
@@ -238,11 +239,15 @@ def text_key(text: str = "text") -> Column:
 
 
 def _verify(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
-    """(lead, key, alike): similarity of each pair, null below ``least``."""
+    """(lead, key, alike): similarity of each of the (written) pairs, null below ``least``.
+
+    Pairs are narrow, leaders few: while these are small, only the words of the pairs are shuffled, not the table's.
+    """
+    leads = words.select(F.col("key").alias("lead"), F.col("words").alias("w_lead")).join(pairs.select("lead").distinct(), "lead", "left_semi")
     joined = (
         pairs.join(words, "key")
         .withColumnRenamed("words", "w_key")
-        .join(words.select(F.col("key").alias("lead"), F.col("words").alias("w_lead")), "lead")
+        .join(leads, "lead")
         .select("lead", "key", "w_key", "w_lead")
     )
 
@@ -286,17 +291,20 @@ def links(contents: DataFrame, docs: DataFrame, text: str = "text", doc_id: str
     judged = spark.createDataFrame([], "lead long, key long, alike double")
     labels = spark.createDataFrame([], "key long, label long")
     chance = F.pmod(F.xxhash64("bucket", "key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    turn = -SINGLE
+    turn, rest = -SINGLE, held
     while True:
         ends = judged.where("alike IS NOT NULL").select(F.explode(F.array("lead", "key")).alias("key"))
         degree = ends.groupBy("key").agg(F.count(F.lit(1)).alias("degree"))
-        members = held.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+        members = rest.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
         members = members.join(degree, "key", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
         # Buckets with texts of different classes; who has most links leads, and more texts each round. Equals rank alike
         # in all buckets, so that those of one group have the same leader.
         rank = F.struct("degree", F.xxhash64("key"), "key")
         open_ = members.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("z"), F.max(rank).alias("best"))
         members = materialize(members.join(open_.where("a != z").select("bucket", "best"), "bucket").drop("degree"), "open_members")
+        # A bucket of one class stays one: later rounds read the open ones alone.
+        discard(rest)
+        rest = members.select("bucket", "key", "size")
         if members.isEmpty():
             break
         if turn < 0:
@@ -308,29 +316,34 @@ def links(contents: DataFrame, docs: DataFrame, text: str = "text", doc_id: str
             met = met.where(F.col("label") != F.coalesce("of_lead", "lead")).join(maps, "key")
             met = met.join(maps.select(F.col("key").alias("lead"), *_as_lead()), "lead").where(_can(least))
         else:
-            of = lambda t: F.lit(float(GROWTH**t if t else 0)) / F.col("size")
+            of = lambda t: F.lit(float(_leaders(t))) / F.col("size")
             fresh = (F.col("key") == F.col("best.key")) | ((chance >= of(turn - 1 if turn else 0)) & (chance < of(turn)))
             wide = members.join(maps, "key")
             lead = wide.where(fresh).select("bucket", F.col("key").alias("lead"), F.col("label").alias("of_lead"), *_as_lead())
             met = wide.join(lead, "bucket").where((F.col("label") != F.col("of_lead")) & _can(least))
         pairs = met.select(F.least("lead", "key").alias("lead"), F.greatest("lead", "key").alias("key")).distinct()
-        pairs = pairs.join(judged, ["lead", "key"], "left_anti")
+        pairs = materialize(pairs.join(judged, ["lead", "key"], "left_anti"), "pairs")
         new = materialize(_verify(pairs, words, least), "judged")
+        discard(pairs)
         judged = judged.unionByName(new)
         old, labels = labels, joined_labels(labels, new.where("alike IS NOT NULL").select("lead", "key"))
         if turn > -SINGLE:
             discard(old)
         # Every text of the largest open bucket has led.
         largest = members.agg(F.max("size")).first()[0]
-        discard(members)
-        if turn > 0 and GROWTH**turn >= largest:
+        if turn > 0 and _leaders(turn) >= largest:
             break
         turn += 1
-    for table in (held, maps, words):
+    for table in (rest, maps, words):
         discard(table)
     return judged.where("alike IS NOT NULL"), labels
 
 
+def _leaders(turn: int) -> int:
+    """Leaders of a bucket up to that round, beside its best one."""
+    return LEADERS[turn] if turn < len(LEADERS) else LEADERS[-1] * GROWTH ** (turn - len(LEADERS) + 1)
+
+
 def _as_lead() -> list[Column]:
     """Length and bit map of a leader."""
     return [F.col("n_words").alias("n_lead"), *[F.col(f"p{i}").alias(f"l{i}") for i in range(MAP)]]
