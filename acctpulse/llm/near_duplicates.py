@@ -50,11 +50,14 @@ SIMILARITY = 0.8
 SHORT = 14
 #: Leaders of a bucket beside its best one, by round; then so many times more each round. Few at first: where texts
 #: are alike, most join a class by these, and only the others meet the many.
-LEADERS, GROWTH = (0, 4, 32), 64
+LEADERS, GROWTH = (0, 16), 512
 #: Rounds in which a text meets one leader only.
 SINGLE = 1
-#: Longs of the bit map by which pairs that cannot be similar are left out.
-MAP = 8
+#: Longs of the bit map by which pairs that cannot be similar are left out. With 8 of them the maps of two texts of 800
+#: words differ in fewer bits than their edits may flip, whatever the texts are; 32 tell texts of over a thousand words.
+MAP = 32
+#: Bits for each text that shares a bucket, and at most, in the filter that keeps other texts from being shuffled.
+FILTER_BITS, MOST_BITS = 8, 1 << 25
 _TOP = np.uint64(2**64 - 1)
 
 
@@ -238,6 +241,26 @@ def text_key(text: str = "text") -> Column:
     return F.md5(F.coalesce(F.col(text), F.lit("")))
 
 
+def _exact_id(name: str) -> Column:
+    """An id as text, never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit(""))
+
+
+def _may_hold(texts: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``texts`` whose key may be one of those ``wanted``, and the table of bits that tells.
+
+    Bits of hashed keys, aggregated by Spark, keep most other texts from being shuffled; an exact join follows.
+    """
+    bits = min(max(FILTER_BITS * wanted.count(), 1), MOST_BITS)
+    bit = F.pmod(F.xxhash64("key"), F.lit(bits)) + 1
+    known = wanted.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+    known = materialize(known, "known")
+    place = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.floor(byte / F.pow(F.lit(2), place % 8)).cast("int") % 2 == 1
+    return texts.join(known, (F.bitmap_bucket_number(bit) == F.col("part")) & is_set, "left_semi"), known
+
+
 def _verify(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
     """(lead, key, alike): similarity of each of the (written) pairs, null below ``least``.
 
@@ -265,29 +288,32 @@ def _verify(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
 def links(contents: DataFrame, docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Confirmed links (lead, key, alike) between different texts, by their nodes, and (key, label) of every node on one.
 
-    ``contents`` has node, key, id, n_words, the bit map and the buckets of each text.
+    ``contents`` has node, key, id and the buckets of each text.
     """
     spark = docs.sparkSession
     # Only (bucket, text) is shuffled, until the buckets of a single text are gone.
     held = contents.select(F.col("node").alias("key"), F.explode("buckets").alias("bucket"))
     shared = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     held = materialize(held.join(shared, "bucket"), "bucket_members")
-    maps = contents.select(F.col("node").alias("key"), "n_words", *[F.get("parity", F.lit(i)).alias(f"p{i}") for i in range(MAP)])
-    maps = materialize(maps.join(held.select("key").distinct(), "key", "left_semi"), "maps")
-    # Words of the texts that share a bucket at all. A text's copies are spread by their ids; one of them is read.
-    needed = maps.select(F.col("key").alias("node"))
-    wanted = contents.join(needed, "node", "left_semi").select("node", "key", F.col("id").cast("string").alias("id"))
-    texts = docs.select(text_key(text).alias("key"), F.col(doc_id).cast("string").alias("id"), F.col(text).alias("nd_text"))
-    found = texts.alias("t").join(
-        wanted.alias("w"), (F.col("t.key") == F.col("w.key")) & F.col("t.id").eqNullSafe(F.col("w.id"))
-    ).select(F.col("w.node").alias("key"), "nd_text")
-
-    def coded(batch: list[str]) -> list[list[bytes]]:
+    # Words and bit maps of the texts that share a bucket at all. A text's copies are spread by their ids; one of them is read.
+    shares = held.select(F.col("key").alias("node")).distinct()
+    wanted = contents.join(shares, "node", "left_semi").select("node", "key", _exact_id("id").alias("id"))
+    wanted = materialize(wanted, "wanted")
+    texts = docs.select(text_key(text).alias("key"), _exact_id(doc_id).alias("id"), F.col(text).alias("nd_text"))
+    maybe, known = _may_hold(texts, wanted)
+    found = maybe.join(wanted, ["key", "id"]).dropDuplicates(["key", "id"]).select(F.col("node").alias("key"), "nd_text")
+
+    def coded(batch: list[str]) -> list[pa.Array]:
         words, at = hashed_words(batch)
-        return [[words[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]]
+        cut = pa.array([words[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())
+        return [cut, pa.array(np.diff(at), pa.int64()), pa.array(list(parities(batch)), pa.list_(pa.int64()))]
 
-    words = map_texts(found, ["key"], "words binary", lambda: coded, "nd_text").dropDuplicates(["key"])
+    words = map_texts(found, ["key"], "words binary, n_words long, parity array<bigint>", lambda: coded, "nd_text")
     words = materialize(words, "words")
+    discard(known)
+    discard(wanted)
+    maps = words.select("key", "n_words", *[F.get("parity", F.lit(i)).alias(f"p{i}") for i in range(MAP)])
+    words = words.select("key", "words")
     judged = spark.createDataFrame([], "lead long, key long, alike double")
     labels = spark.createDataFrame([], "key long, label long")
     chance = F.pmod(F.xxhash64("bucket", "key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -323,18 +349,18 @@ def links(contents: DataFrame, docs: DataFrame, text: str = "text", doc_id: str
             met = wide.join(lead, "bucket").where((F.col("label") != F.col("of_lead")) & _can(least))
         pairs = met.select(F.least("lead", "key").alias("lead"), F.greatest("lead", "key").alias("key")).distinct()
         pairs = materialize(pairs.join(judged, ["lead", "key"], "left_anti"), "pairs")
-        new = materialize(_verify(pairs, words, least), "judged")
-        discard(pairs)
-        judged = judged.unionByName(new)
-        old, labels = labels, joined_labels(labels, new.where("alike IS NOT NULL").select("lead", "key"))
-        if turn > -SINGLE:
+        if not pairs.isEmpty():
+            new = materialize(_verify(pairs, words, least), "judged")
+            judged = judged.unionByName(new)
+            old, labels = labels, joined_labels(labels, new.where("alike IS NOT NULL").select("lead", "key"))
             discard(old)
+        discard(pairs)
         # Every text of the largest open bucket has led.
         largest = members.agg(F.max("size")).first()[0]
         if turn > 0 and _leaders(turn) >= largest:
             break
         turn += 1
-    for table in (rest, maps, words):
+    for table in (rest, words):
         discard(table)
     return judged.where("alike IS NOT NULL"), labels
 
@@ -406,18 +432,15 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least:
 
     def make():
         def rows(texts: list[str]) -> list[pa.Array]:
-            found, n = buckets_of(texts, least)
+            found, _ = buckets_of(texts, least)
             ends = np.cumsum([0, *map(len, found)])
             flat = pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64), pa.int64())
-            return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(n, pa.int64()), pa.array(list(parities(texts)), pa.list_(pa.int64()))]
+            return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
 
         return rows
 
-    fields = "buckets array<bigint>, n_words long, parity array<bigint>"
-    rows = materialize(map_texts(keyed, ["doc_id", "key"], fields, make, "nd_text"), "sketches")
-    contents = rows.groupBy("key").agg(
-        F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.max("buckets").alias("buckets"), F.max("n_words").alias("n_words"), F.max("parity").alias("parity")
-    )
+    rows = materialize(map_texts(keyed, ["doc_id", "key"], "buckets array<bigint>", make, "nd_text"), "sketches")
+    contents = rows.groupBy("key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.max("buckets").alias("buckets"))
     contents = materialize(contents.withColumn("node", F.monotonically_increasing_id()), "contents")
     discard(rows)
     edges, labels = links(contents, docs, text, doc_id, least)

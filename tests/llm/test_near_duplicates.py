@@ -111,3 +111,27 @@ def test_a_group_of_near_copies_is_not_compared_in_all_pairs(spark, rows, monkey
     found = N.classes(rows("doc_id long, text string", *enumerate(texts))).collect()
     assert {(r.class_id, r.class_size) for r in found} == {(0, 500)}
     assert sum(compared) < 10 * len(texts), compared
+
+
+def test_long_texts_with_a_common_passage_are_told_apart_by_their_maps(spark, rows, monkeypatch):
+    """Texts of 850 words that share 600 of them in order share buckets; all 780 pairs were aligned when maps had 512 bits."""
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(50000)]
+    passage = [rng.choice(vocabulary) for _ in range(600)]
+    texts = [" ".join([rng.choice(vocabulary) for _ in range(250)] + passage) for _ in range(40)]
+    compared = []
+    verify = N._verify
+    monkeypatch.setattr(N, "_verify", lambda pairs, *rest: compared.append(pairs.count()) or verify(pairs, *rest))
+    found = N.classes(rows("doc_id long, text string", *enumerate(texts))).collect()
+    assert {(r.class_id, r.class_size) for r in found} == {(i, 1) for i in range(40)}
+    assert sum(compared) < 40, compared
+
+
+def test_only_texts_that_share_a_bucket_are_dealt_out(spark, rows):
+    texts = rows("key string, id string, nd_text string", *((f"k{i}", f"={i}", f"text {i}") for i in range(2000)))
+    wanted = texts.where("pmod(hash(key), 40) = 0").select("key", "id")
+    maybe, _ = N._may_hold(texts, wanted)
+    there = {r.key for r in maybe.collect()}
+    some = {r.key for r in wanted.collect()}
+    assert some <= there
+    assert len(there) < len(some) + 0.25 * 2000
