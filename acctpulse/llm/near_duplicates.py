@@ -312,11 +312,12 @@ def links(contents: DataFrame, docs: DataFrame, text: str = "text", doc_id: str
     words = materialize(words, "words")
     discard(known)
     discard(wanted)
-    maps = words.select("key", "n_words", *[F.get("parity", F.lit(i)).alias(f"p{i}") for i in range(MAP)])
+    maps = words.select("key", "n_words", *[F.coalesce(F.get("parity", F.lit(i)), F.lit(0)).alias(f"p{i}") for i in range(MAP)])
     words = words.select("key", "words")
     judged = spark.createDataFrame([], "lead long, key long, alike double")
     labels = spark.createDataFrame([], "key long, label long")
-    chance = F.pmod(F.xxhash64("bucket", "key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    # The same for a text in all its buckets: who leads in one leads in the smaller ones, now or before.
+    chance = F.pmod(F.xxhash64(F.lit("leader"), "key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     turn, rest = -SINGLE, held
     while True:
         ends = judged.where("alike IS NOT NULL").select(F.explode(F.array("lead", "key")).alias("key"))
@@ -343,10 +344,20 @@ def links(contents: DataFrame, docs: DataFrame, text: str = "text", doc_id: str
             met = met.join(maps.select(F.col("key").alias("lead"), *_as_lead()), "lead").where(_can(least))
         else:
             of = lambda t: F.lit(float(_leaders(t))) / F.col("size")
-            fresh = (F.col("key") == F.col("best.key")) | ((chance >= of(turn - 1 if turn else 0)) & (chance < of(turn)))
-            wide = members.join(maps, "key")
-            lead = wide.where(fresh).select("bucket", F.col("key").alias("lead"), F.col("label").alias("of_lead"), *_as_lead())
-            met = wide.join(lead, "bucket").where((F.col("label") != F.col("of_lead")) & _can(least))
+            is_best = F.col("key") == F.col("best.key")
+            fresh = is_best | ((chance >= of(turn - 1 if turn else 0)) & (chance < of(turn)))
+            by_size = F.array_sort(F.collect_list(F.struct("size", "bucket"))).getField("bucket")
+            own = members.groupBy("key").agg(by_size.alias("own")).select("key", F.posexplode("own").alias("at", "bucket"), "own")
+            own = own.select("key", "bucket", F.slice("own", F.lit(1), F.col("at")).alias("smaller"))
+            wide = members.join(own, ["bucket", "key"]).join(maps, "key").withColumn("leads", fresh)
+            lead = wide.where("leads").select(
+                "bucket", F.col("key").alias("lead"), F.col("label").alias("of_lead"), is_best.alias("is_best"), F.col("smaller").alias("l_smaller"), *_as_lead()
+            )
+            # Two texts share many buckets: they meet in the smallest of these, once if both lead there, and elsewhere
+            # under the best leader only.
+            once = ~F.col("leads") | (F.col("lead") < F.col("key"))
+            first = F.col("is_best") | (once & ~F.arrays_overlap("smaller", "l_smaller"))
+            met = wide.join(lead, "bucket").where((F.col("label") != F.col("of_lead")) & _can(least) & first)
         pairs = met.select(F.least("lead", "key").alias("lead"), F.greatest("lead", "key").alias("key")).distinct()
         pairs = materialize(pairs.join(judged, ["lead", "key"], "left_anti"), "pairs")
         if not pairs.isEmpty():
