@@ -49,6 +49,25 @@ def stack_join(
     return out.select(*held, *fields.values())
 
 
+def dealt_join(
+    base: DataFrame, keys: Sequence[str], *branches: DataFrame, distinct: bool = True
+) -> DataFrame:
+    """The rows of ``stack_join`` by one left join per branch, for sides that are all dealt by a part of ``keys``.
+
+    Sides with the same buckets or partitions meet without a shuffle, so that the wide rows of ``base`` stay where
+    they are. Other sides are shuffled, each branch and ``base`` once.
+    """
+    taken = list(base.columns)
+    out = base
+    for branch in branches:
+        clash = set(taken) & (set(branch.columns) - set(keys))
+        if clash:
+            raise ValueError(f"column names used twice: {sorted(clash)}")
+        taken += [c for c in branch.columns if c not in keys]
+        out = out.join(branch.dropDuplicates() if distinct else branch, list(keys), "left")
+    return out.select(*[F.col(f"`{c}`") for c in taken])
+
+
 def lag_lists(
     spine: DataFrame,
     singles: Sequence[tuple[DataFrame, Mapping[str, Sequence[int]]]],

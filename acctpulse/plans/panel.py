@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acctpulse.functions import dec2
-from acctpulse.operators.assembly import stack_join
+from acctpulse.operators.assembly import dealt_join
 from acctpulse.operators.latest import month_end_or, newest
 from acctpulse.plans import billing, finance, support, usage
-from acctpulse.session import materialize
+from acctpulse.session import DEALT_MB, materialize, materialize_dealt, parts_for
 
 
 @dataclass(frozen=True)
@@ -41,26 +41,37 @@ def account_360(
     as_of: date,
     months: int = usage.HORIZON_MONTHS,
     case_floor: date = support.CASE_FLOOR,
+    parts: int | None = None,
 ) -> DataFrame:
     """All branches on the activation rows.
 
     Every branch is aggregated to (account, date) or (account, month) before
-    assembly, so that moves calendar-bounded rows, never raw facts. Branches
-    of one key are stacked, one shuffle per key instead of two per branch;
-    repeated rows fall together in the branches, while they are narrow.
+    assembly, so that moves calendar-bounded rows, never raw facts. What several
+    branches read is written once, dealt by account into as many buckets as the
+    input asks for; windows, groupings and joins by account then need no other
+    shuffle, and neither do sources that come dealt so already. Without shuffles
+    all branches would run in one task per bucket, so the larger ones are written
+    as well, before the sorts of one task hold too much memory.
     """
+    parts = parts or parts_for(s.panel, s.feature_usage, mb=DEALT_MB)
+    panel = materialize_dealt(s.panel, "account_panel_rows", parts, "account_id")
+    used = materialize_dealt(
+        usage.platform_usage(s.feature_usage, as_of, months), "platform_usage", parts, "account_id"
+    )
+    all_cases = materialize_dealt(s.cases, "support_cases", parts, "account_id")
     # One row per month and capability; both the thresholds and the daily counts read it.
-    reach = materialize(usage.capability_reach(s.feature_usage, as_of, months), "capability_reach")
+    reach = materialize(usage.capability_reach(used, as_of, months), "capability_reach")
     thresholds = usage.capability_threshold(reach)
-    daily = usage.daily_active_usage(s.feature_usage, s.account_flags, s.account_metrics, as_of, months, reach)
-    base = usage.user_activation(s.panel, as_of, months).drop("mtd_amount")
+    daily = usage.daily_active_usage(used, s.account_flags, s.account_metrics, as_of, months, reach, dealt=True)
+    daily = materialize_dealt(daily, "daily_active_usage", parts, "account_id")
+    base = usage.user_activation(panel, as_of, months).drop("mtd_amount")
 
     stickiness = usage.product_stickiness(s.feature_flags, s.features, as_of, months).withColumn(
         "product_stickiness_ratio", dec2("product_stickiness_ratio")
     )
     # The rolling measures need every day; only the panel's dates go on to the join.
-    rolled = usage.stickiness_utilization(s.panel, daily, thresholds, as_of, months)
-    rolled = month_end_or(rolled, "report_dt", newest(s.panel, "report_dt")).select(
+    rolled = usage.stickiness_utilization(panel, daily, thresholds, as_of, months)
+    rolled = month_end_or(rolled, "report_dt", newest(panel, "report_dt")).select(
         "account_id",
         "report_dt",
         "dau_actuals",
@@ -72,7 +83,8 @@ def account_360(
         "used_features_r7d",
         dec2("product_utilization_rate").alias("product_utilization_rate"),
     )
-    money = finance.financial_metrics(s.panel, as_of, months).select(
+    rolled = materialize_dealt(rolled, "stickiness_utilization", parts, "account_id")
+    money = finance.financial_metrics(panel, as_of, months).select(
         "account_id",
         "report_dt",
         "total_acr",
@@ -114,7 +126,8 @@ def account_360(
         "mth_diff",
         "mths_till_date",
     )
-    cases = support.support_metrics(s.cases, s.case_history, as_of, case_floor).select(
+    money = materialize_dealt(money, "financial_metrics", parts, "account_id")
+    cases = support.support_metrics(all_cases, s.case_history, as_of, case_floor, parts).select(
         F.col("account_id").alias("crm_account_id"),
         F.col("case_month").alias("report_month"),
         *[
@@ -149,6 +162,7 @@ def account_360(
             for c in ("maximum_days_past_due", "sum_total_amount_due", "number_of_open_invoices")
         ],
     )
+    invoices = materialize_dealt(invoices, "latest_invoice", parts, "account_id")
     competitors = billing.competitor_monthly(s.competitor_regions, s.counters).withColumnRenamed(
         "reporting_month", "report_month"
     )
@@ -157,10 +171,14 @@ def account_360(
     activated = base.select(*BASE_COLUMNS).withColumn(
         "user_activation_percentage", dec2("user_activation_percentage")
     )
-    activated = activated.dropDuplicates()
+    activated = materialize_dealt(activated.dropDuplicates(), "user_activation", parts, "account_id")
     # A customer system's account may stand for many accounts, so this one is a join, whose skew is split at run time.
-    by_day = stack_join(activated, day_key, rolled, money)
-    by_month = stack_join(by_day, month_key, stickiness, risk, sentiment, invoices, competitors)
+    by_day = dealt_join(activated, day_key, rolled, money)
+    competitors = competitors.repartition(parts, "account_id")
+    # Branches by month have one row per key.
+    by_month = dealt_join(
+        by_day, month_key, stickiness, risk, sentiment, invoices, competitors, distinct=False
+    )
     return by_month.join(cases, ["crm_account_id", "report_month"], "left")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acctpulse.functions import minute_diff, month_start, safe_div
-from acctpulse.operators.assembly import stack_join
+from acctpulse.operators.assembly import dealt_join, stack_join
 
 CASE_FLOOR = date(2023, 1, 1)
 
@@ -39,10 +39,14 @@ def first_priorities(cases: DataFrame, history: DataFrame, floor: date = CASE_FL
 
 def case_priority(cases: DataFrame, history: DataFrame, floor: date = CASE_FLOOR) -> DataFrame:
     """P1 and P1+P2 shares of accounts with more than one assigned case in a month."""
+    return priority_shares(first_priorities(cases, history, floor))
+
+
+def priority_shares(first: DataFrame) -> DataFrame:
+    """The shares of ``case_priority`` from ``first_priorities``."""
     p = F.col("first_priority")
     counted = (
-        first_priorities(cases, history, floor)
-        .groupBy("account_id", "account_name", "case_month")
+        first.groupBy("account_id", "account_name", "case_month")
         .agg(
             F.count_if(p == "P1").alias("cnt_p1"),
             F.count_if(p == "P2").alias("cnt_p2"),
@@ -64,7 +68,7 @@ def case_resolution(cases: DataFrame, floor: date = CASE_FLOOR) -> DataFrame:
     """Cases opened per month and the share solved within the same month.
 
     A case's opening and its same-month solution share account and month, so
-    both distinct counts come from one aggregate.
+    both distinct counts come from the same rows, one per case.
     """
     created, solved = month_start("created_ts"), month_start("solved_ts")
     rows = cases.filter(
@@ -72,9 +76,10 @@ def case_resolution(cases: DataFrame, floor: date = CASE_FLOOR) -> DataFrame:
     ).select("account_id", created.alias("case_month"), "case_id", (created == solved).alias("same_month"))
     # a case without an account is opened but matches no solved count
     counted = F.col("same_month") & F.col("account_id").isNotNull()
-    grouped = rows.groupBy("account_id", "case_month").agg(
-        F.count_distinct("case_id").alias("open_tickets"),
-        F.count_distinct(F.when(counted, F.col("case_id"))).alias("solved"),
+    by_case = rows.groupBy("account_id", "case_month", "case_id").agg(F.max(counted).alias("solved"))
+    grouped = by_case.groupBy("account_id", "case_month").agg(
+        F.count("case_id").alias("open_tickets"),
+        F.count(F.when(F.col("solved"), F.col("case_id"))).alias("solved"),
     )
     return grouped.select(
         "account_id",
@@ -141,14 +146,22 @@ def first_response_time(cases: DataFrame, as_of: date, floor: date = CASE_FLOOR)
 
 
 def support_metrics(
-    cases: DataFrame, history: DataFrame, as_of: date, floor: date = CASE_FLOOR
+    cases: DataFrame, history: DataFrame, as_of: date, floor: date = CASE_FLOOR, parts: int | None = None
 ) -> DataFrame:
-    """The support branch at account and month."""
+    """The support branch at account and month.
+
+    With ``parts``, ``cases`` are dealt by account into so many partitions, and so is the result.
+    """
     key = ["account_id", "case_month"]
-    priority = case_priority(cases, history, floor).select(*key, "pct_p1_cases", "pct_p1p2_cases")
+    first = first_priorities(cases, history, floor)
+    priority = priority_shares(first.repartition(parts, "account_id") if parts else first)
+    priority = priority.select(*key, "pct_p1_cases", "pct_p1p2_cases")
     csat = case_satisfaction(cases, floor).select(
         "account_id", F.col("solved_month").alias("case_month"), "avg_csat_score"
     )
     response = first_response_time(cases, as_of, floor).select(*key, "mthly_fttr_50")
     resolution = case_resolution(cases, floor).select(*key, "resolution_rate", "open_tickets")
+    if parts:
+        response = response.repartition(parts, "account_id")
+        return dealt_join(resolution, key, priority, csat, response, distinct=False)
     return stack_join(resolution, key, priority, csat, response, distinct=False)

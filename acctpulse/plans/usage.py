@@ -175,6 +175,13 @@ def _platform_usage(usage: DataFrame, as_of: date, months: int) -> DataFrame:
     return usage.filter(F.col("tier").isin(*TIERS) & in_horizon("date", as_of, months))
 
 
+def platform_usage(usage: DataFrame, as_of: date, months: int = HORIZON_MONTHS) -> DataFrame:
+    """The rows and columns of usage that ``capability_reach`` and ``daily_active_usage`` read."""
+    return _platform_usage(usage, as_of, months).select(
+        "date", "account_id", "capability", "tier", "user_id", "datacentre", "daily_active"
+    )
+
+
 def capability_reach(usage: DataFrame, as_of: date, months: int = HORIZON_MONTHS) -> DataFrame:
     """Per month and capability: share of the month's accounts that use it.
 
@@ -227,11 +234,13 @@ def daily_active_usage(
     as_of: date,
     months: int = HORIZON_MONTHS,
     reach: DataFrame | None = None,
+    dealt: bool = False,
 ) -> DataFrame:
     """Distinct users and distinct threshold capabilities per account and day.
 
     ``reach`` is ``capability_reach`` of the same usage, for callers that have
-    it as a table; else it is computed.
+    it as a table; else it is computed. ``dealt``: usage is a table dealt by
+    account, which may be read twice.
     Eligibility depends on account and day alone, so it is applied to the
     aggregated rows as a semi join, which also cannot multiply them.
     """
@@ -242,19 +251,32 @@ def daily_active_usage(
         _platform_usage(usage, as_of, months)
         .filter("daily_active")
         .select("date", "account_id", F.concat("user_id", "datacentre").alias("person"), "capability")
-        .dropDuplicates()
     )
-    daily = (
-        active.withColumn("month", month_start("date"))
-        .join(popular, ["month", "capability"], "left")
-        .groupBy("date", "account_id", "month")
-        .agg(
-            F.count_distinct("person").alias("dau_actuals"),
-            F.count_distinct(F.when(F.col("meets_threshold"), F.col("capability"))).alias(
-                "used_features_3_percent"
-            ),
+    active = active if dealt else active.dropDuplicates()
+    key = ["date", "account_id", "month"]
+    if dealt:
+        # Each count of its own rows stays in its bucket, where two distinct counts at once are shuffled.
+        people = active.withColumn("month", month_start("date")).select(*key, "person").dropDuplicates()
+        features = active.withColumn("month", month_start("date")).select(*key, "capability").dropDuplicates()
+        features = features.join(popular, ["month", "capability"]).groupBy("date", "account_id")
+        daily = (
+            people.groupBy(*key)
+            .agg(F.count("person").alias("dau_actuals"))
+            .join(features.agg(F.count("capability").alias("_used")), ["date", "account_id"], "left")
+            .select(*key, "dau_actuals", F.coalesce("_used", F.lit(0).cast("long")).alias("used_features_3_percent"))
+        )
+    else:
+        daily = (
+            active.withColumn("month", month_start("date"))
+            .join(popular, ["month", "capability"], "left")
+            .groupBy(*key)
+            .agg(
+                F.count_distinct("person").alias("dau_actuals"),
+                F.count_distinct(F.when(F.col("meets_threshold"), F.col("capability"))).alias(
+                    "used_features_3_percent"
+                ),
+            )
         )
-    )
     eligible = account_flags.filter("paid_account_flag").join(
         account_metrics, ["date", "account_id"], "left"
     ).filter(F.col("paid_user_eligible") | F.col("qbp_eligible"))

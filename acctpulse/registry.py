@@ -284,16 +284,16 @@ def _(i):
 
 
 def account_panel(i: Inputs) -> DataFrame:
-    # The sources that several branches read are tables, as they would be in a warehouse.
+    i = i.dealt_by_account()
     return panel.account_360(
         panel.PanelSources(
-            panel=materialize(i.account_daily(), "account_daily"),
+            panel=i.account_daily(),
             feature_flags=i.feature_flags_monthly(),
             features=FEATURES,
-            feature_usage=materialize(i.feature_usage_daily(), "feature_usage_daily"),
+            feature_usage=i.feature_usage_daily(),
             account_flags=i.account_flags_daily(),
             account_metrics=i.account_metrics_daily(),
-            cases=materialize(i.support_cases(), "support_cases"),
+            cases=i.support_cases(),
             case_history=i.case_history(),
             risk_weekly=i.score_weekly(),
             sentiment_weekly=i.score_weekly(),
@@ -305,6 +305,7 @@ def account_panel(i: Inputs) -> DataFrame:
         AS_OF,
         MONTHS,
         FLOOR,
+        i.parts,
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acctpulse.functions import month_start, week_close_after
-from acctpulse.session import spread
+from acctpulse.session import DEALT_MB, materialize_dealt, parts_for, spread
 from acctpulse.sources.tables import read_table
 
 OPEN_END = date(9999, 12, 31)
@@ -41,14 +41,32 @@ class Inputs:
     def __init__(self, spark: SparkSession, directory: str):
         self.spark = spark
         self.directory = directory
+        self.parts: int | None = None
+        self._orders: DataFrame | None = None
 
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, self.directory, name)
 
+    def dealt_by_account(self) -> Inputs:
+        """The same inputs over dated orders that are written once, dealt by account.
+
+        What is derived from orders alone and grouped by account needs no shuffle then.
+        """
+        dealt = Inputs(self.spark, self.directory)
+        dealt.parts = parts_for(self.table("lineitem"), self.table("orders"), self.table("part"), mb=DEALT_MB)
+        dealt._orders = materialize_dealt(self.dated_orders(), "dated_orders", dealt.parts, "account_id")
+        return dealt
+
+    def _by(self, df: DataFrame, key: str) -> DataFrame:
+        """``df`` dealt by ``key``, where these inputs are dealt."""
+        return df.repartition(self.parts, key) if self.parts else df
+
     # -- orders with a report date ------------------------------------------------
 
     def dated_orders(self) -> DataFrame:
         """Orders whose report date is the day, the month end or the closing Sunday."""
+        if self._orders is not None:
+            return self._orders
         day = F.to_date("o_orderdate")
         kind = F.col("o_orderkey") % 3
         return self.table("orders").select(
@@ -230,10 +248,10 @@ class Inputs:
 
     def feature_usage_daily(self) -> DataFrame:
         line = F.col("l_linenumber") % 3
-        return self._order_lines().select(
-            F.col("report_dt").alias("date"),
-            "account_id",
-            F.concat("p_brand", F.lit(" "), "p_type").alias("capability"),
+        # What is made of lines alone is made before they are shuffled, where it is narrower.
+        lines = self.table("lineitem").select(
+            "l_orderkey",
+            "l_partkey",
             _when(
                 (line == 0, F.lit("FULL_PLATFORM")), (line == 1, F.lit("CORE")), default=F.lit("BASIC")
             ).alias("tier"),
@@ -242,6 +260,15 @@ class Inputs:
             (F.col("l_quantity") > 5).alias("daily_active"),
             F.when(F.col("l_discount") > 0.08, "UnbilledCCU").otherwise("BilledCCU").alias("metric"),
         )
+        orders = self.dated_orders().select("o_orderkey", "account_id", F.col("report_dt").alias("date"))
+        parts = self.table("part").select(
+            "p_partkey", F.concat("p_brand", F.lit(" "), "p_type").alias("capability")
+        )
+        return (
+            lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+            .join(parts, F.col("l_partkey") == F.col("p_partkey"))
+            .select("date", "account_id", "capability", "tier", "user_id", "datacentre", "daily_active", "metric")
+        )
 
     def account_flags_daily(self) -> DataFrame:
         k = F.col("account_id")
@@ -356,9 +383,10 @@ class Inputs:
         )
         o = self.table("orders")
         key = F.col("o_orderkey")
+        cases = o.join(shipped, key == F.col("l_orderkey"), "left")
         return (
-            o.join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
-            .join(shipped, key == F.col("l_orderkey"), "left")
+            self._by(cases, "o_custkey")
+            .join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
             .select(
                 key.alias("case_id"),
                 F.col("o_custkey").alias("account_id"),
@@ -373,7 +401,7 @@ class Inputs:
 
     def case_history(self) -> DataFrame:
         return (
-            self.table("lineitem")
+            self._by(self.table("lineitem"), "l_orderkey")
             .groupBy(
                 F.col("l_orderkey").alias("case_id"),
                 F.when(F.col("l_linestatus") == "O", "Priority").otherwise("Status").alias("field"),

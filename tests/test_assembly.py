@@ -4,7 +4,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from acctpulse.operators.assembly import lag_lists, stack_join
+from acctpulse.operators.assembly import dealt_join, lag_lists, stack_join
 from acctpulse.operators.lags import lag_features, lag_join
 from acctpulse.plans import usage
 
@@ -39,6 +39,18 @@ def test_stack_equals_left_joins_with_repeated_rows_and_null_keys(spark):
     assert counted(got) == counted(joined.dropDuplicates())
 
 
+@pytest.mark.parametrize("distinct", [True, False])
+def test_dealt_join_equals_stack(spark, distinct):
+    base, one, many = sides(spark)
+    base = base.dropDuplicates()
+    got = dealt_join(base, ["a", "d"], one, many, distinct=distinct)
+    want = stack_join(base, ["a", "d"], one, many, distinct=distinct)
+    assert got.columns == want.columns
+    assert counted(got) == counted(want)
+    with pytest.raises(ValueError, match="one"):
+        dealt_join(base, ["a", "d"], one, one)
+
+
 def test_stack_of_empty_sides(spark):
     base, one, many = sides(spark)
     assert stack_join(base.limit(0), ["a", "d"], one, many).count() == 0

@@ -74,3 +74,12 @@ def test_no_cross_product_in_the_panel(spark, data):
     assert "Cross" not in plan
     physical = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in physical and "BroadcastNestedLoopJoin" not in physical
+
+
+def test_the_panel_is_dealt_by_account_once(spark, data):
+    df = entry.queries()["account_360"](spark, data)
+    physical = df._jdf.queryExecution().executedPlan().toString()
+    by_account = re.findall(r"Exchange hashpartitioning\((?:account_id|date#\d+, account_id|report_dt#\d+, account_id)#.*", physical)
+    # The competitor branch and the support cases come from other keys: two regions, their months, three branches of cases.
+    assert len(by_account) <= 7
+    assert "Bucketed: true" in physical

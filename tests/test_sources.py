@@ -1,9 +1,10 @@
 import uuid
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from acctpulse.session import materialize, shared_folder
+from acctpulse.session import materialize, materialize_dealt, parts_for, remove, shared_folder, written
 from acctpulse.sources import tables
 
 
@@ -56,6 +57,31 @@ def test_materialized_table_reads_back(spark):
     assert path(df.inputFiles()[0]).startswith(path(shared_folder(spark)) + "/")
 
 
+def test_dealt_tables_are_grouped_and_joined_without_a_shuffle(spark):
+    rows = spark.range(1000).select((F.col("id") % 50).alias("a"), (F.col("id") % 7).alias("d"), "id")
+    before = written(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        one, two = (materialize_dealt(rows, name, 6, "a") for name in ("one", "two"))
+        days = two.groupBy("a", "d").agg(F.count("id").alias("n"))
+        df = one.join(days, ["a", "d"], "left").withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("id")))
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+        assert df.count() == 1000 and df.filter("n is null").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert all(f.startswith("file:") and "/one_" in f for f in one.inputFiles())
+    tables_before = len(spark.catalog.listTables())
+    remove(spark, [p for p in written(spark) if p not in before])
+    assert written(spark) == before and len(spark.catalog.listTables()) == tables_before - 2
+
+
+def test_parts_grow_with_the_files(spark, data):
+    df = tables.read_table(spark, data, "lineitem")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert parts_for(df, mb=10**6) == least
+    assert parts_for(df, df, mb=0.001) > least
+
+
 def test_projection_and_filter_reach_the_scan(spark, data):
     df = tables.read_table(spark, data, "orders").filter("o_totalprice > 1000").select("o_orderkey")
     plan = df._jdf.queryExecution().executedPlan().toString()

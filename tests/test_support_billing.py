@@ -120,3 +120,21 @@ def test_last_weekly_score_of_the_month(rows, column, value):
     )
     out = billing.latest_weekly_score(df, [column]).orderBy("score_month").collect()
     assert [r[column] for r in out] == [value, 0.2]
+
+
+def test_support_metrics_of_dealt_cases_are_the_same(rows):
+    cases = rows(
+        CASES,
+        *[
+            (n % 9, n % 3 or None, f"n{n % 2}", f"P{n % 3 + 1}", ts(2024, 1 + n % 2, 2), ts(2024, 1 + n % 2, 3 + n % 5) if n % 4 else None, None, 1.0 + n % 5)
+            for n in range(24)
+        ],
+    )
+    history = rows(
+        "case_id long, field string, old_value string, created_ts timestamp", (1, "Priority", "P2", ts(2024, 1, 5)), (2, "Status", "P1", ts(2024, 1, 5))
+    )
+    plain = support.support_metrics(cases, history, date(2024, 5, 1), FLOOR)
+    dealt = support.support_metrics(cases, history, date(2024, 5, 1), FLOOR, 3)
+    assert plain.columns == dealt.columns
+    key = lambda r: tuple((x is None, str(x)) for x in r)
+    assert sorted(map(tuple, plain.collect()), key=key) == sorted(map(tuple, dealt.collect()), key=key) != []

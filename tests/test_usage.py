@@ -90,3 +90,21 @@ def test_product_stickiness(rows):
     )
     got = {(r[0], r[1]): tuple(r)[2:] for r in usage.product_stickiness(flags, ["a", "b", "c"], AS_OF).collect()}
     assert got == {(1, day(1, 1)): (1, 2, 50.0), (1, day(2, 1)): (3, 3, 100.0)}
+
+
+def test_daily_usage_of_a_dealt_table_is_the_same(rows):
+    schema = "date date, account_id long, capability string, tier string, user_id string, datacentre string, daily_active boolean"
+    day = date(2001, 7, 3)
+    facts = rows(
+        schema,
+        *[(day, a, f"c{n}", "CORE", f"u{n % 2}", "us", n != 2) for a in (1, 2, None) for n in range(4)],
+        (day, 1, None, "CORE", "u9", "eu", True),
+        (day, 2, "c0", "CORE", None, "eu", True),
+        (day, 2, "c0", "CORE", "u0", "us", True),
+        (None, 2, "c0", "CORE", "u0", "us", True),
+    )
+    flags = rows("date date, account_id long, paid_account_flag boolean, paid_user_eligible boolean", (day, 1, True, True), (day, 2, True, True))
+    metrics = rows("date date, account_id long, qbp_eligible boolean", (day, 1, False))
+    plain, dealt = (usage.daily_active_usage(facts, flags, metrics, date(2001, 8, 1), dealt=d) for d in (False, True))
+    assert plain.columns == dealt.columns
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, dealt.collect())) != []
