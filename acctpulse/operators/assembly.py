@@ -49,23 +49,38 @@ def stack_join(
     return out.select(*held, *fields.values())
 
 
+def _packed(rows: DataFrame, keys: Sequence[str], name: str, distinct: bool = False) -> DataFrame:
+    """The keys and a struct of the rest; ``distinct``: different ones of every key, where no key is NULL.
+
+    The sets keep values as they are; a distinct of the rows would make 0.0 of -0.0.
+    """
+    rest = [F.col(f"`{c}`") for c in rows.columns if c not in keys]
+    packed = F.struct(*(rest or [F.lit(True)]))
+    if not distinct:
+        return rows.select(*keys, packed.alias(name))
+    sets = rows.dropna(subset=list(keys)).groupBy(*keys).agg(F.collect_set(packed).alias(name))
+    return sets.select(*keys, F.explode(name).alias(name))
+
+
 def dealt_join(
     base: DataFrame, keys: Sequence[str], *branches: DataFrame, distinct: bool = True
 ) -> DataFrame:
     """The rows of ``stack_join`` by one left join per branch, for sides that are all dealt by a part of ``keys``.
 
     Sides with the same buckets or partitions meet without a shuffle, so that the wide rows of ``base`` stay where
-    they are. Other sides are shuffled, each branch and ``base`` once.
+    they are. Other sides are shuffled, each branch and ``base`` once. Rows pass the joins as typed structs.
     """
-    taken = list(base.columns)
-    out = base
-    for branch in branches:
-        clash = set(taken) & (set(branch.columns) - set(keys))
+    taken, out = list(base.columns), _packed(base, keys, "_base")
+    fields = [F.col(c) if c in keys else F.col(f"_base.`{c}`").alias(c) for c in base.columns]
+    for i, branch in enumerate(branches):
+        rest = [c for c in branch.columns if c not in keys]
+        clash = set(taken) & set(rest)
         if clash:
             raise ValueError(f"column names used twice: {sorted(clash)}")
-        taken += [c for c in branch.columns if c not in keys]
-        out = out.join(branch.dropDuplicates() if distinct else branch, list(keys), "left")
-    return out.select(*[F.col(f"`{c}`") for c in taken])
+        taken += rest
+        fields += [F.col(f"_rows_{i}.`{c}`").alias(c) for c in rest]
+        out = out.join(_packed(branch, keys, f"_rows_{i}", distinct), list(keys), "left")
+    return out.select(*fields)
 
 
 def lag_lists(

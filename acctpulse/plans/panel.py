@@ -60,7 +60,7 @@ def account_360(
     )
     all_cases = materialize_dealt(s.cases, "support_cases", parts, "account_id")
     # One row per month and capability; both the thresholds and the daily counts read it.
-    reach = materialize(usage.capability_reach(used, as_of, months), "capability_reach")
+    reach = materialize(usage.capability_reach(used, as_of, months, dealt=True), "capability_reach")
     thresholds = usage.capability_threshold(reach)
     daily = usage.daily_active_usage(used, s.account_flags, s.account_metrics, as_of, months, reach, dealt=True)
     daily = materialize_dealt(daily, "daily_active_usage", parts, "account_id")

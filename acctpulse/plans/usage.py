@@ -182,13 +182,30 @@ def platform_usage(usage: DataFrame, as_of: date, months: int = HORIZON_MONTHS)
     )
 
 
-def capability_reach(usage: DataFrame, as_of: date, months: int = HORIZON_MONTHS) -> DataFrame:
+def _reach_of_dealt(usage: DataFrame) -> DataFrame:
+    """(month, capability, account_count, total_accounts); accounts are told apart inside their buckets."""
+    rows = usage.select(month_start("date").alias("month"), "account_id", "capability")
+    counted = rows.dropDuplicates().groupBy("month", "capability").agg(F.count("account_id").alias("account_count"))
+    accounts = rows.select("month", "account_id").dropDuplicates()
+    totals = accounts.groupBy("month").agg(F.count("account_id").alias("total_accounts"))
+    return counted.join(totals, "month", "left")
+
+
+def capability_reach(
+    usage: DataFrame, as_of: date, months: int = HORIZON_MONTHS, dealt: bool = False
+) -> DataFrame:
     """Per month and capability: share of the month's accounts that use it.
 
+    ``dealt``: usage is a table dealt by account, which may be read twice. Else:
+
     The fact is read once and reduced to the set of capabilities of each month
     and account, at most as long as there are capabilities. Each set counts its
     account for its capabilities and, by one more entry, for the month.
     """
+    share = safe_div(F.col("account_count") * F.lit(100.0), F.col("total_accounts")).alias("usage_percentage")
+    columns = ["month", "capability", "account_count", "total_accounts", share]
+    if dealt:
+        return _reach_of_dealt(_platform_usage(usage, as_of, months)).select(*columns)
     sets = (
         _platform_usage(usage, as_of, months)
         .select(month_start("date").alias("month"), "account_id", "capability")
@@ -206,13 +223,7 @@ def capability_reach(usage: DataFrame, as_of: date, months: int = HORIZON_MONTHS
     return (
         counted.withColumn("total_accounts", F.when(F.col("month").isNotNull(), total))
         .filter(~F.col("whole"))
-        .select(
-            "month",
-            "capability",
-            "account_count",
-            "total_accounts",
-            safe_div(F.col("account_count") * F.lit(100.0), F.col("total_accounts")).alias("usage_percentage"),
-        )
+        .select(*columns)
     )
 
 

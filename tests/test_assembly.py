@@ -49,6 +49,8 @@ def test_dealt_join_equals_stack(spark, distinct):
     assert counted(got) == counted(want)
     with pytest.raises(ValueError, match="one"):
         dealt_join(base, ["a", "d"], one, one)
+    zeros = one.limit(1).withColumn("one", F.lit(-0.0))
+    assert {str(r["one"]) for r in dealt_join(zeros.select("a", "d"), ["a", "d"], zeros, distinct=distinct).collect()} == {"-0.0"}
 
 
 def test_stack_of_empty_sides(spark):

@@ -105,6 +105,10 @@ def test_daily_usage_of_a_dealt_table_is_the_same(rows):
     )
     flags = rows("date date, account_id long, paid_account_flag boolean, paid_user_eligible boolean", (day, 1, True, True), (day, 2, True, True))
     metrics = rows("date date, account_id long, qbp_eligible boolean", (day, 1, False))
+    plain, dealt = (usage.capability_reach(facts, date(2001, 8, 1), dealt=d) for d in (False, True))
+    assert plain.columns == dealt.columns
+    order = lambda r: tuple((x is None, str(x)) for x in r)
+    assert sorted(map(tuple, plain.collect()), key=order) == sorted(map(tuple, dealt.collect()), key=order) != []
     plain, dealt = (usage.daily_active_usage(facts, flags, metrics, date(2001, 8, 1), dealt=d) for d in (False, True))
     assert plain.columns == dealt.columns
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, dealt.collect())) != []
