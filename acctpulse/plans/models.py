@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acctpulse.functions import safe_div
+from acctpulse.operators.forest import importances
 from acctpulse.operators.moments import group_moments, pair_moments
 from acctpulse.plans.segments import SEGMENTS, complete_cases
 from acctpulse.session import materialize
@@ -194,8 +195,9 @@ def rf_importance(
 ) -> DataFrame:
     """Random-forest importance of each metric per segment, highest first.
 
-    One distributed fit per named segment, over rows that are written once. A
-    segment without a complete row is skipped.
+    One distributed fit per named segment, over rows that are written once;
+    the lower nodes are grown inside tasks. A segment without a complete row is
+    skipped.
     """
     names = list(columns)
     complete = complete_cases(df, names, target).filter(F.col(segment).isin(*segments))
@@ -203,23 +205,27 @@ def rf_importance(
         complete.select(segment, *[F.col(c).cast("double").alias(c) for c in [*names, target]]),
         "forest_rows",
     )
-    assembled = VectorAssembler(inputCols=names, outputCol="features").transform(rows)
-    # at most one row per named segment
-    present = {r[0] for r in rows.select(segment).distinct().collect()}
-    found = []
-    for name in (s for s in segments if s in present):
+    assembler = VectorAssembler(inputCols=names, outputCol="features")
+
+    def fit(part: DataFrame, depth: int):
         forest = RandomForestRegressor(
             featuresCol="features",
             labelCol=target,
             numTrees=trees,
             featureSubsetStrategy="all",
-            maxDepth=max_depth,
+            maxDepth=depth,
             seed=seed,
             cacheNodeIds=True,
             maxMemoryInMB=NODE_MB,
         )
-        importance = forest.fit(assembled.filter(F.col(segment) == name)).featureImportances.toArray()
-        found += [(name, c, float(v)) for c, v in zip(names, importance)]
+        return forest, forest.fit(assembler.transform(part))
+
+    # at most one row per named segment
+    present = {r[0]: r[1] for r in rows.groupBy(segment).count().collect()}
+    wanted = [s for s in segments if s in present]
+    parts = [rows.filter(F.col(segment) == name) for name in wanted]
+    found = importances(parts, [present[s] for s in wanted], names, target, fit, max_depth) if wanted else []
+    found = [(s, c, float(v)) for s, values in zip(wanted, found) for c, v in zip(names, values)]
     spark = df.sparkSession
     return spark.createDataFrame(found, "segment_name string, feature string, importance double").orderBy(
         "segment_name", F.col("importance").desc()
