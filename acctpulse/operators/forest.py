@@ -361,74 +361,105 @@ def grown_gains(bins: np.ndarray, sums: np.ndarray, levels: int) -> np.ndarray:
     """Gain times weight by feature of the regression tree over distinct rows, grown level by level.
 
     ``bins`` has a row for each feature; ``sums`` has the weight, the sum and the sum of squares of the target.
-    A split must gain; of equal ones the first feature and the lowest bin win. Rows of a node lie together in one
-    order for each feature, in which they are sorted by bin: a level needs no sort.
+    A split must gain; of equal ones the first feature and the lowest bin win. While nodes are large, the sums of a
+    feature are counted into a table of nodes and bins. Then it gets an order of the rows by node and bin, which a
+    level only takes apart, and which loses the rows of nodes that the feature does not tell apart.
     """
     k, n = bins.shape
-    gains = np.zeros(k)
-    orders = [np.argsort(b, kind="stable").astype(np.int32) for b in bins]
-    size, total = np.array([n]), sums.sum(axis=1)[:, None]
-    code = np.empty(n, np.int8)
-    while levels > 0 and len(size) and size[0]:
+    gains, widths = np.zeros(k), [int(b.max()) + 1 if n else 1 for b in bins]
+    orders: list[np.ndarray | None] = [None] * k
+    every, node, total = np.arange(n, dtype=np.int32), np.zeros(n, np.int32), sums.sum(axis=1)[:, None]
+    while levels > 0 and len(every):
         levels -= 1
-        m = len(size)
-        node = np.repeat(np.arange(m, dtype=np.int32), size)
-        first = np.cumsum(size) - size
+        m = total.shape[1]
+        here_sums, at = sums.take(every, axis=1), node.take(every).astype(np.int64)
         impurity = _variance(*total)
         best, feature, cut, left = np.zeros(m), np.full(m, -1, np.int32), np.zeros(m, np.uint8), np.zeros((3, m))
         for f in range(k):
-            rows = orders[f]
-            b = bins[f][rows]
-            edge = np.empty(len(rows), bool)
-            np.not_equal(b[1:], b[:-1], out=edge[1:])
-            edge[first] = True
-            cell = np.flatnonzero(edge)
-            if len(cell) == m:
+            rows, width = orders[f], widths[f]
+            if rows is None and m * width <= len(every) // 2:
+                key = at * width
+                key += bins[f].take(every)
+                table = np.stack([np.bincount(key, x, m * width) for x in here_sums])
+                cell = np.flatnonzero(table[0])
+                running, of = table.take(cell, axis=1), cell // width
+                bin_of = cell - of * width
+            else:
+                if rows is None:
+                    orders[f] = rows = every.take(np.argsort((at << 8) | bins[f].take(every), kind="stable"))
+                key = node.take(rows) << 8
+                key |= bins[f].take(rows)
+                cell = _starts(key)
+                of = key.take(cell) >> 8
+                told = np.zeros(m, bool)
+                told[of[1:][of[1:] == of[:-1]]] = True
+                keep = told[of]
+                if not keep.all():
+                    lengths = np.diff(cell, append=len(rows))
+                    orders[f] = rows = rows.take(np.flatnonzero(np.repeat(keep, lengths)))
+                    key, of, lengths = key[cell][keep], of[keep], lengths[keep]
+                    cell = np.cumsum(lengths) - lengths
+                else:
+                    key = key[cell]
+                bin_of = key & 255
+                running = np.stack([np.add.reduceat(x.take(rows), cell) if len(cell) else x[:0] for x in sums])
+            inner = np.flatnonzero(of[1:] == of[:-1])
+            if not len(inner):
                 continue
-            of = node[cell]
-            running = np.stack([np.add.reduceat(x[rows], cell) for x in sums])
             _run_within(running, of)
-            inner = np.flatnonzero(of[1:] == of[:-1])
-            here = of[inner]
-            w, s, q = running[:, inner]
-            total_w, total_s, total_q = total[:, here]
+            here = of.take(inner)
+            start = _starts(here)
+            own = here[start]
+            w, s, q = running.take(inner, axis=1)
+            total_w, total_s, total_q = total.take(here, axis=1)
             rest = total_w - w
             gain = (
-                impurity[here]
+                impurity.take(here)
                 - w / total_w * _variance(w, s, q)
                 - rest / total_w * _variance(rest, total_s - s, total_q - q)
             )
-            start = np.flatnonzero(np.r_[True, here[1:] != here[:-1]])
             most = np.maximum.reduceat(gain, start)
-            own = here[start]
             better = np.flatnonzero(most > best[own])
             if not len(better):
                 continue
-            hits = np.flatnonzero(gain == np.repeat(most, np.diff(np.r_[start, len(gain)])))
-            hits = hits[np.r_[True, here[hits[1:]] != here[hits[:-1]]]][better]
+            hits = np.flatnonzero(gain == np.repeat(most, np.diff(start, append=len(gain))))
+            hits = hits[_starts(here[hits])][better]
             won = own[better]
             best[won], feature[won] = most[better], f
-            cut[won] = b[cell[inner[hits]]]
+            cut[won] = bin_of[inner[hits]]
             left[:, won] = running[:, inner[hits]]
         split = feature >= 0
         gains += np.bincount(feature[split], (best * total[0])[split], k)
         right = total - left
-        rows = orders[0]
-        side = bins[feature[node], rows] > cut[node]
-        sizes = np.bincount(node * 2 + side, minlength=2 * m)
+        side = bins.ravel().take(feature.take(at) * np.int64(n) + every) > cut.take(at)
+        sizes = np.bincount(at * 2 + side, minlength=2 * m)
         # a pure node, and one of equal rows, has no split
         with np.errstate(divide="ignore", invalid="ignore"):
             open_left = split & (sizes[::2] > 1) & ~(np.abs(_variance(*left)) < sys.float_info.epsilon)
             open_right = split & (sizes[1::2] > 1) & ~(np.abs(_variance(*right)) < sys.float_info.epsilon)
-        code[rows] = np.where(np.where(side, open_right[node], open_left[node]), side, 2)
-        for f in range(k):
-            going = code[orders[f]]
-            orders[f] = np.concatenate([orders[f][going == 0], orders[f][going == 1]])
-        size = np.concatenate([sizes[::2][open_left], sizes[1::2][open_right]])
+        # children are numbered left ones first, so that orders stay sorted by node
+        lefts = np.where(open_left, np.cumsum(open_left) - 1, -1)
+        rights = np.where(open_right, np.cumsum(open_right) - 1 + open_left.sum(), -1)
+        node[every] = np.where(side, rights.take(at), lefts.take(at))
         total = np.concatenate([left[:, open_left], right[:, open_right]], axis=1)
+        bound = open_left.sum()
+        every = every.take(np.flatnonzero(node.take(every) >= 0))
+        for f in range(k):
+            if (rows := orders[f]) is None:
+                continue
+            to = node.take(rows)
+            going = np.flatnonzero((to >= 0) & (to < bound)), np.flatnonzero(to >= bound)
+            orders[f] = rows.take(np.concatenate(going))
     return gains
 
 
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Places where a value other than the one before stands."""
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
 def _run_within(sums: np.ndarray, of: np.ndarray) -> None:
     """Running sums over the neighbours of one node, in place; no sum takes in another node's rows."""
     step = 1
